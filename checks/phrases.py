@@ -126,6 +126,7 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("Everyone agrees the lock holds and studies show it too.", ("CONSENSUS_AS_EVIDENCE", "CLAIM_WITHOUT_CITATION")),
     ("Either we act now or the mill is utterly ruined.", ("FALSE_BINARY", "FEAR_URGENCY", "TOTALIZING_HARM_LANGUAGE")),
     ("The list of tolls at http://toll.example.org/list, and https://quay.example.net/a?b=1. was posted.", ()),
+    ("The notice was designed to close the mill in order to save coal.", ()),
     ("The old sign read \"no boats past the second bell\" in red.", ()),
 ]
 
