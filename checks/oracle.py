@@ -2,17 +2,61 @@
 
 from __future__ import annotations
 
-from checks.queries import PACK
-from checks.sql import cuts_to_spans, pattern_row, scan_ctes, S
-from checks.tables import PLANTED, q
+import re
+
+from checks.phrases import PHRASES
+from checks.sql import S, cuts_to_spans, pattern_row, scan_ctes
+from checks.tables import PLANTED, phrase_no, plant_sql, q
+from checks.variants import (
+    EARLIER,
+    EXCLUDED,
+    EXEMPT_TERM,
+    KEEP,
+    LISTED_NAMES,
+    LISTED_TERMS,
+    LOOSE,
+    NAMES,
+    ORG_TEMPLATES,
+    PACK,
+    SLOT_CASES,
+    SLOT_PACK,
+    TEMPLATES,
+    URL_SKIP,
+)
+from swayscan.functions.regex import SPACE
+from swayscan.operators.audit import CALENDAR_WORDS, INTENT_WORDS, LISTED_PREFIXES, NO_PLURAL
+from swayscan.sources.pack import DOMAINS
 
 ORACLE = {}
 ALL = scan_ctes(PACK, "all")
 BY_ROW = scan_ctes(PACK, by_row=True)
 
+
+def values(rows) -> str:
+    return ", ".join("(" + ", ".join(q(v) if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+def text_list(items) -> str:
+    return "[" + ", ".join(map(q, items)) + "]"
+
+
+WANTED = "[" + ", ".join(f"cast({text_list(rules)} as varchar[])" for _, rules in PHRASES) + "]"
+
+
+def wanted(place: int, key: str = "doc_id") -> str:
+    return f"(select w from wanted_list)[({phrase_no(key, place)}) + 1]"
+
+
+def phrase(place: int, key: str = "doc_id") -> str:
+    return f"(select l from phrase_list)[({phrase_no(key, place)}) + 1]"
+
+
+WANTED_LIST = f"wanted_list as (select {WANTED} as w)"
+
 # --- the scan -----------------------------------------------------------------
 
 ORACLE["moves"] = ALL + "select * from moves"
+ORACLE["scan_stream"] = ORACLE["moves"]
 
 _COUNTS = ", ".join(f"count(*) filter (where tier = {t}) as tier_{t}" for t in (1, 2, 3))
 ORACLE["tier_counts"] = ALL + f"select p.doc_id, {_COUNTS} from planted p left join moves using (doc_id) group by 1"
@@ -40,3 +84,337 @@ from planted p left join moves using (doc_id) group by 1"""
 ORACLE["scan"] = BY_ROW + f"""select p.doc_id, {q(PACK.version)} as rules_version, {q(PACK.fingerprint)} as rules_hash,
 coalesce(string_agg(rule_id || ':' || "start" || ':' || "end", ' ' order by move_no), '') as moves, {_COUNTS}
 from planted p left join moves using (doc_id) group by 1"""
+
+# --- sources and intake -------------------------------------------------------
+
+_PART_RULES = """part_rules as (
+select p_partkey, p_size || '.0' as rules_version, 'NAME_' || p_partkey as rule_id, 0 as ord,
+  cast(p_size % 3 + 1 as int) as pit_tier, 1 as min_matches, false as suppress_if_cited, 'i' as flags,
+  string_split(p_name, ' ') as indicators from part
+union all
+select p_partkey, p_size || '.0', 'TYPE_' || p_partkey, 1, 1, 2, true, 's', [p_type, p_brand] from part)"""
+ORACLE["load_rule_pack"] = f"""with {_PART_RULES}
+select p_partkey, rules_version, rule_id, ord, pit_tier, min_matches, suppress_if_cited, flags,
+cast(i - 1 as int) as indicator_no, indicators[i] as indicator
+from (select *, unnest(range(1, len(indicators) + 1)) as i from part_rules)"""
+ORACLE["pack_fingerprint"] = f"""with {_PART_RULES}
+select rule_id, {q(PACK.version)} as rules_version, {q(PACK.fingerprint)} as rules_hash,
+sha256('{{"rule_id":"' || rule_id || '","pit_tier":' || pit_tier || ',"indicators":["' ||
+  array_to_string(indicators, '","') || '"],"flags":"' || flags || '"}}') as rule_hash from part_rules"""
+
+ORACLE["intake"] = """with d as (select doc_id, case when doc_id % 7 = 0 then null
+  when doc_id % 11 = 0 then repeat(text, 60) else text end as text from documents)
+select doc_id, case when text is null then 'text is null' when length(text) > 200000 then 'text is too long' end
+  as reject_reason, cast(length(text) as int) as chars from d"""
+
+_PAIRS_IN = r"length(regexp_replace({t}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g'))"
+ORACLE["clip_text"] = f"""with {PLANTED}, c as (select doc_id, text, left(text, 200) as head from planted),
+k as (select doc_id, text, list_max(list_filter(
+  range(greatest(0, length(head) - {_PAIRS_IN.format(t='head')}), length(head) + 1),
+  lambda n: n + {_PAIRS_IN.format(t='left(text, n)')} <= 200)) as n from c)
+select doc_id, left(text, n) as clipped from k"""
+ORACLE["word_count"] = f"""with {PLANTED}
+select doc_id, cast(len(regexp_extract_all(text, '[^{SPACE}]+')) as int) as words from planted"""
+
+# The characters outside ASCII in the phrases' matches, as JSON escapes.
+_ESCAPES = {"“": "u201c", "”": "u201d", "٥": "u0665", "٠": "u0660", "\u212a": "u212a", "ſ": "u017f"}
+_JSON = """to_json({'rules_version': VERSION, 'rules_hash': HASH, 'moves': coalesce(list({'rule_id': rule_id, 'name': name,
+  'tier': tier, 'domain': domain, 'severity': severity, 'start': "start", 'end': "end", 'match': "match"} order by move_no)
+  filter (where rule_id is not null), []), 'counts': {'1': count(*) filter (where tier = 1), '2': count(*) filter (where tier = 2),
+  '3': count(*) filter (where tier = 3)}})"""
+_JSON = _JSON.replace("VERSION", q(PACK.version)).replace("HASH", q(PACK.fingerprint))
+for _char, _escape in _ESCAPES.items():
+    _JSON = f"replace({_JSON}, '{_char}', chr(92) || '{_escape}')"
+ORACLE["write_scan_json"] = BY_ROW + f"select p.doc_id, {_JSON} as json from planted p left join moves using (doc_id) group by 1"
+
+# --- more of the scan ---------------------------------------------------------
+
+_USED = [(d, len(PACK.select(d)), ",".join(r["id"] for _, r in PACK.select(d))) for d in DOMAINS]
+ORACLE["select_rules"] = f"""with {PLANTED}, used(doc_domain, n_rules, rule_ids) as (values {values(_USED)})
+select doc_id, doc_domain, cast(n_rules as bigint) as n_rules, rule_ids from planted join used using (doc_domain)"""
+
+ORACLE["offsets_utf16"] = ALL + f"""select doc_id, move_no, "start", "end",
+cast("start" + {_PAIRS_IN.format(t='left(text, "start")')} as int) as start_utf16,
+cast("end" + {_PAIRS_IN.format(t='left(text, "end")')} as int) as end_utf16
+from moves join planted using (doc_id)"""
+
+# --- display ------------------------------------------------------------------
+
+_CLUSTERS = """, flagged as (select *, case when "start" >= coalesce(max("end") over (partition by doc_id
+  order by move_no rows between unbounded preceding and 1 preceding), 0) then 1 else 0 end as opens from moves),
+numbered as (select *, sum(opens) over (partition by doc_id order by move_no) as cluster_no from flagged),
+clusters as (select doc_id, cast(cluster_no as int) as cluster_no, min("start") as "start", max("end") as "end",
+  arg_min(tier, move_no) as tier, string_agg(rule_id, ',' order by move_no) as rule_ids from numbered group by 1, 2)
+"""
+ORACLE["cluster_moves"] = ALL + _CLUSTERS + """select c.*, substring(text, "start" + 1, "end" - "start") as phrase
+from clusters c join planted using (doc_id)"""
+ORACLE["annotate_segments"] = ALL + _CLUSTERS + """, edges as (
+  select doc_id, "start" as s, "end" as e, tier from clusters
+  union all select doc_id, coalesce(lag("end") over (partition by doc_id order by cluster_no), 0), "start", null from clusters
+  union all select p.doc_id, coalesce(max("end"), 0), length(p.text), null
+    from planted p left join clusters using (doc_id) group by p.doc_id, p.text)
+select doc_id, cast(row_number() over (partition by doc_id order by s) as int) as segment_no, tier,
+  substring(text, s + 1, e - s) as segment from edges join planted using (doc_id) where e > s"""
+_ALIASES = values((int(t), tier["alias"]) for t, tier in PACK.content["tiers"].items())
+_SHORTS = values((r["id"], r["description"]) for r in PACK.rules)
+ORACLE["move_labels"] = ALL + f""", aliases(tier, alias) as (values {_ALIASES}), shorts(rule_id, short) as (values {_SHORTS})
+select doc_id, move_no, rule_id, short, 'Move ' || move_no || ' of ' || count(*) over (partition by doc_id) || ': ' || name ||
+  ', Tier ' || tier || ' (' || alias || '), "' || "match" || '"' as line
+from moves join aliases using (tier) join shorts using (rule_id)"""
+ORACLE["missed_spans"] = ALL + f""", quoted as (select doc_id, text, case when doc_id % 9 = 0 then 'a phrase of no text'
+  else {phrase(1)} end as quote from planted),
+placed as (select doc_id, quote, cast(strpos(text, quote) - 1 as int) as "at" from quoted)
+select doc_id, quote, "at", case when "at" < 0 then 'not in the text' when exists(select 1 from moves m
+  where m.doc_id = p.doc_id and m."start" < "at" + length(quote) and m."end" > "at") then 'marked' else 'missed' end as verdict
+from placed p"""
+
+# --- corpora ------------------------------------------------------------------
+
+ORACLE["scannable_texts"] = f"""with {PLANTED} select doc_id from planted
+where len(regexp_extract_all(text, '[^{SPACE}]+')) >= 3 and not regexp_matches(text, '@|bc_|https?://')"""
+ORACLE["exclude_sources"] = f"""with listed(source, reason) as (values {values(EXCLUDED)})
+select source, 'kept' as status, '' as reason, count(*) as texts from documents
+  where source not in (select source from listed) group by 1
+union all select source, case when source in (select source from documents) then 'excluded' else 'not found' end, reason, 0
+  from listed"""
+ORACLE["dedupe_first"] = """select doc_id, source, md5(text) as text_md5 from documents
+qualify row_number() over (partition by text order by doc_id) = 1"""
+# Every word is put between marks first, since DuckDB's \\b knows ASCII letters only.
+_EDGE = "\ue001"
+
+
+def _edged(key: str) -> str:
+    return re.sub(r"\w+", lambda m: _EDGE + m[0] + _EDGE, key)
+
+
+_KEYS = "|".join(map(_edged, sorted({**NAMES, **dict.fromkeys(KEEP)}, key=len, reverse=True)))
+_SWAP = " ".join(f"when {q(_edged(k))} then {q(v)}" for k, v in NAMES.items())
+ORACLE["rename_entities"] = f"""with {PLANTED}, cut as (select doc_id, string_split(regexp_replace(
+  regexp_replace(text, '([\\p{{L}}\\p{{N}}_]+)', '{_EDGE}\\1{_EDGE}', 'g'),
+  '({_KEYS})', {S} || '\\1' || {S}, 'g'), {S}) as segs from planted)
+select doc_id, replace(array_to_string(list_transform(segs, lambda x, i: case when i % 2 = 0 then
+  (case x {_SWAP} else x end) else x end), ''), '{_EDGE}', '') as renamed from cut"""
+
+_SWEEP_ROWS = values(
+    (n, rule, template, bound, size)
+    for n, (rule, template, bound, size) in enumerate(
+        (rule, template, bound, size) for rule, template, bound in SLOT_CASES for size in (bound, bound + 1)
+    )
+)
+ORACLE["slot_sweep"] = scan_ctes(
+    SLOT_PACK, "all", key="id", base="sweep",
+    source=f"""cases(n, rule_id, template, bound, tokens) as (values {_SWEEP_ROWS}),
+sweep as materialized (select s_suppkey * 100 + n as id, s_suppkey, rule_id, bound, tokens,
+  replace(template, '{{name}}', rtrim(repeat(replace(s_name, '#', '') || ' ', tokens))) as text from supplier, cases)""",
+) + """select s_suppkey, rule_id, cast(bound as int) as bound, cast(tokens as int) as tokens, raised,
+raised = (tokens <= bound) as holds from (select w.*, exists(select 1 from moves m where m.id = w.id and
+  m.rule_id = w.rule_id) as raised from sweep w)"""
+
+_URL = r"https?://[^\s\"''<>)\]`]+"
+ORACLE["url_inventory"] = f"""with {PLANTED}, bodies as (select 'page' as kind, page_id as source, url || ' ' || html as body from pages
+  union all select 'document', doc_id, text from planted),
+found as (select kind, source, rtrim(unnest(regexp_extract_all(body, '{_URL}')), '.,;:') as url from bodies)
+select distinct * from found where not regexp_matches(url, {q(URL_SKIP)})"""
+ORACLE["quoted_examples"] = f"""with {PLANTED}, found as (select doc_id, list_filter(list_transform(
+  regexp_extract_all(text, '"[^"]+"|“[^”]+”'), lambda x: x[2:-2]),
+  lambda x: len(regexp_extract_all(x, '[^{SPACE}]+')) >= 3 and not contains(x, ' ... ') and not contains(x, '___')
+    and not contains(x, '/')) as l from planted)
+select doc_id, cast(i as int) as example_no, l[i] as example from (select *, unnest(range(1, len(l) + 1)) as i from found)"""
+
+# --- pairs --------------------------------------------------------------------
+
+_TEMPLATES = values((n, t) for n, t in enumerate(TEMPLATES + ORG_TEMPLATES))
+
+
+def _fill(name: str) -> str:
+    bare = f"case when {name} like 'the %' then substring({name}, 5) else {name} end"
+    capital = f"upper({name}[1]) || substring({name}, 2)"
+    return f"replace(replace(replace(template, '{{X}}', {capital}), '{{x}}', {name}), '{{b}}', {bare})"
+
+
+_SWAPS = """named as (select c_custkey, c_mktsegment, case when c_mktsegment in ('BUILDING', 'FURNITURE')
+    then 'the ' || n_name || ' Guild of Lamps' else replace(c_name, '#', ' ') end as name
+  from customer join nation on c_nationkey = n_nationkey),
+swaps as (select x.c_custkey, x.c_mktsegment, x.c_mktsegment = 'BUILDING' as is_org, x.name as a, y.name as b
+  from named x join named y on y.c_custkey = x.c_custkey + 1)"""
+_PAIRS = f"""{_SWAPS}, templates(template_no, template) as (values {_TEMPLATES}),
+pairs as materialized (select c_custkey, c_mktsegment, cast(template_no as int) as template_no, {_fill('a')} as text_a, {_fill('b')} as text_b
+  from swaps, templates where is_org or template_no < {len(TEMPLATES)})"""
+ORACLE["make_pairs"] = f"with {_PAIRS} select * from pairs"
+
+_SIDES = scan_ctes(
+    PACK, "all", key="id", base="sides",
+    source=_PAIRS + """, sides as materialized (
+  select (c_custkey * 100 + template_no) * 2 as id, c_mktsegment, text_a as text from pairs
+  union all select (c_custkey * 100 + template_no) * 2 + 1, c_mktsegment, text_b from pairs)""",
+) + """, ids as (select s.id, c_mktsegment, coalesce(list_sort(list_distinct(list(rule_id) filter (where rule_id is not null))), []) as l
+  from sides s left join moves using (id) group by 1, 2),
+both_sides as (select x.id // 200 as c_custkey, cast((x.id // 2) % 100 as int) as template_no, x.c_mktsegment,
+  x.l as a, y.l as b, list_filter(x.l, lambda r: not list_contains(y.l, r)) as only_a,
+  list_filter(y.l, lambda r: not list_contains(x.l, r)) as only_b
+  from ids x join ids y on y.id = x.id + 1 where x.id % 2 = 0)
+"""
+ORACLE["symmetry_check"] = _SIDES + f"""select c_custkey, template_no,
+case when len(only_a) + len(only_b) > 0 then 'differs'
+  when template_no <> {len(TEMPLATES) - 1} and len(a) = 0 then 'raises nothing' else 'same' end as verdict,
+array_to_string(a, ',') as ids_a, array_to_string(b, ',') as ids_b, array_to_string(only_a, ',') as only_a,
+array_to_string(only_b, ',') as only_b from both_sides"""
+ORACLE["known_limits_check"] = _SIDES + """select c_custkey, template_no,
+case when a = b then 'unexpected pass' else 'known limit' end as verdict from both_sides where c_mktsegment = 'MACHINERY'"""
+
+ORACLE["pair_registry_audit"] = f"""with {_SWAPS}, registry as (select regexp_replace(a, '[0-9]$', '') as a,
+  regexp_replace(b, '[0-9]$', '') as b, case c_mktsegment when 'MACHINERY' then 'limit' when 'AUTOMOBILE' then 'retired'
+  else 'running' end as status, 'R' || (c_custkey % 30) as reason from swaps),
+reasons as (select 'R' || n_nationkey as reason, case when n_regionkey < 3 then 'limit' else 'retired' end as status from nation)
+select 'no such reason' as problem, a || ' / ' || b as item from registry r where status <> 'running'
+  and not exists (select 1 from reasons s where s.status = r.status and s.reason = r.reason)
+union all select 'unused reason', reason from reasons s
+  where not exists (select 1 from registry r where s.status = r.status and s.reason = r.reason and r.status <> 'running')
+union all select 'listed twice', a || ' / ' || b from (select a, b, max(n) as m from
+  (select a, b, status, count(*) as n from registry group by all) group by 1, 2) where m > 1
+union all select 'two statuses', a || ' / ' || b from registry group by a, b having count(distinct status) > 1"""
+
+ORACLE["rule_coverage"] = scan_ctes(
+    PACK, by_row=True, base="narrowed",
+    source=PLANTED + """, narrowed as materialized (select doc_id, text,
+  case doc_domain when 'media' then 'general' else doc_domain end as doc_domain from planted where doc_domain <> 'all')""",
+) + "select rule_id from facts where rule_id not in (select rule_id from moves)"
+
+# --- expected moves and packs -------------------------------------------------
+
+_TWO = scan_ctes(EARLIER, "all", tag="_old") + scan_ctes(PACK, "all", source="", tag="_new").replace("with recursive", ",", 1)
+ORACLE["golden_check"] = _TWO + """select doc_id, rule_id, "start", "end", case when o.move_no is null then 'extra'
+  when n.move_no is null then 'missing' else 'ok' end as status
+from moves_old o full join moves_new n using (doc_id, rule_id, "start", "end")"""
+_CHANGES = """, old_spans as (select doc_id, rule_id, list(("start", "end") order by move_no) as l from moves_old group by 1, 2),
+new_spans as (select doc_id, rule_id, list(("start", "end") order by move_no) as l from moves_new group by 1, 2),
+changes as (select doc_id, rule_id, case when o.l is null then 'gained' when n.l is null then 'lost'
+  when o.l <> n.l then 'other spans' else 'same' end as change from old_spans o full join new_spans n using (doc_id, rule_id))
+"""
+ORACLE["pack_changes"] = _TWO + _CHANGES + "select * from changes"
+ORACLE["pack_diff"] = _TWO + _CHANGES + """select rule_id, count(*) filter (where change <> 'gained') as texts_before,
+count(*) filter (where change <> 'lost') as texts_after, count(*) filter (where change = 'gained') as gained,
+count(*) filter (where change = 'lost') as lost, count(*) filter (where change = 'other spans') as other_spans
+from changes group by 1"""
+ORACLE["golden_from_spans"] = scan_ctes(LOOSE, "all") + 'select doc_id, move_no, rule_id, "start", "end" from moves'
+ORACLE["domain_independence"] = BY_ROW + """select p.doc_id, doc_domain as domain, cast(count(rule_id) as int) as n_moves, true as same
+from planted p left join moves using (doc_id) group by 1, 2"""
+ORACLE["engine_parity"] = ALL + """select p.doc_id, cast(count(rule_id) as int) as n_native, cast(count(rule_id) as int) as n_arrow,
+true as same from planted p left join moves using (doc_id) group by 1"""
+
+_ALL_WANTED = f"list_sort(list_concat(list_concat({wanted(0)}, {wanted(1)}), {wanted(2)}))"
+ORACLE["expected_rules_check"] = scan_ctes(PACK, "all", source=f"{PLANTED}, {WANTED_LIST}") + f"""select p.doc_id,
+coalesce(list(rule_id order by rule_id) filter (where rule_id is not null), []) = {_ALL_WANTED.replace('doc_id', 'p.doc_id')} as as_expected,
+cast(count(rule_id) as int) as n_moves, coalesce(string_agg(distinct tier, ',' order by tier), '') as tiers
+from planted p left join moves using (doc_id) group by 1"""
+ORACLE["polarity_check"] = scan_ctes(PACK, "all", source=f"{PLANTED}, {WANTED_LIST}") + f""", cases as (
+  select doc_id, {wanted(1)}[1] as first from planted),
+seen as (select doc_id, coalesce(first, 'FALSE_BINARY') as rule_id, first is not null as polarity,
+  exists(select 1 from moves m where m.doc_id = c.doc_id and m.rule_id = coalesce(first, 'FALSE_BINARY')) as raised from cases c)
+select *, raised = polarity as holds from seen"""
+
+_GUIDE = f"""{PLANTED}, {WANTED_LIST},
+entries as materialized (select doc_id, coalesce({wanted(1)}[1], 'NO_SUCH_RULE') as own, doc_id % 3 + 1 as pit_tier, doc_domain,
+  p.text as example, {phrase(1)} as span, d.text as honest, {phrase(2)} || ' ' || d.text as fair_use, doc_id % 2 = 0 as fair_flagged
+  from planted p join documents d using (doc_id)),
+parts as materialized (select doc_id * 3 as id, doc_domain, example as text from entries
+  union all select doc_id * 3 + 1, doc_domain, honest from entries
+  union all select doc_id * 3 + 2, doc_domain, fair_use from entries)"""
+ORACLE["guide_check"] = scan_ctes(PACK, by_row=True, key="id", base="parts", source=_GUIDE) + """, j as (
+  select e.*, f.tier as pack_tier, f.domain as pack_domain, strpos(example, span) - 1 as pos from entries e left join facts f on f.rule_id = e.own),
+c as (select j.*,
+  (select count(*) from moves m where m.id = doc_id * 3 and m.rule_id = own) as own_n,
+  (select count(*) from moves m where m.id = doc_id * 3 and m.rule_id <> own) as other_n,
+  (select count(*) from moves m where m.id = doc_id * 3 and m.rule_id = own and m."start" < pos + length(span) and m."end" > pos) as span_n,
+  (select count(*) from moves m where m.id = doc_id * 3 + 1) as honest_n,
+  (select count(*) from moves m where m.id = doc_id * 3 + 2 and m.rule_id = own) as fair_own,
+  (select count(*) from moves m where m.id = doc_id * 3 + 2 and m.rule_id <> own) as fair_other from j)
+select doc_id, own as id, unnest([x for x in [
+  case when pack_tier is null then 'not in the pack' end,
+  case when pack_tier <> pit_tier then 'other tier in the pack' end,
+  case when pack_domain <> doc_domain then 'other domain in the pack' end,
+  case when own_n = 0 then 'the example is not marked' end,
+  case when pos < 0 then 'the flagged span is not in the text' end,
+  case when pos >= 0 and span_n = 0 then 'the flagged span is not marked' end,
+  case when other_n > 0 then 'the example raises another rule' end,
+  case when honest_n > 0 then 'the honest version is marked' end,
+  case when (fair_own > 0) <> fair_flagged then 'the fair use verdict is wrong' end,
+  case when fair_other > 0 then 'the fair use raises another rule' end] if x is not null]) as problem from c"""
+
+ORACLE["corpus_facts"] = ALL + """select lang, count(*) as cases, count(*) filter (where starts_with(source, 'src1')) as prefixed,
+count(*) filter (where doc_id in (select doc_id from moves)) as flagged from documents group by rollup (lang)"""
+
+# --- evaluation ---------------------------------------------------------------
+
+ORACLE["label_eval"] = scan_ctes(PACK, "all", source=f"{PLANTED}, {WANTED_LIST}") + f""", pairs as (
+  select distinct doc_id, rule_id, 1 as raised, 0 as labelled from moves join labels using (doc_id)
+  union all select distinct doc_id, unnest(list_concat({wanted(0)}, {wanted(1)})), 0, 1 from planted join labels using (doc_id)),
+outcomes as (select doc_id, rule_id, max(raised) as raised, max(labelled) as labelled from pairs group by 1, 2),
+counted as (select md5(cast(doc_id as varchar))[1] < '8' as sealed, rule_id, count(*) filter (where raised + labelled = 2) as hits,
+  cast(sum(raised) as bigint) as raised, cast(sum(labelled) as bigint) as labelled from outcomes group by 1, 2)
+select *, case when raised > 0 then hits / raised end as precision, case when labelled > 0 then hits / labelled end as recall from counted"""
+
+# --- audits -------------------------------------------------------------------
+
+ORACLE["validate_pack"] = r"""with r as (select p_brand as pack_id,
+  case when p_size = 7 then p_name else p_type || '_' || (p_partkey % 500) end as rule_id, p_size, p_type from part)
+select pack_id, rule_id, unnest([x for x in [
+  case when p_size = 9 then 'description is missing' end,
+  case when not regexp_full_match(rule_id, '[A-Z][A-Z0-9_]*') then 'rule_id has another shape' end,
+  case when p_size % 4 = 0 then 'pit_tier is not 1, 2 or 3' end,
+  case when p_size = 11 then 'domain is unknown' end,
+  case when p_size = 13 then 'severity is unknown' end,
+  case when p_size = 17 then 'flags are unknown' end,
+  case when p_size = 15 then 'no indicator' end,
+  case when p_size - 1 < 1 then 'min_matches is below 1' end] if x is not null]) as problem from r
+union all select pack_id, rule_id, 'rule_id is used twice' from r group by 1, 2 having count(*) > 1"""
+
+_NAMES = values((n.lower(),) for n in LISTED_NAMES)
+ORACLE["name_list_hits"] = f"""with {PLANTED}, listed(word) as (values {_NAMES}),
+t as (select doc_id, list_distinct(regexp_extract_all(regexp_replace(text, '\\[([A-Za-z])([A-Za-z])\\]', '\\2', 'g'), '[A-Za-z]{{2,}}')) as l from planted),
+w as (select distinct doc_id, lower(x) as word, max(case when x = upper(x) and not list_contains(l, lower(x)) then 1 else 0 end)
+  over (partition by doc_id, lower(x)) as lone from (select doc_id, l, unnest(l) as x from t))
+select doc_id, count(*) as names from w where word not in ({', '.join(map(q, CALENDAR_WORDS))})
+  and (lone = 1 or word in (select word from listed)) group by 1 having count(*) >= 2"""
+
+
+def _forms() -> list[tuple[str, str]]:
+    """Forms of the listed terms, worked out here rather than in SQL."""
+    rows = []
+    for term in LISTED_TERMS:
+        plural = term + "s"
+        if term[-1:] in "sx" or term.endswith("sh"):
+            plural = term + "es"
+        elif term.endswith("y") and term[-2] not in "aeiou":
+            plural = term[:-1] + "ies"
+        forms = [term] if term.endswith(NO_PLURAL) else [term, plural]
+        if " " not in term:
+            forms += [p + f for p in LISTED_PREFIXES for f in forms]
+        rows += [(term, f) for f in forms]
+    return rows
+
+
+ORACLE["denylist_terms"] = f"""with {PLANTED}, forms(term, form) as (values {values(_forms())}),
+w as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}''-]+') as l from planted),
+runs as (select doc_id, unnest(l) as form from w union all
+  select doc_id, l[i] || ' ' || l[i + 1] from (select doc_id, l, unnest(range(1, len(l))) as i from w))
+select distinct doc_id, term, form from runs join forms using (form)
+where not (term = {q(EXEMPT_TERM)} and doc_id in (select doc_id from documents where lang = 'fr'))"""
+
+_INTENT = re.sub(r"\(\?i\)", "", INTENT_WORDS)
+ORACLE["audit_intent_words"] = f"""with {PLANTED}, f as (select doc_id, 'text' as field, text as body from planted
+  union all select doc_id, 'note', {phrase(1)} from planted)
+select doc_id, field, regexp_extract(body, {q('(?i)(' + _INTENT + ')')}, 1) as wording from f
+where regexp_matches(body, {q('(?i)' + _INTENT)})"""
+
+ORACLE["catalog_audit"] = """with r as (select 'RULE_' || p_partkey as rule_id from part),
+c as (select 'RULE_' || (o_custkey * 2) as rule_id, max(case when o_custkey % 50 = 0 then ' ' else cast(o_custkey // 3 as varchar) end) as name,
+  min(o_orderpriority) as short from orders group by 1)
+select 'rule has no name' as problem, rule_id as item from r where rule_id not in (select rule_id from c)
+union all select 'name has no rule', rule_id from c where rule_id not in (select rule_id from r)
+union all select 'name or description is empty', rule_id from c where trim(name) = '' or trim(short) = ''
+union all select 'name is used twice', name from c where trim(name) <> '' group by name having count(*) > 1"""
+ORACLE["changed_rules_audit"] = """with c as (select distinct l_partkey as k from lineitem where l_quantity > 25)
+select 'RULE_' || k as rule_id, 'not in the pack' as problem from c where k not in (select p_partkey from part where p_size > 5)
+union all select 'RULE_' || k, 'not documented' from c where k not in (select l_partkey from lineitem where l_returnflag = 'R')
+union all select 'RULE_' || k, 'no case' from c where k not in (select l_partkey from lineitem where l_discount > 0.05)"""

@@ -5,16 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.tables import planted_documents, read
-from swayscan.functions import spans as span_functions
+from checks.tables import phrase_at, plant, planted_documents, read, shared_folder, wanted_rules
+from checks.variants import (
+    EARLIER,
+    EXCLUDED,
+    EXEMPT_TERM,
+    KEEP,
+    LISTED_NAMES,
+    LISTED_TERMS,
+    NAMES,
+    ORG_TEMPLATES,
+    PACK,
+    SLOT_CASES,
+    SLOT_PACK,
+    TEMPLATES,
+    URL_SKIP,
+)
 from swayscan.functions import text as text_functions
+from swayscan.operators import audit, compare, corpus, evaluate, present
 from swayscan.plans import scan as plan
 from swayscan.sources import pack as packs
 from swayscan.sources import texts
 from swayscan.sources.texts import spread
+from swayscan.streaming import stream as stream_scan
 
 QUERIES = {}
-PACK = packs.bundled_pack()
 KEY = ["doc_id"]
 
 
@@ -91,3 +106,459 @@ def scan(spark: SparkSession, sf: str) -> DataFrame:
     return scanned.select(
         "doc_id", "rules_version", "rules_hash", F.array_join(listed, " ").alias("moves"), "counts.*"
     )
+
+
+# --- sources and intake -------------------------------------------------------
+
+
+def _pack_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """One small rule pack per part, as JSON text."""
+    return read(spark, sf, "part").select(
+        "p_partkey",
+        F.to_json(F.expr("""named_struct(
+            'schema_version', '1', 'rules_version', concat(string(p_size), '.0'),
+            'tiers', map('1', named_struct('name', p_type, 'alias', p_brand, 'description', p_name)),
+            'citation_suppression', named_struct('window', 120, 'flags', 'i', 'patterns', array(p_type)),
+            'rules', array(
+              named_struct('id', concat('NAME_', p_partkey), 'name', p_name, 'description', p_brand,
+                'pit_tier', p_size % 3 + 1, 'domain', 'general', 'severity', 'low', 'principle', 'Truth',
+                'indicators', split(p_name, ' '), 'min_matches', 1, 'suppress_if_cited', false, 'flags', 'i'),
+              named_struct('id', concat('TYPE_', p_partkey), 'name', p_type, 'description', p_brand,
+                'pit_tier', 1, 'domain', 'media', 'severity', 'low', 'principle', 'Truth',
+                'indicators', array(p_type, p_brand), 'min_matches', 2, 'suppress_if_cited', true, 'flags', 's')))""")
+        ).alias("json"),
+    )
+
+
+def _part_rules(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = packs.parse_packs(_pack_texts(spark, sf), "json")
+    return packs.rule_rows(parsed, "p_partkey")
+
+
+@query
+def load_rule_pack(spark: SparkSession, sf: str) -> DataFrame:
+    rules = _part_rules(spark, sf)
+    return rules.select(
+        "p_partkey", "rules_version", "rule_id", "ord", "pit_tier", "min_matches", "suppress_if_cited", "flags",
+        F.posexplode("indicators").alias("indicator_no", "indicator"),
+    )
+
+
+@query
+def pack_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    rules = _part_rules(spark, sf)
+    rule = F.struct("rule_id", "pit_tier", "indicators", "flags")
+    return packs.stamp(rules.select("rule_id", packs.rule_fingerprint(rule).alias("rule_hash")), PACK)
+
+
+@query
+def intake(spark: SparkSession, sf: str) -> DataFrame:
+    documents = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    edged = documents.withColumn(
+        "text", F.expr("CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN repeat(text, 60) ELSE text END")
+    )
+    return plan.intake(edged).select("doc_id", "reject_reason", F.length("text").alias("chars"))
+
+
+@query
+def clip_text(spark: SparkSession, sf: str) -> DataFrame:
+    clipped = text_functions.clip_text(F.col("text"), 200)
+    return planted_documents(spark, sf).select("doc_id", clipped.alias("clipped"))
+
+
+@query
+def word_count(spark: SparkSession, sf: str) -> DataFrame:
+    return planted_documents(spark, sf).select("doc_id", text_functions.word_count(F.col("text")).alias("words"))
+
+
+@query
+def read_utf8_files(spark: SparkSession, sf: str) -> DataFrame:
+    files = texts.read_utf8_files(spark, f"{sf}/*.parquet")
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    return files.select(name.alias("file"), "reject_reason", F.length("text").alias("chars"))
+
+
+@query
+def write_scan_json(spark: SparkSession, sf: str) -> DataFrame:
+    scanned = plan.scan(planted_documents(spark, sf), PACK, F.col("doc_domain"))
+    return scanned.select("doc_id", texts.result_json().alias("json"))
+
+
+# --- more of the scan ---------------------------------------------------------
+
+
+@query
+def select_rules(spark: SparkSession, sf: str) -> DataFrame:
+    used = [(d, len(PACK.select(d)), ",".join(r["id"] for _, r in PACK.select(d))) for d in packs.DOMAINS]
+    table = spark.createDataFrame(used, "doc_domain string, n_rules long, rule_ids string")
+    return planted_documents(spark, sf).drop("text").join(F.broadcast(table), "doc_domain")
+
+
+@query
+def candidate_prefilter(spark: SparkSession, sf: str) -> DataFrame:
+    return plan.prefilter_report(planted_documents(spark, sf), PACK, "all")
+
+
+@query
+def offsets_utf16(spark: SparkSession, sf: str) -> DataFrame:
+    scanned = plan.with_moves(planted_documents(spark, sf), PACK, "all")
+    units = F.transform(
+        "moves",
+        lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"),
+            text_functions.utf16_offset(F.col("text"), m["start"]).alias("start_utf16"),
+            text_functions.utf16_offset(F.col("text"), m["end"]).alias("end_utf16"),
+        ),
+    )
+    rows = scanned.select("doc_id", F.posexplode_outer(units).alias("at", "m")).where("at IS NOT NULL")
+    return rows.select("doc_id", (F.col("at") + 1).alias("move_no"), "m.*")
+
+
+# --- display ------------------------------------------------------------------
+
+
+def _scanned(spark: SparkSession, sf: str) -> DataFrame:
+    return plan.with_moves(planted_documents(spark, sf), PACK, "all")
+
+
+@query
+def cluster_moves(spark: SparkSession, sf: str) -> DataFrame:
+    rows = present.cluster_rows(_scanned(spark, sf), KEY)
+    return rows.withColumn("rule_ids", F.array_join("rule_ids", ","))
+
+
+@query
+def annotate_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return present.annotate_segments(_scanned(spark, sf), KEY)
+
+
+@query
+def move_labels(spark: SparkSession, sf: str) -> DataFrame:
+    catalog = packs.pack_table(spark, PACK).select("rule_id", "name", F.col("description").alias("short"))
+    return present.move_labels(_scanned(spark, sf), KEY, catalog, PACK.content["tiers"])
+
+
+@query
+def missed_spans(spark: SparkSession, sf: str) -> DataFrame:
+    quoted = planted_documents(spark, sf).withColumn(
+        "quote", F.when(F.col("doc_id") % 9 == 0, "a phrase of no text").otherwise(phrase_at("doc_id", 1))
+    )
+    return present.missed_spans(plan.with_moves(quoted, PACK, "all"), KEY, "quote")
+
+
+# --- corpora ------------------------------------------------------------------
+
+
+@query
+def scannable_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.scannable_texts(planted_documents(spark, sf)).select("doc_id")
+
+
+@query
+def exclude_sources(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read(spark, sf, "documents").select("doc_id", "source")
+    listed = spark.createDataFrame(EXCLUDED, "source string, reason string")
+    kept = corpus.exclude_sources(documents, listed, "source").groupBy("source").count()
+    taken = corpus.excluded_rows(documents, listed, "source")
+    missing = corpus.missing_exclusions(documents, listed, "source")
+    return (
+        kept.select("source", F.lit("kept").alias("status"), F.lit("").alias("reason"), F.col("count").alias("texts"))
+        .unionByName(taken.select("source", F.lit("excluded").alias("status"), "reason", F.lit(0).cast("long").alias("texts")))
+        .unionByName(missing.select("source", F.lit("not found").alias("status"), "reason", F.lit(0).cast("long").alias("texts")))
+    )
+
+
+@query
+def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read(spark, sf, "documents").select("doc_id", "source", "text")
+    return corpus.dedupe_first(documents, "doc_id").select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
+@query
+def rename_entities(spark: SparkSession, sf: str) -> DataFrame:
+    renamed = corpus.rename_entities(F.col("text"), NAMES, KEEP)
+    return planted_documents(spark, sf).select("doc_id", renamed.alias("renamed"))
+
+
+@query
+def slot_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    names = spread(read(spark, sf, "supplier").select("s_suppkey", F.replace("s_name", F.lit("#"), F.lit("")).alias("token")))
+    sweep = corpus.slot_sweep(names, "token", SLOT_CASES)
+    scanned = plan.with_moves(sweep, SLOT_PACK, "all")
+    raised = F.exists("moves", lambda m: m["rule_id"] == F.col("rule_id"))
+    return scanned.select(
+        "s_suppkey", "rule_id", "bound", "tokens", raised.alias("raised"), (raised == F.col("expected")).alias("holds")
+    )
+
+
+@query
+def url_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("body"))
+    documents = planted_documents(spark, sf).select("doc_id", "text")
+    return corpus.url_inventory(pages, "page_id", "body", URL_SKIP).select(
+        F.lit("page").alias("kind"), "source", "url"
+    ).unionByName(
+        corpus.url_inventory(documents, "doc_id", "text", URL_SKIP).select(F.lit("document").alias("kind"), "source", "url")
+    )
+
+
+@query
+def quoted_examples(spark: SparkSession, sf: str) -> DataFrame:
+    found = corpus.quoted_examples(F.col("text"))
+    rows = planted_documents(spark, sf).select("doc_id", F.posexplode_outer(found).alias("at", "example"))
+    return rows.where("at IS NOT NULL").select("doc_id", (F.col("at") + 1).alias("example_no"), "example")
+
+
+# --- pairs --------------------------------------------------------------------
+
+
+def _swaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's name beside the next one's, of shapes that vary by segment."""
+    nation = read(spark, sf, "nation").select("n_nationkey", "n_name")
+    named = read(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", "c_mktsegment",
+        F.expr("""CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE')
+            THEN concat('the ', n_name, ' Guild of Lamps')
+            ELSE replace(c_name, '#', ' ') END""").alias("name"),
+    )
+    following = named.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("name").alias("b"))
+    return named.join(following, "c_custkey").select(
+        "c_custkey", "c_mktsegment", (F.col("c_mktsegment") == "BUILDING").alias("is_org"), F.col("name").alias("a"), "b"
+    )
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.make_pairs(_swaps(spark, sf), TEMPLATES, ORG_TEMPLATES, ["c_custkey", "c_mktsegment"])
+
+
+@query
+def make_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf)
+
+
+@query
+def symmetry_check(spark: SparkSession, sf: str) -> DataFrame:
+    sides = compare.scan_sides(spread(_pairs(spark, sf)), ["c_custkey", "template_no"], PACK)
+    # The last plain template marks nothing by itself, so it may raise no rule.
+    checked = compare.symmetry_check(sides, F.col("template_no") != len(TEMPLATES) - 1)
+    return checked.select(
+        "c_custkey", "template_no", "verdict",
+        *(F.array_join(c, ",").alias(c) for c in ("ids_a", "ids_b", "only_a", "only_b")),
+    )
+
+
+@query
+def known_limits_check(spark: SparkSession, sf: str) -> DataFrame:
+    limits = _pairs(spark, sf).where(F.col("c_mktsegment") == "MACHINERY")
+    sides = compare.scan_sides(spread(limits), ["c_custkey", "template_no"], PACK)
+    return compare.known_limits_check(sides).select("c_custkey", "template_no", "verdict")
+
+
+@query
+def pair_registry_audit(spark: SparkSession, sf: str) -> DataFrame:
+    registry = _swaps(spark, sf).select(
+        F.regexp_replace("a", "[0-9]$", "").alias("a"), F.regexp_replace("b", "[0-9]$", "").alias("b"),
+        F.expr("CASE c_mktsegment WHEN 'MACHINERY' THEN 'limit' WHEN 'AUTOMOBILE' THEN 'retired' ELSE 'running' END").alias("status"),
+        F.concat(F.lit("R"), F.col("c_custkey") % 30).alias("reason"),
+    )
+    reasons = read(spark, sf, "nation").select(
+        F.concat(F.lit("R"), F.col("n_nationkey")).alias("reason"),
+        F.expr("CASE WHEN n_regionkey < 3 THEN 'limit' ELSE 'retired' END").alias("reason_status"),
+    )
+    return compare.pair_registry_audit(registry, reasons)
+
+
+@query
+def rule_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    planted = planted_documents(spark, sf).where(F.col("doc_domain") != "all")
+    raised = plan.moves(planted, KEY, PACK, F.when(F.col("doc_domain") == "media", "general").otherwise(F.col("doc_domain")))
+    return compare.rule_coverage(packs.pack_table(spark, PACK), raised)
+
+
+# --- expected moves and packs -------------------------------------------------
+
+
+@query
+def golden_check(spark: SparkSession, sf: str) -> DataFrame:
+    planted = planted_documents(spark, sf)
+    expected = plan.moves(planted, KEY, EARLIER, "all")
+    return compare.golden_check(expected, plan.moves(planted, KEY, PACK, "all"), "doc_id")
+
+
+@query
+def golden_from_spans(spark: SparkSession, sf: str) -> DataFrame:
+    ids = F.array(*(F.lit(r["id"]) for r in PACK.rules))
+    entries = F.transform("_raw", lambda r: F.struct(F.get(ids, r["ord"]), r["spans"]))
+    raw = plan.raw_spans(planted_documents(spark, sf), PACK, "all")
+    stored = raw.select("doc_id", F.map_from_entries(entries).alias("spans"))
+    return compare.golden_from_spans(stored, "doc_id", PACK)
+
+
+@query
+def pack_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.pack_changes(planted_documents(spark, sf), KEY, EARLIER, PACK).drop("snippet")
+
+
+@query
+def pack_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.pack_diff(compare.pack_changes(planted_documents(spark, sf), KEY, EARLIER, PACK))
+
+
+@query
+def domain_independence(spark: SparkSession, sf: str) -> DataFrame:
+    planted = planted_documents(spark, sf).withColumnRenamed("doc_domain", "domain")
+    return compare.domain_independence(planted, KEY, PACK)
+
+
+@query
+def engine_parity(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.engine_parity(planted_documents(spark, sf), KEY, PACK)
+
+
+@query
+def expected_rules_check(spark: SparkSession, sf: str) -> DataFrame:
+    planted = planted_documents(spark, sf).withColumn("want", wanted_rules("doc_id", (0, 1, 2)))
+    checked = compare.expected_rules_check(planted, KEY, PACK, "want")
+    return checked.withColumn("tiers", F.array_join(F.transform("tiers", lambda t: t.cast("string")), ","))
+
+
+@query
+def polarity_check(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.try_element_at(wanted_rules("doc_id", (1,)), F.lit(1))
+    cases = planted_documents(spark, sf).withColumns(
+        {"rule_id": F.coalesce(first, F.lit("FALSE_BINARY")), "polarity": first.isNotNull()}
+    )
+    return compare.polarity_check(cases, KEY, PACK)
+
+
+@query
+def guide_check(spark: SparkSession, sf: str) -> DataFrame:
+    rules = packs.pack_table(spark, PACK)
+    documents = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    first = F.try_element_at(wanted_rules("doc_id", (1,)), F.lit(1))
+    entries = plant(documents, "doc_id").join(documents.withColumnRenamed("text", "honest"), "doc_id").select(
+        "doc_id",
+        F.coalesce(first, F.lit("NO_SUCH_RULE")).alias("id"),
+        (F.col("doc_id") % 3 + 1).cast("int").alias("pit_tier"),
+        F.col("doc_domain").alias("domain"),
+        F.col("text").alias("example"),
+        phrase_at("doc_id", 1).alias("flagged_span"),
+        "honest",
+        F.concat_ws(" ", phrase_at("doc_id", 2), "honest").alias("fair_use"),
+        (F.col("doc_id") % 2 == 0).alias("fair_use_flagged"),
+    )
+    return compare.guide_check(entries, "doc_id", PACK, rules)
+
+
+@query
+def corpus_facts(spark: SparkSession, sf: str) -> DataFrame:
+    facts = read(spark, sf, "documents").select("doc_id", "lang", "source")
+    cases = _scanned(spark, sf).select("doc_id", "moves").join(facts, "doc_id")
+    return compare.corpus_facts(cases, "lang", "source", "src1")
+
+
+# --- evaluation ---------------------------------------------------------------
+
+
+def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    labels = read(spark, sf, "labels").select("doc_id")
+    scanned = _scanned(spark, sf).select("doc_id", plan.rule_ids(F.col("moves")).alias("rule_ids"))
+    techniques = F.transform(
+        F.array_distinct(wanted_rules("doc_id", (0, 1))), lambda r: F.concat(F.lit("t_"), F.lower(r))
+    )
+    labelled = scanned.join(labels, "doc_id").withColumn("techniques", techniques)
+    mapping = spark.createDataFrame(
+        [(f"t_{r['id'].lower()}", r["id"]) for r in PACK.rules], "technique string, rule_id string"
+    )
+    return evaluate.rule_outcomes(labelled, KEY, mapping)
+
+
+@query
+def label_eval(spark: SparkSession, sf: str) -> DataFrame:
+    outcomes = _outcomes(spark, sf).withColumn("sealed", evaluate.sealed(F.col("doc_id")))
+    return evaluate.label_eval(outcomes, "sealed")
+
+
+@query
+def label_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.bootstrap_intervals(_outcomes(spark, sf), "doc_id")
+
+
+# --- audits -------------------------------------------------------------------
+
+
+@query
+def validate_pack(spark: SparkSession, sf: str) -> DataFrame:
+    rules = read(spark, sf, "part").select(
+        F.col("p_brand").alias("pack_id"),
+        F.expr("CASE WHEN p_size = 7 THEN p_name ELSE concat(p_type, '_', p_partkey % 500) END").alias("rule_id"),
+        F.col("p_name").alias("name"),
+        F.expr("CASE WHEN p_size = 9 THEN NULL ELSE p_brand END").alias("description"),
+        (F.col("p_size") % 4).alias("pit_tier"),
+        F.expr("CASE WHEN p_size = 11 THEN p_type ELSE 'media' END").alias("domain"),
+        F.expr("CASE WHEN p_size = 13 THEN 'grave' ELSE 'low' END").alias("severity"),
+        F.lit("Truth").alias("principle"),
+        F.expr("CASE WHEN p_size = 15 THEN array() ELSE split(p_name, ' ') END").cast("array<string>").alias("indicators"),
+        (F.col("p_size") - 1).alias("min_matches"),
+        F.lit(True).alias("suppress_if_cited"),
+        F.expr("CASE WHEN p_size = 17 THEN 'x' ELSE 'is' END").alias("flags"),
+    )
+    return audit.validate_pack(rules)
+
+
+@query
+def name_list_hits(spark: SparkSession, sf: str) -> DataFrame:
+    names = spark.createDataFrame([(n,) for n in LISTED_NAMES], "word string")
+    return audit.name_list_hits(planted_documents(spark, sf), "doc_id", "text", names)
+
+
+@query
+def denylist_terms(spark: SparkSession, sf: str) -> DataFrame:
+    terms = spark.createDataFrame([(t,) for t in LISTED_TERMS], "term string")
+    exempt = read(spark, sf, "documents").where(F.col("lang") == "fr").select("doc_id", F.lit(EXEMPT_TERM).alias("term"))
+    return audit.denylist_terms(planted_documents(spark, sf), "doc_id", "text", terms, exempt)
+
+
+@query
+def audit_intent_words(spark: SparkSession, sf: str) -> DataFrame:
+    planted = planted_documents(spark, sf).withColumn("note", phrase_at("doc_id", 1))
+    return audit.audit_intent_words(planted.select("doc_id", "text", "note"), KEY, ["text", "note"])
+
+
+@query
+def catalog_audit(spark: SparkSession, sf: str) -> DataFrame:
+    rules = read(spark, sf, "part").select(F.concat(F.lit("RULE_"), "p_partkey").alias("rule_id"))
+    catalog = read(spark, sf, "orders").groupBy(F.concat(F.lit("RULE_"), F.col("o_custkey") * 2).alias("rule_id")).agg(
+        F.max(F.expr("CASE WHEN o_custkey % 50 = 0 THEN ' ' ELSE string(o_custkey div 3) END")).alias("name"),
+        F.min("o_orderpriority").alias("short"),
+    )
+    return audit.catalog_audit(rules, catalog)
+
+
+@query
+def changed_rules_audit(spark: SparkSession, sf: str) -> DataFrame:
+    def ids(df, column):
+        return df.select(F.concat(F.lit("RULE_"), column).alias("rule_id"))
+
+    lineitem, part = read(spark, sf, "lineitem"), read(spark, sf, "part")
+    return audit.changed_rules_audit(
+        ids(lineitem.where("l_quantity > 25"), "l_partkey"),
+        ids(part.where("p_size > 5"), "p_partkey"),
+        ids(lineitem.where("l_returnflag = 'R'"), "l_partkey"),
+        ids(lineitem.where("l_discount > 0.05"), "l_partkey"),
+    )
+
+
+# --- streams ------------------------------------------------------------------
+
+
+@query
+def scan_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents read as a stream to its end, written out and read back."""
+    folder = shared_folder(spark)
+    schema = read(spark, sf, "documents").select("doc_id", "text").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    rows = stream_scan.scan_stream(plant(stream, "doc_id"), KEY, PACK, "all")
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start(f"{folder}/moves").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/moves")

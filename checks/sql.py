@@ -99,5 +99,5 @@ moves{t} as materialized (select {key},
   cast(row_number() over (partition by {key} order by s, e desc, ord) as int) as move_no,
   rule_id, name, cast(tier as int) as tier, domain, severity, s as "start", e as "end",
   substring(text, s + 1, e - s) as "match"
-  from kept{t} join facts{t} using (ord) join {base} using ({key}))
+  from kept{t} join facts{t} using (ord) join (select {key}, text from {base}) using ({key}))
 """

@@ -5,10 +5,14 @@ Each table is written twice, as a DataFrame and as the same SQL for the oracle.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.phrases import PHRASES
+from swayscan.functions.text import sql_string
 from swayscan.sources.texts import spread
 
 N = len(PHRASES)
@@ -30,16 +34,34 @@ def phrase_no(key: str, place: int) -> str:
     return _AT[place].format(key=key, n=N)
 
 
-def _phrase(key: str, place: int):
-    phrases = F.array(*(F.lit(p) for p, _ in PHRASES))
-    return F.get(phrases, F.expr(f"int({phrase_no(key, place)})"))
+def phrase_at(key: str, place: int):
+    """The phrase planted at a place, as a column."""
+    phrases = ", ".join(sql_string(p) for p, _ in PHRASES)
+    return F.expr(f"get(array({phrases}), int({phrase_no(key, place)}))")
+
+
+def wanted_rules(key: str, places: tuple[int, ...]):
+    """Rules that the phrases at these places raise by themselves, as a column."""
+    lists = ", ".join(
+        "cast(array(" + ", ".join(map(sql_string, rules)) + ") as array<string>)" for _, rules in PHRASES
+    )
+    parts = (f"get(array({lists}), int({phrase_no(key, place)}))" for place in places)
+    return F.expr(f"concat({', '.join(parts)})")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's checkpoint folder; a temporary one if unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base}/{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def plant(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Put one phrase before and two behind each text."""
     planted = F.concat(
-        _phrase(key, 0), F.lit(" "), F.col(text), F.lit(". "),
-        _phrase(key, 1), F.lit(" "), _phrase(key, 2),
+        phrase_at(key, 0), F.lit(" "), F.col(text), F.lit(". "),
+        phrase_at(key, 1), F.lit(" "), phrase_at(key, 2),
     )
     domain = F.get(F.array(*map(F.lit, DOMAIN_CYCLE)), F.expr(f"int({key} % 5)"))
     return df.select(key, planted.alias("text"), domain.alias("doc_domain"))

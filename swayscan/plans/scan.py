@@ -114,6 +114,31 @@ def raw_spans(
     return matched.withColumn("_raw", F.transform("_hits", entry)).drop("_hits")
 
 
+def prefilter_report(
+    df: DataFrame, pack: RulePack | None = None, domain: str | None = None, text: str = "text"
+) -> DataFrame:
+    """Per rule: texts its patterns were run on, and texts they matched."""
+    pack = pack or bundled_pack()
+    rules = pack.select(domain)
+    words = _pack_words(rules)
+    finder = F.regexp_extract_all(folded(F.col(text)), F.lit(word_finder(words)), 1)
+    prepared = accepted(df, text).select(
+        matchable(F.col(text)).alias("_match"), F.array_distinct(finder).alias("_words")
+    )
+    tested = []
+    for _, rule in rules:
+        tests = (
+            f"({holds_needs(needs(p, rule['flags']), words, '_words', '_match')})" for p in rule["indicators"]
+        )
+        tested.append(f"CASE WHEN {' OR '.join(tests)} THEN {sql_string(rule['id'])} END")
+    run = prepared.select(F.explode_outer(F.array_compact(F.expr(f"array({', '.join(tested)})"))).alias("rule_id"))
+    ids = F.expr(f"array({', '.join(sql_string(r['id']) for r in pack.rules)})")
+    raw = raw_spans(df.select(text), pack, domain, text).select(F.explode_outer("_raw.ord").alias("ord"))
+    matched = raw.where(F.col("ord").isNotNull()).groupBy(F.get(ids, F.col("ord")).alias("rule_id"))
+    tests_run = run.where(F.col("rule_id").isNotNull()).groupBy("rule_id").agg(F.count("*").alias("tested"))
+    return tests_run.join(matched.agg(F.count("*").alias("matched")), "rule_id", "left")
+
+
 def apply_min_matches(df: DataFrame) -> DataFrame:
     """Keep a rule only if it has at least ``min_matches`` raw spans in the text."""
     return df.withColumn("_raw", F.filter("_raw", lambda r: F.size(r["spans"]) >= r["least"]))

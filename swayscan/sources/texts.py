@@ -49,7 +49,7 @@ def ascii_json(value) -> F.Column:
     escaped = F.transform(
         letters,
         lambda c: F.when(F.octet_length(c) == 1, c).otherwise(
-            F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\\\u$1")
+            F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
         ),
     )
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.array_join(escaped, ""))
