@@ -117,7 +117,8 @@ ORACLE["word_count"] = f"""with {PLANTED}
 select doc_id, cast(len(regexp_extract_all(text, '[^{SPACE}]+')) as int) as words from planted"""
 
 # The characters outside ASCII in the phrases' matches, as JSON escapes.
-_ESCAPES = {"“": "u201c", "”": "u201d", "٥": "u0665", "٠": "u0660", "\u212a": "u212a", "ſ": "u017f"}
+_ESCAPES = {"“": "u201c", "”": "u201d", "٥": "u0665", "٠": "u0660", "\u212a": "u212a", "ſ": "u017f",
+            "\u00a0": "u00a0", "\u2003": "u2003"}
 _JSON = """to_json({'rules_version': VERSION, 'rules_hash': HASH, 'moves': coalesce(list({'rule_id': rule_id, 'name': name,
   'tier': tier, 'domain': domain, 'severity': severity, 'start': "start", 'end': "end", 'match': "match"} order by move_no)
   filter (where rule_id is not null), []), 'counts': {'1': count(*) filter (where tier = 1), '2': count(*) filter (where tier = 2),
@@ -372,10 +373,9 @@ union all select pack_id, rule_id, 'rule_id is used twice' from r group by 1, 2
 _NAMES = values((n.lower(),) for n in LISTED_NAMES)
 ORACLE["name_list_hits"] = f"""with {PLANTED}, listed(word) as (values {_NAMES}),
 t as (select doc_id, list_distinct(regexp_extract_all(regexp_replace(text, '\\[([A-Za-z])([A-Za-z])\\]', '\\2', 'g'), '[A-Za-z]{{2,}}')) as l from planted),
-w as (select distinct doc_id, lower(x) as word, max(case when x = upper(x) and not list_contains(l, lower(x)) then 1 else 0 end)
-  over (partition by doc_id, lower(x)) as lone from (select doc_id, l, unnest(l) as x from t))
+w as (select doc_id, lower(x) as word, bool_and(x = upper(x)) as lone from (select doc_id, unnest(l) as x from t) group by 1, 2)
 select doc_id, count(*) as names from w where word not in ({', '.join(map(q, CALENDAR_WORDS))})
-  and (lone = 1 or word in (select word from listed)) group by 1 having count(*) >= 2"""
+  and (lone or word in (select word from listed)) group by 1 having count(*) >= 2"""
 
 
 def _forms() -> list[tuple[str, str]]:

@@ -50,7 +50,7 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("All educated people know the rule.", ("SHAME_LEVER",)),
     ("It is heartbreaking to see the mill close.", ("EMOTIONAL_SUBSTITUTION",)),
     ("Just think of the children.", ("EMOTIONAL_SUBSTITUTION",)),
-    ("Just thinK of the children.", ("EMOTIONAL_SUBSTITUTION",)),
+    ("Just thin\u212a of the children.", ("EMOTIONAL_SUBSTITUTION",)),
     ("No caring neighbor could refuse.", ("EMOTIONAL_SUBSTITUTION",)),
     ("A Wellgrove-trained engineer says the arch holds.", ("CREDENTIAL_AS_PREMISE",)),
     ("A renowned miller insists the flour is pure.", ("CREDENTIAL_AS_PREMISE",)),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import product
 from re import _constants as sre
 from re import _parser as sre_parser
@@ -18,10 +19,8 @@ from re import _parser as sre_parser
 # The character classes as Python reads them.
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
-SPACE = (
-    r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+# Single characters below U+0100 are one table look-up in Java; ranges are a test each.
+SPACE = r"\x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F\x20\x85\xA0\p{Z}"
 _CLASSES = {"w": WORD, "d": DIGIT, "s": SPACE}
 
 FLAG_BITS = {"i": re.IGNORECASE, "s": re.DOTALL}
@@ -46,6 +45,7 @@ def check_pattern(pattern: str, flags: str) -> None:
         raise ValueError(f"pattern has a capturing group: {pattern!r}")
 
 
+@lru_cache(maxsize=4096)
 def to_java(pattern: str, flags: str) -> str:
     """The Java pattern that reads text as ``pattern`` does in Python."""
     body = rewrite(pattern, "s" in flags)
@@ -207,6 +207,7 @@ class Needs:
     marks: tuple[tuple[str, ...], ...]
 
 
+@lru_cache(maxsize=4096)
 def needs(pattern: str, flags: str) -> Needs:
     """The literals a pattern promises, longest first, at most three sets each."""
     run, run_edge, found, _ = _walk(sre_parser.parse(pattern, flag_bits(flags)), False)

@@ -40,7 +40,10 @@ def matchable(text: Column) -> Column:
 def folded(text: Column) -> Column:
     """Lower case, with the characters that ignore-case matching reads as ASCII."""
     # Long s, Kelvin sign, dotless i, dotted I.
-    return F.lower(F.translate(text, "ſKıİ", "skii"))
+    odd = "ſ\u212aıİ"
+    ascii_only = F.octet_length(text) == F.length(text)
+    usual = ascii_only | ~text.rlike(f"[{odd}]")
+    return F.when(usual, F.lower(text)).otherwise(F.lower(F.translate(text, odd, "skii")))
 
 
 def sql_string(value: str) -> str:
@@ -70,7 +73,7 @@ def holds_needs(needed: Needs, words: list[str], found: str, text: str) -> str:
 
 def word_count(text: Column) -> Column:
     """Number of runs of characters that are not white space."""
-    return F.regexp_count(text, F.lit(rf"[^{SPACE}]+"))
+    return F.size(F.array_remove(F.split(text, f"[{SPACE}]+"), ""))
 
 
 def utf16_length(text: Column) -> Column:

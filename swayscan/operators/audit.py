@@ -97,20 +97,20 @@ def name_list_hits(df: DataFrame, key: str, text: str, names: DataFrame, least:
     Words are made distinct in their row, so only rows' own words travel.
     """
     flat = F.regexp_replace(text, r"\[([A-Za-z])([A-Za-z])\]", "$2")
-    tokens = F.array_distinct(F.regexp_extract_all(flat, F.lit(r"([A-Za-z]{2,})"), 1))
+    tokens = F.filter(F.array_distinct(F.split(flat, "[^A-Za-z]+")), lambda t: F.length(t) > 1)
     rows = df.select(key, tokens.alias("tokens"))
-    lowers = F.filter("tokens", lambda t: t == F.lower(t))
-    upper = F.filter("tokens", lambda t: (t == F.upper(t)) & ~F.array_contains(lowers, F.lower(t)))
-    words = rows.select(
-        key,
-        F.explode_outer(F.array_distinct(F.transform("tokens", lambda t: F.lower(t)))).alias("word"),
-        F.transform(upper, lambda t: F.lower(t)).alias("acronyms"),
-    ).where(~F.col("word").isin(*CALENDAR_WORDS))
-    listed = names.select(F.lower("word").alias("word")).distinct().withColumn("listed", F.lit(True))
-    marked = words.join(listed, "word", "left").where(
-        F.col("listed") | F.array_contains("acronyms", F.col("word"))
+    # A lone acronym is written in capitals only, so its word is not among the others.
+    others = F.transform(F.filter("tokens", lambda t: t != F.upper(t)), lambda t: F.lower(t))
+    calendar = F.array(*map(F.lit, CALENDAR_WORDS))
+    acronyms = F.array_except(F.array_except(F.transform("tokens", lambda t: F.lower(t)), others), calendar)
+    words = F.concat(
+        F.transform(acronyms, lambda w: F.struct(w.alias("word"), F.lit(True).alias("lone"))),
+        F.transform(F.array_except(others, calendar), lambda w: F.struct(w.alias("word"), F.lit(False).alias("lone"))),
     )
-    return marked.groupBy(key).agg(F.count("*").alias("names")).where(F.col("names") >= least)
+    listed = names.select(F.lower("word").alias("word")).distinct().withColumn("listed", F.lit(True))
+    marked = rows.select(key, F.explode_outer(words).alias("w")).select(key, "w.*").join(listed, "word", "left")
+    found = marked.where(F.col("lone") | F.col("listed"))
+    return found.groupBy(key).agg(F.count("*").alias("names")).where(F.col("names") >= least)
 
 
 def listed_forms(terms: DataFrame) -> DataFrame:

@@ -273,7 +273,8 @@ def engine_parity(df: DataFrame, keys: list[str], pack: RulePack, domain: str =
     native = plan.with_moves(df, pack, domain).withColumnRenamed("moves", "moves_native")
     raw = native.withColumn("_raw", arrow_raw(F.col("text"), pack, domain))
     passed = raw.withColumn("_raw", F.filter("_raw", lambda r: ~r["cited"]))
-    other = plan.keep_spans(passed).withColumn("moves_arrow", plan.ordered_moves(pack, F.col("text")))
+    kept = plan.without_overlaps(F.col("_raw"))
+    other = passed.withColumn("moves_arrow", plan.ordered_moves(kept, pack, F.col("text")))
     return other.select(
         *keys,
         F.size("moves_native").alias("n_native"),

@@ -3,13 +3,15 @@
 Every step works on array columns of the text's own row. Nothing shuffles, so
 a scan takes time in proportion to the text and skew between keys is harmless.
 
-``_hits`` is ``array<struct<ord, least, cited, parts>>``: one entry per rule
-whose required literals are in the text, with the text cut at the matches of
-each of its patterns. ``_raw`` replaces the cuts by spans.
+``_raw`` is ``array<struct<ord, least, cited, spans>>``: one entry per rule that
+matches, with its place in the pack, its threshold, whether it heeds citations,
+and the spans of all its patterns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def _pack_words(rules) -> list[str]:
 
 
 def _rule_hits(order: int, rule: dict, words: list[str], by_row: bool) -> str:
-    """SQL for one rule's entry of ``_hits``."""
+    """SQL for one rule: the text cut at the matches of each of its patterns."""
     parts = []
     for pattern in rule["indicators"]:
         cuts = cut_at_matches_sql("_match", pattern, rule["flags"])
@@ -86,8 +88,14 @@ def raw_spans(
     pack: RulePack | None = None,
     domain: str | Column | None = None,
     text: str = "text",
+    add: str = "_raw",
+    then: Callable[[Column], Column] = lambda raw: raw,
 ) -> DataFrame:
-    """Add ``_raw``: per rule, every match of every pattern."""
+    """Add ``_raw``: per rule, every match of every pattern.
+
+    ``then`` turns the raw spans into another column, added as ``add``; in one
+    step, because Spark analyses the whole pack again for every step.
+    """
     pack = pack or bundled_pack()
     by_row = isinstance(domain, Column)
     rules = pack.select("all" if by_row else domain)
@@ -104,14 +112,14 @@ def raw_spans(
     hit = F.filter(
         hits, lambda h: F.exists(h["parts"], lambda p: F.coalesce(F.size(p) > 1, F.lit(False)))
     )
-    matched = prepared.withColumn("_hits", hit).drop("_words", "_domain")
 
     def entry(h):
         cuts = F.filter(h["parts"], lambda p: F.size(p) > 1)
         spans = F.flatten(F.transform(cuts, spans_of_cuts))
         return F.struct(h["ord"], h["least"], h["cited"], spans.alias("spans"))
 
-    return matched.withColumn("_raw", F.transform("_hits", entry)).drop("_hits")
+    kept = [c for c in df.columns if c != "_raw"]
+    return prepared.select(*kept, "_match", then(F.transform(hit, entry)).alias(add))
 
 
 def prefilter_report(
@@ -139,9 +147,14 @@ def prefilter_report(
     return tests_run.join(matched.agg(F.count("*").alias("matched")), "rule_id", "left")
 
 
-def apply_min_matches(df: DataFrame) -> DataFrame:
+def at_least(raw: Column) -> Column:
     """Keep a rule only if it has at least ``min_matches`` raw spans in the text."""
-    return df.withColumn("_raw", F.filter("_raw", lambda r: F.size(r["spans"]) >= r["least"]))
+    return F.filter(raw, lambda r: F.size(r["spans"]) >= r["least"])
+
+
+def apply_min_matches(df: DataFrame) -> DataFrame:
+    """``at_least`` on the ``_raw`` column."""
+    return df.withColumn("_raw", at_least(F.col("_raw")))
 
 
 # --- citations ----------------------------------------------------------------
@@ -182,9 +195,8 @@ def is_cited(text: Column, match_text: Column, lowered: Column, span: Column, pa
     return let(F.instr(lowered, wording), lambda first: (first > 0) & let(around(first), touched))
 
 
-def mark_cited(df: DataFrame, pack: RulePack | None = None, text: str = "text") -> DataFrame:
-    """Add ``quiet`` to each entry of ``_raw``: every span of the rule is cited."""
-    pack = pack or bundled_pack()
+def cited_marks(raw: Column, pack: RulePack, text: str = "text") -> Column:
+    """Add ``quiet`` to each entry: the rule heeds citations and all its spans are cited."""
     body, match_text, lowered = F.col(text), F.col("_match"), F.lower(F.col(text))
 
     def entry(r):
@@ -192,24 +204,39 @@ def mark_cited(df: DataFrame, pack: RulePack | None = None, text: str = "text")
         quiet = F.when(r["cited"], ~uncited).otherwise(False)
         return F.struct(r["ord"], r["least"], r["cited"], r["spans"], quiet.alias("quiet"))
 
-    return df.withColumn("_raw", F.transform("_raw", entry))
+    return F.transform(raw, entry)
 
 
-def suppress_cited(df: DataFrame, pack: RulePack | None = None, text: str = "text") -> DataFrame:
+def uncited(raw: Column, pack: RulePack, text: str = "text") -> Column:
     """Drop a citation-sensitive rule from a text where all its spans are cited."""
-    return mark_cited(df, pack, text).withColumn("_raw", F.filter("_raw", lambda r: ~r["quiet"]))
+    if not any(r["suppress_if_cited"] for r in pack.rules):
+        return raw
+    return F.filter(cited_marks(raw, pack, text), lambda r: ~r["quiet"])
+
+
+def mark_cited(df: DataFrame, pack: RulePack | None = None, text: str = "text") -> DataFrame:
+    """``cited_marks`` on the ``_raw`` column."""
+    return df.withColumn("_raw", cited_marks(F.col("_raw"), pack or bundled_pack(), text))
+
+
+def suppress_cited(df: DataFrame, pack: RulePack | None = None, text: str = "text") -> DataFrame:
+    """``uncited`` on the ``_raw`` column."""
+    return df.withColumn("_raw", uncited(F.col("_raw"), pack or bundled_pack(), text))
 
 
 # --- moves --------------------------------------------------------------------
 
 
-def keep_spans(df: DataFrame) -> DataFrame:
+def without_overlaps(raw: Column) -> Column:
     """Remove overlaps inside each rule; rules never affect each other."""
+    return F.transform(
+        raw, lambda r: F.struct(r["ord"].alias("ord"), drop_overlaps(r["spans"]).alias("spans"))
+    )
 
-    def entry(r):
-        return F.struct(r["ord"], drop_overlaps(r["spans"]).alias("spans"))
 
-    return df.withColumn("_raw", F.transform("_raw", entry))
+def keep_spans(df: DataFrame) -> DataFrame:
+    """``without_overlaps`` on the ``_raw`` column."""
+    return df.withColumn("_raw", without_overlaps(F.col("_raw")))
 
 
 def _rule_facts(pack: RulePack) -> Column:
@@ -223,12 +250,12 @@ def _rule_facts(pack: RulePack) -> Column:
     return F.expr(f"array({', '.join(rows)})")
 
 
-def ordered_moves(pack: RulePack, text: Column) -> Column:
+def ordered_moves(raw: Column, pack: RulePack, text: Column) -> Column:
     """Moves by start, longest first, then pack order."""
     keys = F.array_sort(
         F.flatten(
             F.transform(
-                "_raw",
+                raw,
                 lambda r: F.transform(
                     r["spans"],
                     lambda s: F.struct(
@@ -269,11 +296,12 @@ def with_moves(
 ) -> DataFrame:
     """Add ``moves``, the ordered moves of each accepted text."""
     pack = pack or bundled_pack()
-    found = apply_min_matches(raw_spans(df, pack, domain, text))
-    if any(r["suppress_if_cited"] for r in pack.rules):
-        found = suppress_cited(found, pack, text)
-    kept = keep_spans(found)
-    return kept.withColumn("moves", ordered_moves(pack, F.col(text))).drop("_raw", "_match")
+
+    def finish(raw: Column) -> Column:
+        kept = without_overlaps(uncited(at_least(raw), pack, text))
+        return ordered_moves(kept, pack, F.col(text))
+
+    return raw_spans(df, pack, domain, text, add="moves", then=finish).drop("_match")
 
 
 def scan(

@@ -16,9 +16,9 @@ from pathlib import Path
 _NAME_CHARS = r"[^\s,:;.!?\"“”()\[\]{}]+"
 _ABBREV = (
     r"(?:Dr|Mr|Mrs|Ms|St|Mt|Ft|Jr|Sr|Rep|Sen|Gov|Rev|Msgr|Prof|Gen|Col|Lt|Hon"
-    r"|Univ|Inst|Dept|Assn|Ph\.D|[A-Z])\."
+    r"|Univ|Inst|Dept|Assn|Ph\.D)\.|(?:[A-Z]\.){1,8}"
 )
-NAME = rf"(?:{_ABBREV}|{_NAME_CHARS}(?:[.!?:]{_NAME_CHARS})*)"
+NAME = rf"(?:{_NAME_CHARS}(?:[.!?:]{_NAME_CHARS})*|{_ABBREV})"
 """One name token: punctuation may sit inside it but does not end it."""
 
 
