@@ -94,8 +94,3 @@ def clip_text(text: Column, units: int) -> Column:
     whole = F.when(halves_a_pair, F.substring(cut, 1, 2 * units - 2)).otherwise(cut)
     return F.decode(whole, "UTF-16BE")
 
-
-def tag_free(html: Column) -> Column:
-    """Page text without scripts, styles and tags; white space runs collapsed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"\s+", " "))

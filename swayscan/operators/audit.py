@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swayscan.sources.pack import FLAGS, PRINCIPLES, RULE_DOMAINS, SEVERITIES, TIERS
+from swayscan.sources.texts import small
 
 # Words of motive that a name or description must not hold.
 INTENT_WORDS = (
@@ -108,8 +109,8 @@ def name_list_hits(df: DataFrame, key: str, text: str, names: DataFrame, least:
         F.transform(F.array_except(others, calendar), lambda w: F.struct(w.alias("word"), F.lit(False).alias("lone"))),
     )
     listed = names.select(F.lower("word").alias("word")).distinct().withColumn("listed", F.lit(True))
-    marked = rows.select(key, F.explode_outer(words).alias("w")).select(key, "w.*").join(listed, "word", "left")
-    found = marked.where(F.col("lone") | F.col("listed"))
+    split = rows.select(key, F.explode_outer(words).alias("w")).select(key, "w.*")
+    found = split.join(small(listed), "word", "left").where(F.col("lone") | F.col("listed"))
     return found.groupBy(key).agg(F.count("*").alias("names")).where(F.col("names") >= least)
 
 
@@ -149,5 +150,5 @@ def word_runs(text: Column) -> Column:
 def denylist_terms(df: DataFrame, key: str, text: str, terms: DataFrame, exempt: DataFrame) -> DataFrame:
     """Listed terms, in any form, that texts hold; exempt ``(key, term)`` pairs aside."""
     words = df.select(key, F.explode(word_runs(F.col(text))).alias("form"))
-    found = words.join(listed_forms(terms), "form").select(key, "term", "form").distinct()
+    found = words.join(small(listed_forms(terms)), "form").select(key, "term", "form").distinct()
     return found.join(exempt, [key, "term"], "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from swayscan.functions.spans import drop_overlaps
 from swayscan.plans import scan as plan
 from swayscan.sources.pack import RulePack
+from swayscan.sources.texts import small
 
 # --- swapped pairs ------------------------------------------------------------
 
@@ -319,7 +320,7 @@ def guide_check(entries: DataFrame, key: str, pack: RulePack, rules: DataFrame)
     known = rules.select(
         F.col("rule_id").alias("id"), F.col("pit_tier").alias("pack_tier"), F.col("domain").alias("pack_domain")
     )
-    texts = entries.join(F.broadcast(known), "id", "left").withColumn("part", F.explode(parts)).select("*", "part.*")
+    texts = entries.join(small(known), "id", "left").withColumn("part", F.explode(parts)).select("*", "part.*")
     scanned = plan.with_moves(texts.drop("part", "example", "honest", "fair_use"), pack, F.col("domain"))
     own = F.filter("moves", lambda m: m["rule_id"] == F.col("id"))
     others = F.filter("moves", lambda m: m["rule_id"] != F.col("id"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swayscan.sources.texts import small
+
 BUCKETS = 1024
 """Units of the bootstrap: texts are counted per bucket before resampling."""
 
@@ -21,7 +23,7 @@ def rule_outcomes(labelled: DataFrame, keys: list[str], technique_rules: DataFra
     text; ``technique_rules`` maps techniques to rules and is as small as a
     pack. Rules neither raised nor labelled in a text have no row.
     """
-    mapped = F.broadcast(technique_rules)
+    mapped = small(technique_rules)
     raised = labelled.select(*keys, F.explode_outer("rule_ids").alias("rule_id"), F.lit(1).alias("raised"),
                              F.lit(0).alias("labelled"))
     wanted = (

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swayscan.functions.regex import needs, word_finder
+from swayscan.functions.regex import Needs, needs, word_finder
 from swayscan.functions.spans import (
     SPAN,
     cut_at_matches,
@@ -69,18 +69,24 @@ def _pack_words(rules) -> list[str]:
 
 def _rule_hits(order: int, rule: dict, words: list[str], by_row: bool) -> str:
     """SQL for one rule: the text cut at the matches of each of its patterns."""
-    parts = []
+    parts, firsts = [], []
     for pattern in rule["indicators"]:
         cuts = cut_at_matches_sql("_match", pattern, rule["flags"])
-        test = holds_needs(needs(pattern, rule["flags"]), words, "_words", "_match")
-        parts.append(f"CASE WHEN {test} THEN {cuts} END")
+        needed = needs(pattern, rule["flags"])
+        parts.append(f"CASE WHEN {holds_needs(needed, words, '_words', '_match')} THEN {cuts} END")
+        firsts.append(set(needed.words[0]) if needed.words else None)
     entry = (
         f"named_struct('ord', {order}, 'least', {rule['min_matches']}, "
         f"'cited', {str(rule['suppress_if_cited']).lower()}, 'parts', array({', '.join(parts)}))"
     )
+    tests = []
     if by_row and rule["domain"] != "general":
-        return f"CASE WHEN _domain IN ('all', '{rule['domain']}') THEN {entry} END"
-    return entry
+        tests.append(f"_domain IN ('all', '{rule['domain']}')")
+    if len(parts) > 1 and all(firsts):
+        # One test for the whole rule spares most texts a test per pattern.
+        any_first = Needs((tuple(sorted(set().union(*firsts))),), ())
+        tests.append(holds_needs(any_first, words, "_words", "_match"))
+    return f"CASE WHEN {' AND '.join(tests)} THEN {entry} END" if tests else entry
 
 
 def raw_spans(

@@ -11,19 +11,35 @@ MAX_BYTES = 4 * MAX_CHARS
 """Byte ceiling of a text file; a longer one cannot be a text the scan accepts."""
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Share a small table's rows over all cores before costly per-row work.
 
     A small file is often one row group, so one task would do all the work. A
     table that already has a few partitions per core is left as it is: at
-    scale this adds no shuffle.
+    scale this adds no shuffle. Meant for tables as read; asking a joined
+    frame for its partitions would run the join.
+
+    With keys, rows are always hashed by them, so that a later grouping by the
+    keys needs no shuffle of its own.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if keys:
+        return df.repartition(max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(4 * cores)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Mark a list for broadcast if counting shows that it is short.
+
+    The count stops just past the limit. A longer list is joined like any other
+    table, and Spark splits its hot keys.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def read_utf8_files(spark: SparkSession, path: str) -> DataFrame:
     """Files as ``path, text, reject_reason``; line endings stay as they are.
 
