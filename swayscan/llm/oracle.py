@@ -3,8 +3,8 @@
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_top_k"] = """
-with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
@@ -14,7 +14,7 @@ from s qualify rank <= 5
 ORACLE["op2_embedding_copies"] = """
 with recursive v as (select vec_id, label, embedding::double[] as v from embeddings
   where embedding is not null and label is not null and len(embedding) > 0
-  and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
   where list_cosine_similarity(a.v, b.v) >= 0.93),
 reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),

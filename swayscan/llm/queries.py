@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swayscan.llm import neighbours, simhash, topk
+from swayscan.llm import bpe, neighbours, simhash, topk
 from swayscan.llm.tables import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,12 @@ def op2_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(encoded).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, limit=4)
