@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swayscan.llm import bpe, neighbours, simhash, topk
+from swayscan.llm import bpe, langid, neighbours, simhash, topk
 from swayscan.llm.tables import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, limit=4)
     return found.withColumnRenamed("id", "doc_id")
+
+
+def _held_out(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string")) % 4 == 2
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~_held_out()))
+    found = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "bits")
