@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swayscan.llm import bpe, langid, neighbours, simhash, topk
+from swayscan.llm import bpe, langid, neighbours, secret_scan, simhash, topk
 from swayscan.llm.tables import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.filter(~_held_out()))
     found = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "bits")
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(_table(spark, sf_dir, "documents"))
+    return secret_scan.digests(found).withColumnRenamed("id", "doc_id")
