@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 
 KINDS = ("assign", "access", "hex", "literal")
 LEAST = 0.5  # score from which an assigned literal is reported
+LONGEST = 4096  # bytes of a value; what is longer is a text and no secret
 
 # The contract's patterns (fixed values). Letters match in either case for the first only.
 _ASSIGN = re.compile(
@@ -31,7 +34,7 @@ _NAME = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _SPACE = frozenset(b" \t")
 _QUOTED = re.compile(rb'"((?:[^"\\\n]|\\.)*+)"|\'((?:[^\'\\\n]|\\.)*+)\'|`((?:[^`\\\n]|\\.)*+)`')
 _WORD = re.compile(rb"[A-Za-z_$][A-Za-z0-9_$.]*+")
-_BARE = re.compile(rb"[^\s\"'`,;#(){}\[\]<>]++")
+_BARE = re.compile(rb"[^\s\"'`,;#(){}\[\]<>=:]++(?:={1,2}(?=[\s,;]|\Z))?")
 _PLUS = re.compile(rb"[ \t]*+(?:\+|\.\.)[ \t]*+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLAIN = re.compile(rb"(?i)(?:true|false|null|none|undefined|changeme|example|placeholder|your.*|x+|\*+|\.+|[0-9.:-]+)\Z")
@@ -131,7 +134,7 @@ def assigned_spans(data: bytes) -> list[Span]:
     the value; a name in a value stands for what it was last bound to. A literal is reported once, where it stands,
     if the product of the target's and the value's scores is high enough.
     """
-    bound: dict[str, tuple[bytes, tuple[tuple[int, int], ...]]] = {}
+    bound: dict[str, tuple[bytes, list[tuple[int, int]]]] = {}
     found: dict[tuple[int, int], Span] = {}
     for m in _OPERATOR.finditer(data):
         if data[m.end() : m.end() + 1] == b"=" or data[m.start() - 1 : m.start()] in (b"=", b"!", b"<", b">"):
@@ -142,15 +145,18 @@ def assigned_spans(data: bytes) -> list[Span]:
         at = m.end()
         while data[at : at + 1] in (b" ", b"\t"):
             at += 1
-        value, places = b"", ()
+        parts, places = [], []
         for kind, start, end in _operands(data, at):
             known = bound.get(data[start:end].decode("ascii")) if kind == "name" else None
-            if known and len(value) + len(known[0]) <= 65536:
-                value, places = value + known[0], places + known[1]
+            if known:
+                parts.append(known[0])
+                places += known[1]
             elif kind != "name" or not places:
-                value, places = value + data[start:end], (*places, (start, end))
-        if not places or len(places) > 64:
+                parts.append(data[start:end])
+                places.append((start, end))
+        if not places or sum(map(len, parts)) > LONGEST:
             continue
+        value = b"".join(parts)
         bound[name] = (value, places)
         if name_score(name) * literal_score(value) >= LEAST:
             for start, end in places:
@@ -164,7 +170,9 @@ def scan(text: str) -> list[Span]:
     base = base_spans(data)
     if b"=" not in data and b":" not in data:
         return base
-    added = [s for s in assigned_spans(data) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    starts = [s.start for s in base]
+    reach = [0, *accumulate((s.end for s in base), max)]  # furthest end of the first spans
+    added = [s for s in assigned_spans(data) if reach[bisect_right(starts, s.start)] < s.end]
     return sorted(base + added, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
