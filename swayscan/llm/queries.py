@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swayscan.llm import bpe, langid, neighbours, secret_scan, simhash, topk
+from swayscan.llm import bpe, langid, neighbours, secret_scan, simhash, topk, toxicity
 from swayscan.llm.tables import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find(_table(spark, sf_dir, "documents"))
     return secret_scan.digests(found).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs.select("doc_id", "text").filter(~_held_out()).join(labels, "doc_id"))
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", _held_out().alias("held_out"), "score", "predicted", "spans")
