@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,13 +16,15 @@ ROWS = 4096  # vectors of a block
 QUERIES = 1024  # queries of a block
 
 
-def whole_numbers(vector: str) -> Column:
+def whole_numbers(vector: str, width: int) -> Column:
     """Components times 256, rounded down; null if the vector or a component is null or not finite.
 
-    Values beyond a 64-bit number are held at its ends.
+    Components are held within the range in which every inner product of ``width`` of them fits 64 bits.
     """
     bad = f"exists({vector}, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
-    return F.expr(f"if({bad}, null, transform({vector}, x -> bigint(floor({SCALE}D * double(x)))))")
+    most = math.isqrt((2**63 - 1) // max(width, 1))
+    held = f"greatest({-most}, least({most}, bigint(least(9e18D, greatest(-9e18D, floor({SCALE}D * double(x)))))))"
+    return F.expr(f"if({bad}, null, transform({vector}, x -> {held}))")
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -32,58 +36,49 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows of a and b; Python numbers where 64 bits might not hold them."""
-    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
+    """Exact integer inner products of all rows of a and b."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
-        return np.rint(a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    if most < 2**62:
-        return a @ b.T
-    return a.astype(object) @ b.T.astype(object)
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    return a @ b.T
 
 
-def _parts(queries: pd.DataFrame, rows: pd.DataFrame, blocks: int):
+def _parts(queries: pd.DataFrame, rows: pd.DataFrame, cuts: list[tuple[int, int]]):
     """Scores of each block of dimensions, for some queries at a time: (query positions, block, scores)."""
-    width = max(queries.v.map(len).max(), rows.v.map(len).max())
-    q, r = _matrix(queries.v, width), _matrix(rows.v, width)
-    cuts = [round(i * width / blocks) for i in range(blocks + 1)]
+    q, r = _matrix(queries["v"], cuts[-1][1]), _matrix(rows["v"], cuts[-1][1])
     for start in range(0, len(q), 256):
-        for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        for j, (a, b) in enumerate(cuts):
             yield np.arange(start, min(start + 256, len(q))), j, _products(q[start : start + 256, a:b], r[:, a:b])
 
 
-def _long(values) -> np.ndarray:
-    return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in values], np.int64)
-
-
-def _local_lists(n: int, blocks: int):
+def _local_lists(n: int, cuts: list[tuple[int, int]]):
     """Phase 1 of one cell: the n best of each list, and the least score of the list (its row has no class)."""
 
     def cell(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(rows):
             names, of = rows["cls"].to_numpy(), queries["q"].to_numpy()
-            for at, j, scores in _parts(queries, rows, blocks):
+            for at, j, scores in _parts(queries, rows, cuts):
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
                 top = np.take_along_axis(scores, best, 1)
-                found.append(pd.DataFrame({"q": of[at].repeat(best.shape[1]), "j": j, "cls": pd.array(names[best].ravel(), "Int64"), "s": _long(top.ravel())}))
-                found.append(pd.DataFrame({"q": of[at], "j": j, "cls": pd.array([None] * len(at), "Int64"), "s": _long(scores.min(axis=1))}))
+                found.append(pd.DataFrame({"q": of[at].repeat(best.shape[1]), "j": j, "cls": pd.array(names[best].ravel(), "Int64"), "s": top.ravel()}))
+                found.append(pd.DataFrame({"q": of[at], "j": j, "cls": pd.array([None] * len(at), "Int64"), "s": scores.min(axis=1)}))
         return pd.concat(found) if found else pd.DataFrame({"q": [], "j": [], "cls": [], "s": []})
 
     return cell
 
 
-def _entries(blocks: int):
+def _entries(cuts: list[tuple[int, int]]):
     """Phase 2 of one cell: every entry at or above its list's share of the query's threshold."""
 
     def cell(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(rows):
             names, of = rows["cls"].to_numpy(), queries["q"].to_numpy()
-            floors, need = _matrix(queries["floors"], blocks), queries["need"].to_numpy()
-            for at, j, scores in _parts(queries, rows, blocks):
-                least = floors[at, j] - (-need[at] // blocks)  # floor + need / blocks, rounded up
-                x, y = np.nonzero(scores >= least[:, None])
-                found.append(pd.DataFrame({"q": of[at][x], "j": j, "cls": names[y], "s": _long(scores[x, y])}))
+            floors, share = _matrix(queries["floors"], len(cuts)), queries["share"].to_numpy()
+            for at, j, scores in _parts(queries, rows, cuts):
+                x, y = np.nonzero(scores >= (floors[at, j] + share[at])[:, None])
+                found.append(pd.DataFrame({"q": of[at][x], "j": j, "cls": names[y], "s": scores[x, y]}))
         return pd.concat(found) if found else pd.DataFrame({"q": [], "j": [], "cls": [], "s": []})
 
     return cell
@@ -101,13 +96,17 @@ def top_k(
 
     Equal vectors form one class that is searched once; its ``k + 1`` smallest ids stand for it. Classes and queries
     meet block by block. Each of ``blocks`` runs of dimensions is one score list per query. Phase 1 takes the best of
-    every list; with the list's least score for what a list does not name, the (k+1)-th best sum is a safe threshold.
-    Phase 2 sends each list its share of that threshold and gets every entry at or above it; a class that no list
-    sends stays below. Phase 3 drops what cannot reach the (k+1)-th best and computes the missing scores of the rest.
+    every list; the (k+1)-th best score of what it found is a safe threshold. Phase 2 sends each list its equal share
+    of what the threshold lies above the lists' least scores, and gets every entry at or above it; a class that no
+    list sends stays below the threshold. Phase 3 drops what cannot reach it and computes the missing scores.
     """
     n = k + 1
+    width = vectors.agg(F.max(F.size(vector_col))).first()[0]
+    width = max(width or 0, 1)
+    at = [round(i * width / blocks) for i in range(blocks + 1)]
+    cuts = [(a, b) for a, b in zip(at, at[1:]) if b > a]
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("x"), queries.alias("is_query"))
-    rows = rows.select("id", whole_numbers("x").alias("v"), "is_query").filter("id is not null and v is not null")
+    rows = rows.select("id", whole_numbers("x", width).alias("v"), "is_query").filter("id is not null and v is not null")
     rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query"))
     rows = written(rows.withColumn("h", F.xxhash64("v")))
     same = Window.partitionBy("h", "v").orderBy("id")
@@ -119,6 +118,16 @@ def top_k(
         asked.select("h", "v").distinct().join(classes, ["h", "v"]).select(F.col("cls").alias("q"), "v")
     )
 
+    def resolved(pairs: DataFrame) -> DataFrame:
+        """Whole scores of ``pairs(q, cls, have, known)``: known is the sum of the lists in have."""
+        pairs = pairs.join(wanted.select("q", F.col("v").alias("qv")), "q").join(classes.select("cls", "v", "ids"), "cls")
+        terms = [
+            f"if(array_contains(have, {j}), 0L, aggregate(zip_with(slice(qv, {a + 1}, {b - a}), slice(v, {a + 1}, "
+            f"{b - a}), (x, y) -> coalesce(x * y, 0L)), 0L, (t, p) -> t + p))"
+            for j, (a, b) in enumerate(cuts)
+        ]
+        return pairs.select("q", "cls", "ids", F.expr(f"known + {' + '.join(terms)}").alias("score"))
+
     row_blocks, query_blocks = -(-classes.count() // ROWS) or 1, -(-wanted.count() // QUERIES) or 1
     grid_rows = classes.select("cls", "v", F.expr(f"int(pmod(xxhash64(cls), {row_blocks}))").alias("rb"))
     grid_rows = grid_rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
@@ -129,37 +138,29 @@ def top_k(
         pairs = frame.groupBy("rb", "qb").cogroup(grid_rows.groupBy("rb", "qb"))
         return pairs.applyInPandas(work, "q long, j int, cls long, s long")
 
-    first = written(over_cells(wanted, _local_lists(n, blocks)))
+    first = written(over_cells(wanted, _local_lists(n, cuts)))
     floors = first.filter("cls is null").groupBy("q", "j").agg(F.min("s").alias("floor"))
     in_list = Window.partitionBy("q", "j").orderBy(F.desc("s"), "cls")
     lists = first.filter("cls is not null").withColumn("nth", F.row_number().over(in_list)).filter(F.col("nth") <= n)
-    excess = lists.join(floors, ["q", "j"]).groupBy("q", "cls").agg(F.sum(F.expr("s - floor")).alias("sum"))
-    by_sum = Window.partitionBy("q").orderBy(F.desc("sum"), "cls")
-    need = excess.withColumn("nth", F.row_number().over(by_sum)).filter(F.col("nth") == n).select("q", F.col("sum").alias("need"))
+    listed = lists.select("q", "cls").distinct().selectExpr("q", "cls", "cast(array() as array<int>) as have", "0L as known")
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
+    nth = resolved(listed).withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") == n)
     by_block = F.transform(F.sort_array(F.collect_list(F.struct("j", "floor"))), lambda x: x["floor"])
-    cut = floors.groupBy("q").agg(by_block.alias("floors")).join(need, "q", "left").fillna(0, ["need"])
-    cut = written(cut.withColumn("share", F.expr(f"(need + {blocks - 1}) div {blocks}")))
+    cut = floors.groupBy("q").agg(by_block.alias("floors"), F.sum("floor").alias("least"))
+    cut = cut.join(nth.select("q", "score"), "q", "left")
+    cut = cut.select("q", "floors", F.expr("coalesce(score - least, 0L)").alias("need"))
+    cut = written(cut.withColumn("share", F.expr(f"(need + {len(cuts) - 1}) div {len(cuts)}")))
 
-    sent = written(over_cells(wanted.join(cut, "q"), _entries(blocks)))
-    seen = sent.join(cut, "q").groupBy("q", "cls", "share").agg(
+    sent = written(over_cells(wanted.join(cut, "q"), _entries(cuts)))
+    seen = sent.join(cut, "q").groupBy("q", "cls", "need", "share").agg(
         F.sum(F.expr("s - floors[j]")).alias("sum"), F.sum("s").alias("known"), F.collect_set("j").alias("have")
     )
-    seen = written(seen.withColumn("most", F.expr(f"sum + ({blocks} - size(have)) * greatest(share - 1, 0)")))
-    kth = seen.withColumn("nth", F.row_number().over(by_sum)).filter(F.col("nth") == n).select("q", F.col("sum").alias("kth"))
-    alive = seen.join(kth, "q", "left").filter("kth is null or most >= kth")
-    width = "greatest(size(qv), size(v))"
-    cuts = F.expr(f"transform(sequence(0, {blocks}), i -> int(bround(i * {width} / {blocks})))")
-    pairs = alive.join(wanted.select("q", F.col("v").alias("qv")), "q").join(classes.select("cls", "v", "ids"), "cls")
-    missing = F.expr(
-        "aggregate(zip_with(qv, v, (a, b) -> coalesce(a, 0L) * coalesce(b, 0L)), struct(0 as at, known as s), (t, p) ->"
-        " struct(t.at + 1 as at, if(array_contains(have, size(filter(cuts, c -> c <= t.at)) - 1), t.s, t.s + p) as s), t -> t.s)"
-    )
-    scored = pairs.withColumn("cuts", cuts).select("q", "cls", "ids", missing.alias("score"))
-    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
-    scored = scored.withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= n)
+    alive = seen.filter(f"sum + ({len(cuts)} - size(have)) * greatest(share - 1, 0) >= need")
+    scored = resolved(alive.select("q", "cls", "have", "known"))
+    scored = scored.withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") <= n)
     found = scored.select("q", "score", F.explode("ids").alias("id"))
-    members = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    found = found.withColumn("nth", F.row_number().over(members)).filter(F.col("nth") <= n)
+    by_member = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    found = found.withColumn("nth", F.row_number().over(by_member)).filter(F.col("nth") <= n)
     answer = written(found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("nth", "id", "score"))).alias("best")))
 
     to_class = classes.select(F.col("cls").alias("q"), "h", "v")
