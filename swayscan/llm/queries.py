@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swayscan.llm import bpe, langid, neighbours, secret_scan, simhash, topk, toxicity
+from swayscan.llm import bpe, langid, neighbours, secret_scan, simhash, topk, toxicity, warc
 from swayscan.llm.tables import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs.select("doc_id", "text").filter(~_held_out()).join(labels, "doc_id"))
     found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", _held_out().alias("held_out"), "score", "predicted", "spans")
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = warc.read(warc.write(pages), pages)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
