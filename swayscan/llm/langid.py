@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDER = 3  # bytes of the longest context
 ROWS = 400  # training documents of a language, at most
 BLOCK = 1 << 20  # bytes scored at once
 UNKNOWN = "und"
-# A text that costs more bits a byte than this in every language is no language that was learned
-MOST_BITS = 6.5
+MOST_BITS = 8  # a byte: a text that costs as much in every language is in none of them
 
 
 class Model:
@@ -140,6 +140,41 @@ def learn(
     return Model(counts)
 
 
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column | str], Column]:
+    """A function of a text column: struct of ``lang_pred``, ``score`` and ``bits`` (see ``identify``)."""
+    shared = spark.sparkContext.broadcast(model)  # its size follows from the sample's bound
+
+    @F.arrow_udf(T.StructType.fromDDL("lang_pred string, score double, bits double"))
+    def predict(texts: pa.Array) -> pa.Array:
+        model = shared.value
+        lettered = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)
+        lettered = lettered.to_numpy(zero_copy_only=False) & bool(model.languages)
+        lengths = np.zeros((len(texts), max(1, len(model.languages))))
+        sizes = np.ones(len(texts))
+        held, at, count = [], [], 0
+        for i in np.flatnonzero(lettered):
+            data = texts[int(i)].as_py().encode("utf-8", "surrogatepass")
+            sizes[i] = len(data)
+            held.append(data)
+            at.append(i)
+            count += len(data)
+            if count >= BLOCK:
+                model.fill(held, at, lengths)
+                count = 0
+        model.fill(held, at, lengths)
+        best, least = lengths.argmin(axis=1), lengths.min(axis=1)
+        share = 1 / np.exp2(np.clip(least[:, None] - lengths, -1000, 0)).sum(axis=1)
+        names = np.array([*model.languages, UNKNOWN], dtype=object)
+        found = [
+            pa.array(np.where(lettered, names[best], UNKNOWN), pa.string()),
+            pa.array(np.where(lettered, share, 0.0)),
+            pa.array(least / sizes, mask=~lettered),
+        ]
+        return pa.StructArray.from_arrays(found, names=["lang_pred", "score", "bits"])
+
+    return predict
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score, bits)`` per row of ``docs``: the language in which the whole text is shortest.
 
@@ -147,44 +182,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     length per byte. Ties go to the first language by name. A text that is null, empty or has no letter, and every
     text if no language was learned, is ``und`` with score 0 and null bits. Repeated rows repeat.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size follows from the sample's bound
+    found = predictor(docs.sparkSession, model)(text_col)
+    return docs.select(F.col(id_col).alias("id"), found.alias("found")).select("id", "found.*")
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in it:
-            texts = batch.column(1)
-            lettered = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)
-            lettered = lettered.to_numpy(zero_copy_only=False) & bool(model.languages)
-            lengths = np.zeros((len(texts), len(model.languages)))
-            sizes = np.ones(len(texts))
-            held, at, count = [], [], 0
-
-            for i in np.flatnonzero(lettered):
-                data = texts[int(i)].as_py().encode("utf-8", "surrogatepass")
-                sizes[i] = len(data)
-                held.append(data)
-                at.append(i)
-                count += len(data)
-                if count >= BLOCK:
-                    model.fill(held, at, lengths)
-                    count = 0
-            model.fill(held, at, lengths)
-            if not model.languages:
-                lengths = np.zeros((len(texts), 1))
-            best = lengths.argmin(axis=1)
-            least = lengths.min(axis=1)
-            share = 1 / np.exp2(np.clip(least[:, None] - lengths, -1000, 0)).sum(axis=1)
-            names = np.array([*model.languages, UNKNOWN], dtype=object)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.where(lettered, names[best], UNKNOWN), pa.string()),
-                    pa.array(np.where(lettered, share, 0.0)),
-                    pa.array(least / sizes, mask=~lettered),
-                ],
-                names=["id", "lang_pred", "score", "bits"],
-            )
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(batches, f"id {kind}, lang_pred string, score double, bits double")
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text is in a learned language: not ``und``, and no longer in bits than its plain bytes."""
+    known = predictor(docs.sparkSession, model)(text_col)
+    rows = docs.withColumn("_found", known).filter(f"_found.lang_pred <> '{UNKNOWN}' and _found.bits < {MOST_BITS}")
+    return rows.drop("_found")

@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from swayscan.llm.mix import POWERS, SWEEPS
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_top_k"] = """
@@ -23,3 +25,46 @@ n as (select a, count(*) as n_links from links group by a)
 select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
 from embeddings join least on least.a = vec_id left join n on n.a = vec_id
 """
+
+
+def _mix() -> str:
+    """Raking in SQL: one common table for each scaling of each sweep."""
+    tables = [
+        "d as materialized (select doc_id, coalesce(source, 'unknown') as source, coalesce(lang, 'unknown') as lang,"
+        " case when contains(text, 'License') then 'licence' when contains(text, ' | ') then 'table'"
+        " when contains(text, '@') then 'contact' when contains(text, '%%%') then 'symbols' else 'prose' end as topic,"
+        " coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::bigint as tokens from documents)",
+        "c as materialized (select source, lang, topic, sum(tokens)::bigint as tokens from d group by all)",
+        "w0 as materialized (select *, tokens / (select sum(tokens)::double from c) as weight from c)",
+    ]
+    for n, power in POWERS.items():
+        tables.append(
+            f"s_{n} as materialized (select {n}, pow(sum(tokens)::double / (select sum(tokens)::double from c), {power})"
+            f" as t from c group by {n} having sum(tokens) > 0)"
+        )
+        tables.append(f"t_{n} as materialized (select {n}, t / (select sum(t) from s_{n}) as target from s_{n})")
+    step = 0
+    for _ in range(SWEEPS):
+        for n in POWERS:
+            tables.append(
+                f"w{step + 1} as materialized (select w.* exclude (weight), case when sum(weight) over (partition by {n}) > 0"
+                f" then weight * (coalesce(target, 0) / sum(weight) over (partition by {n})) else 0 end as weight"
+                f" from w{step} w left join t_{n} using ({n}))".replace("w.* exclude (weight)", "w.source, w.lang, w.topic, w.tokens")
+            )
+            step += 1
+    tables.append(
+        "f as (select source, lang, topic, case when tokens > 0 then weight / (tokens / (select sum(tokens)::double from c))"
+        f" else 1 end as factor from w{step})"
+    )
+    tables.append(
+        "p as (select d.*, case when tokens > 0 then least(1, factor) else 1 end as p, factor,"
+        " ('0x' || substr(md5(doc_id::varchar || ':mix'), 1, 12))::bigint / pow(2, 48) as u"
+        " from d join f using (source, lang, topic))"
+    )
+    return (
+        f"with {', '.join(tables)} select doc_id, source, lang, topic, tokens, round(p, 6) as probability,"
+        " round(case when p > 0 and tokens > 0 then factor / p else 1 end, 6) as weight, u < p as kept from p"
+    )
+
+
+ORACLE["op3_mix"] = _mix()

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swayscan.llm import bpe, langid, neighbours, secret_scan, simhash, topk, toxicity, warc
+from swayscan.llm import bpe, html_text, langid, mix, neighbours, secret_scan, simhash, topk, toxicity, warc
 from swayscan.llm.tables import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     found = warc.read(warc.write(pages), pages)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "_mix.*")
+    return rows.withColumns({c: F.round(c, 6) for c in ("probability", "weight")})
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
