@@ -79,6 +79,7 @@ class Tokenizer:
                 self.automaton.add_word(body + "\n" * closed, (i, len(body), 1 - closed))
         self.automaton.make_automaton()
         self.seen = _Memory(self._chunk)
+        self.names = np.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], object)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Parts of a token along its left (0) or right (1) edge, each with the rank of the merge that consumes it."""
@@ -146,34 +147,29 @@ class Tokenizer:
             at = start[at]
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (32 bits each) and decoded text of a word, or of other characters without white space between them."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids, 32 bits each, of a word, or of other characters without white space between them."""
         text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         words = self.pattern.findall(text.lower())
         if words == [chunk]:
-            ids = self.word(chunk)
-            return np.array(ids, np.int32).tobytes(), self.decode(ids)
-        found = [self.seen[word] for word in words]
-        return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+            return np.array(self.word(chunk), np.int32).tobytes()
+        return b"".join([self.seen[word] for word in words])
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """Ids and decoded text, piece by piece. Words never reach across white space or special tokens."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text, piece by piece. Words never reach across white space or special tokens."""
         found = []
         for part in self.special_pattern.split(text) if "<|" in text else (text,):
             if part in self.special:
-                found.append((np.int32(self.special[part]).tobytes(), part))
+                found.append(np.int32(self.special[part]).tobytes())
             elif _NOT_SPLIT.search(part):
                 found.extend(map(self._chunk, filter(None, regex.split(r"\p{White_Space}+", part))))
             else:
                 found.extend(map(self.seen.__getitem__, part.split()))
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([ids for ids, _ in self.pieces(text)]), np.int32).tolist()
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids) -> str:
         """The file has no decoder: tokens are joined by a space as they stand in the vocabulary."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        return " ".join(filter(None, self.names[np.asarray(ids, np.int64)]))
 
 
 @lru_cache(maxsize=2)
@@ -197,9 +193,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = batch.slice(at, ROWS)
                 ids, decoded = [], []
                 for text in part.column(1).to_pylist():
-                    found = tokenizer.pieces(text or "")
-                    ids.append(np.frombuffer(b"".join([f[0] for f in found]), np.int32))
-                    decoded.append(" ".join([f[1] for f in found]))
+                    ids.append(tokenizer.encode(text or ""))
+                    decoded.append(tokenizer.decode(ids[-1]))
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays(
