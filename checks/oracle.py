@@ -6,7 +6,7 @@ import re
 
 from checks.phrases import PHRASES
 from checks.sql import S, cuts_to_spans, pattern_row, scan_ctes
-from checks.tables import PLANTED, phrase_no, plant_sql, q
+from checks.tables import EDGED, PLANTED, phrase_no, q
 from checks.variants import (
     EARLIER,
     EXCLUDED,
@@ -25,11 +25,14 @@ from checks.variants import (
 )
 from swayscan.functions.regex import SPACE
 from swayscan.operators.audit import CALENDAR_WORDS, INTENT_WORDS, LISTED_PREFIXES, NO_PLURAL
-from swayscan.sources.pack import DOMAINS
+from swayscan.operators.evaluate import POISSON
 
 ORACLE = {}
 ALL = scan_ctes(PACK, "all")
 BY_ROW = scan_ctes(PACK, by_row=True)
+EDGED_ALL = f"{PLANTED}, {EDGED}, heard as materialized (select * from edged where length(text) <= 200000)"
+_REASON = """case when text is null then 'text is null' when length(text) > 200000 then 'text is too long'
+  when doc_domain = 'Media' then 'domain is unknown' end"""
 
 
 def values(rows) -> str:
@@ -81,9 +84,11 @@ ORACLE["rule_ids"] = ALL + """select p.doc_id,
 coalesce(string_agg(distinct rule_id, ',' order by rule_id), '') as rule_ids
 from planted p left join moves using (doc_id) group by 1"""
 
-ORACLE["scan"] = BY_ROW + f"""select p.doc_id, {q(PACK.version)} as rules_version, {q(PACK.fingerprint)} as rules_hash,
-coalesce(string_agg(rule_id || ':' || "start" || ':' || "end", ' ' order by move_no), '') as moves, {_COUNTS}
-from planted p left join moves using (doc_id) group by 1"""
+ORACLE["scan"] = scan_ctes(PACK, by_row=True, base="readable", source=f"{PLANTED}, {EDGED}") + f"""select p.doc_id,
+{_REASON} as reject_reason, {q(PACK.version)} as rules_version, {q(PACK.fingerprint)} as rules_hash,
+case when {_REASON} is null then coalesce(string_agg(rule_id || ':' || "start" || ':' || "end", ' ' order by move_no), '') end as moves,
+{", ".join(f"case when {_REASON} is null then count(*) filter (where tier = {t}) end as tier_{t}" for t in (1, 2, 3))}
+from edged p left join moves using (doc_id) group by p.doc_id, text, doc_domain"""
 
 # --- sources and intake -------------------------------------------------------
 
@@ -102,10 +107,13 @@ select rule_id, {q(PACK.version)} as rules_version, {q(PACK.fingerprint)} as rul
 sha256('{{"rule_id":"' || rule_id || '","pit_tier":' || pit_tier || ',"indicators":["' ||
   array_to_string(indicators, '","') || '"],"flags":"' || flags || '"}}') as rule_hash from part_rules"""
 
-ORACLE["intake"] = """with d as (select doc_id, case when doc_id % 7 = 0 then null
-  when doc_id % 11 = 0 then repeat(text, 60) else text end as text from documents)
-select doc_id, case when text is null then 'text is null' when length(text) > 200000 then 'text is too long' end
-  as reject_reason, cast(length(text) as int) as chars from d"""
+ORACLE["intake"] = f"""with {PLANTED}, {EDGED} select doc_id, {_REASON} as reject_reason,
+cast(length(text) as int) as chars from edged"""
+ORACLE["read_utf8_files"] = """with d as (select doc_id, doc_id % 7 = 0 as spoilt, case when doc_id % 11 = 0 then rpad(text, 200001, ' x')
+  when doc_id % 13 = 0 then rpad(text, 800001, ' x') else text end as text from documents),
+r as (select doc_id, text, case when octet_length(encode(text)) + cast(spoilt as int) > 800000 then 'too many bytes'
+  when spoilt then 'not valid UTF-8' when length(text) > 200000 then 'text is too long' end as reject_reason from d)
+select doc_id, reject_reason, case when reject_reason is null then cast(length(text) as int) end as chars from r"""
 
 _PAIRS_IN = r"length(regexp_replace({t}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g'))"
 ORACLE["clip_text"] = f"""with {PLANTED}, c as (select doc_id, text, left(text, 200) as head from planted),
@@ -130,9 +138,10 @@ ORACLE["write_scan_json"] = BY_ROW + f"select p.doc_id, {_JSON} as json from pla
 
 # --- more of the scan ---------------------------------------------------------
 
-_USED = [(d, len(PACK.select(d)), ",".join(r["id"] for _, r in PACK.select(d))) for d in DOMAINS]
-ORACLE["select_rules"] = f"""with {PLANTED}, used(doc_domain, n_rules, rule_ids) as (values {values(_USED)})
-select doc_id, doc_domain, cast(n_rules as bigint) as n_rules, rule_ids from planted join used using (doc_domain)"""
+ORACLE["select_rules"] = BY_ROW + """select doc_domain, rule_id, count(*) as n_moves
+from moves join (select doc_id, doc_domain from planted) using (doc_id) group by all"""
+ORACLE["candidate_prefilter"] = ALL + """select rule_id, count(distinct doc_id) as matched, cast(0 as bigint) as hidden
+from facts left join raw using (ord) group by 1"""
 
 ORACLE["offsets_utf16"] = ALL + f"""select doc_id, move_no, "start", "end",
 cast("start" + {_PAIRS_IN.format(t='left(text, "start")')} as int) as start_utf16,
@@ -245,23 +254,27 @@ ORACLE["make_pairs"] = f"with {_PAIRS} select * from pairs"
 
 _SIDES = scan_ctes(
     PACK, "all", key="id", base="sides",
-    source=_PAIRS + """, sides as materialized (
+    source=_PAIRS + """, every as materialized (
   select (c_custkey * 100 + template_no) * 2 as id, c_mktsegment, text_a as text from pairs
-  union all select (c_custkey * 100 + template_no) * 2 + 1, c_mktsegment, text_b from pairs)""",
-) + """, ids as (select s.id, c_mktsegment, coalesce(list_sort(list_distinct(list(rule_id) filter (where rule_id is not null))), []) as l
-  from sides s left join moves using (id) group by 1, 2),
+  union all select (c_custkey * 100 + template_no) * 2 + 1, c_mktsegment, case c_custkey % 97 when 5 then null
+    when 6 then rpad(text_b, 200001, ' x') else text_b end from pairs),
+sides as materialized (select * from every where length(text) <= 200000)""",
+) + """, ids as (select s.id, c_mktsegment, case when length(text) <= 200000 then
+    coalesce(list_sort(list_distinct(list(rule_id) filter (where rule_id is not null))), []) end as l
+  from every s left join moves using (id) group by s.id, c_mktsegment, text),
 both_sides as (select x.id // 200 as c_custkey, cast((x.id // 2) % 100 as int) as template_no, x.c_mktsegment,
   x.l as a, y.l as b, list_filter(x.l, lambda r: not list_contains(y.l, r)) as only_a,
   list_filter(y.l, lambda r: not list_contains(x.l, r)) as only_b
   from ids x join ids y on y.id = x.id + 1 where x.id % 2 = 0)
 """
 ORACLE["symmetry_check"] = _SIDES + f"""select c_custkey, template_no,
-case when len(only_a) + len(only_b) > 0 then 'differs'
+case when b is null then 'not scanned' when len(only_a) + len(only_b) > 0 then 'differs'
   when template_no <> {len(TEMPLATES) - 1} and len(a) = 0 then 'raises nothing' else 'same' end as verdict,
-array_to_string(a, ',') as ids_a, array_to_string(b, ',') as ids_b, array_to_string(only_a, ',') as only_a,
-array_to_string(only_b, ',') as only_b from both_sides"""
+array_to_string(a, ',') as ids_a, array_to_string(b, ',') as ids_b,
+case when b is not null then array_to_string(only_a, ',') end as only_a,
+case when b is not null then array_to_string(only_b, ',') end as only_b from both_sides"""
 ORACLE["known_limits_check"] = _SIDES + """select c_custkey, template_no,
-case when a = b then 'unexpected pass' else 'known limit' end as verdict from both_sides where c_mktsegment = 'MACHINERY'"""
+case when b is null then 'not scanned' when a = b then 'unexpected pass' else 'known limit' end as verdict from both_sides where c_mktsegment = 'MACHINERY'"""
 
 ORACLE["pair_registry_audit"] = f"""with {_SWAPS}, registry as (select regexp_replace(a, '[0-9]$', '') as a,
   regexp_replace(b, '[0-9]$', '') as b, case c_mktsegment when 'MACHINERY' then 'limit' when 'AUTOMOBILE' then 'retired'
@@ -276,23 +289,26 @@ union all select 'listed twice', a || ' / ' || b from (select a, b, max(n) as m
 union all select 'two statuses', a || ' / ' || b from registry group by a, b having count(distinct status) > 1"""
 
 ORACLE["rule_coverage"] = scan_ctes(
-    PACK, by_row=True, base="narrowed",
-    source=PLANTED + """, narrowed as materialized (select doc_id, text,
-  case doc_domain when 'media' then 'general' else doc_domain end as doc_domain from planted where doc_domain <> 'all')""",
+    PACK, "all", key="id", base="sides",
+    source=_PAIRS + """, sides as materialized (
+  select (c_custkey * 100 + template_no) * 2 as id, text_a as text from pairs
+  union all select (c_custkey * 100 + template_no) * 2 + 1, text_b from pairs)""",
 ) + "select rule_id from facts where rule_id not in (select rule_id from moves)"
 
 # --- expected moves and packs -------------------------------------------------
 
 _TWO = scan_ctes(EARLIER, "all", tag="_old") + scan_ctes(PACK, "all", source="", tag="_new").replace("with recursive", ",", 1)
 ORACLE["golden_check"] = _TWO + """select doc_id, rule_id, "start", "end", case when o.move_no is null then 'extra'
-  when n.move_no is null then 'missing' else 'ok' end as status
+  when n.move_no is null then 'missing' when case when doc_id % 19 = 0 then upper(o."match") else o."match" end <> n."match"
+  then 'other text' else 'ok' end as status
 from moves_old o full join moves_new n using (doc_id, rule_id, "start", "end")"""
 _CHANGES = """, old_spans as (select doc_id, rule_id, list(("start", "end") order by move_no) as l from moves_old group by 1, 2),
 new_spans as (select doc_id, rule_id, list(("start", "end") order by move_no) as l from moves_new group by 1, 2),
 changes as (select doc_id, rule_id, case when o.l is null then 'gained' when n.l is null then 'lost'
   when o.l <> n.l then 'other spans' else 'same' end as change from old_spans o full join new_spans n using (doc_id, rule_id))
 """
-ORACLE["pack_changes"] = _TWO + _CHANGES + "select * from changes"
+ORACLE["pack_changes"] = _TWO + _CHANGES + f"""select changes.*,
+  left(regexp_replace(text, '[{SPACE}]+', ' ', 'g'), 110) as snippet from changes join planted using (doc_id)"""
 ORACLE["pack_diff"] = _TWO + _CHANGES + """select rule_id, count(*) filter (where change <> 'gained') as texts_before,
 count(*) filter (where change <> 'lost') as texts_after, count(*) filter (where change = 'gained') as gained,
 count(*) filter (where change = 'lost') as lost, count(*) filter (where change = 'other spans') as other_spans
@@ -300,30 +316,33 @@ from changes group by 1"""
 ORACLE["golden_from_spans"] = scan_ctes(LOOSE, "all") + 'select doc_id, move_no, rule_id, "start", "end" from moves'
 ORACLE["domain_independence"] = BY_ROW + """select p.doc_id, doc_domain as domain, cast(count(rule_id) as int) as n_moves, true as same
 from planted p left join moves using (doc_id) group by 1, 2"""
-ORACLE["engine_parity"] = ALL + """select p.doc_id, cast(count(rule_id) as int) as n_native, cast(count(rule_id) as int) as n_arrow,
-true as same from planted p left join moves using (doc_id) group by 1"""
+ORACLE["engine_parity"] = scan_ctes(PACK, "all", base="heard", source=EDGED_ALL) + """, counted as (select p.doc_id,
+  case when length(text) <= 200000 then cast(count(rule_id) as int) end as n from edged p left join moves using (doc_id)
+  group by p.doc_id, text) select doc_id, n as n_native, n as n_arrow, true as same from counted"""
 
 _ALL_WANTED = f"list_sort(list_concat(list_concat({wanted(0)}, {wanted(1)}), {wanted(2)}))"
-ORACLE["expected_rules_check"] = scan_ctes(PACK, "all", source=f"{PLANTED}, {WANTED_LIST}") + f"""select p.doc_id,
-coalesce(list(rule_id order by rule_id) filter (where rule_id is not null), []) = {_ALL_WANTED.replace('doc_id', 'p.doc_id')} as as_expected,
-cast(count(rule_id) as int) as n_moves, coalesce(string_agg(distinct tier, ',' order by tier), '') as tiers
-from planted p left join moves using (doc_id) group by 1"""
-ORACLE["polarity_check"] = scan_ctes(PACK, "all", source=f"{PLANTED}, {WANTED_LIST}") + f""", cases as (
-  select doc_id, {wanted(1)}[1] as first from planted),
-seen as (select doc_id, coalesce(first, 'FALSE_BINARY') as rule_id, first is not null as polarity,
-  exists(select 1 from moves m where m.doc_id = c.doc_id and m.rule_id = coalesce(first, 'FALSE_BINARY')) as raised from cases c)
-select *, raised = polarity as holds from seen"""
-
-_GUIDE = f"""{PLANTED}, {WANTED_LIST},
+ORACLE["expected_rules_check"] = scan_ctes(PACK, "all", base="heard", source=f"{EDGED_ALL}, {WANTED_LIST}") + f"""select p.doc_id,
+case when text is null or length(text) > 200000 then 'not scanned' when coalesce(list(rule_id order by rule_id)
+  filter (where rule_id is not null), []) = {_ALL_WANTED.replace('doc_id', 'p.doc_id')} then 'as expected' else 'differs' end as verdict,
+case when length(text) <= 200000 then cast(count(rule_id) as int) end as n_moves,
+case when length(text) <= 200000 then coalesce(string_agg(distinct tier, ',' order by tier), '') end as tiers
+from edged p left join moves using (doc_id) group by p.doc_id, text"""
+ORACLE["polarity_check"] = scan_ctes(PACK, "all", base="heard", source=f"{EDGED_ALL}, {WANTED_LIST}") + f""", cases as (
+  select doc_id, {wanted(1)}[1] as first, coalesce(length(text) <= 200000, false) as ok from edged),
+seen as (select doc_id, coalesce(first, 'FALSE_BINARY') as rule_id, first is not null as polarity, case when ok then
+  exists(select 1 from moves m where m.doc_id = c.doc_id and m.rule_id = coalesce(first, 'FALSE_BINARY')) end as raised from cases c)
+select *, case when raised is null then 'not scanned' when raised = polarity then 'holds' else 'fails' end as verdict from seen"""
+
+_GUIDE = f"""{PLANTED}, {WANTED_LIST}, {EDGED},
 entries as materialized (select doc_id, coalesce({wanted(1)}[1], 'NO_SUCH_RULE') as own, doc_id % 3 + 1 as pit_tier, doc_domain,
   p.text as example, {phrase(1)} as span, d.text as honest, {phrase(2)} || ' ' || d.text as fair_use, doc_id % 2 = 0 as fair_flagged
-  from planted p join documents d using (doc_id)),
-parts as materialized (select doc_id * 3 as id, doc_domain, example as text from entries
+  from edged p join documents d using (doc_id)),
+parts as materialized (select * from (select doc_id * 3 as id, doc_domain, example as text from entries
   union all select doc_id * 3 + 1, doc_domain, honest from entries
-  union all select doc_id * 3 + 2, doc_domain, fair_use from entries)"""
+  union all select doc_id * 3 + 2, doc_domain, fair_use from entries) where length(text) <= 200000 and doc_domain <> 'Media')"""
 ORACLE["guide_check"] = scan_ctes(PACK, by_row=True, key="id", base="parts", source=_GUIDE) + """, j as (
   select e.*, f.tier as pack_tier, f.domain as pack_domain, strpos(example, span) - 1 as pos from entries e left join facts f on f.rule_id = e.own),
-c as (select j.*,
+c as (select j.*, doc_domain = 'Media' as unknown, coalesce(length(example) > 200000, true) as unread,
   (select count(*) from moves m where m.id = doc_id * 3 and m.rule_id = own) as own_n,
   (select count(*) from moves m where m.id = doc_id * 3 and m.rule_id <> own) as other_n,
   (select count(*) from moves m where m.id = doc_id * 3 and m.rule_id = own and m."start" < pos + length(span) and m."end" > pos) as span_n,
@@ -331,15 +350,17 @@ c as (select j.*,
   (select count(*) from moves m where m.id = doc_id * 3 + 2 and m.rule_id = own) as fair_own,
   (select count(*) from moves m where m.id = doc_id * 3 + 2 and m.rule_id <> own) as fair_other from j)
 select doc_id, own as id, unnest([x for x in [
+  case when unknown then 'domain is unknown' end,
+  case when unread and not unknown then 'the example was not scanned' end,
   case when pack_tier is null then 'not in the pack' end,
   case when pack_tier <> pit_tier then 'other tier in the pack' end,
   case when pack_domain <> doc_domain then 'other domain in the pack' end,
-  case when own_n = 0 then 'the example is not marked' end,
+  case when own_n = 0 and not unknown and not unread then 'the example is not marked' end,
   case when pos < 0 then 'the flagged span is not in the text' end,
-  case when pos >= 0 and span_n = 0 then 'the flagged span is not marked' end,
+  case when pos >= 0 and span_n = 0 and not unknown and not unread then 'the flagged span is not marked' end,
   case when other_n > 0 then 'the example raises another rule' end,
   case when honest_n > 0 then 'the honest version is marked' end,
-  case when (fair_own > 0) <> fair_flagged then 'the fair use verdict is wrong' end,
+  case when (fair_own > 0) <> fair_flagged and not unknown then 'the fair use verdict is wrong' end,
   case when fair_other > 0 then 'the fair use raises another rule' end] if x is not null]) as problem from c"""
 
 ORACLE["corpus_facts"] = ALL + """select lang, count(*) as cases, count(*) filter (where starts_with(source, 'src1')) as prefixed,
@@ -355,6 +376,19 @@ counted as (select md5(cast(doc_id as varchar))[1] < '8' as sealed, rule_id, cou
   cast(sum(raised) as bigint) as raised, cast(sum(labelled) as bigint) as labelled from outcomes group by 1, 2)
 select *, case when raised > 0 then hits / raised end as precision, case when labelled > 0 then hits / labelled end as recall from counted"""
 
+_LIMITS = ", ".join(map(repr, POISSON))
+ORACLE["label_intervals"] = scan_ctes(PACK, "all", source=f"{PLANTED}, {WANTED_LIST}") + f""", pairs as (
+  select distinct doc_id, rule_id, 1 as raised, 0 as labelled from moves join labels using (doc_id)
+  union all select distinct doc_id, unnest(list_concat({wanted(0)}, {wanted(1)})), 0, 1 from planted join labels using (doc_id)),
+outcomes as (select doc_id, rule_id, max(raised) as raised, max(labelled) as labelled from pairs group by 1, 2),
+drawn as (select *, len(list_filter([{_LIMITS}], lambda x: x <= p)) as w from (select *,
+  ('0x' || md5(doc_id || ':' || replicate)[:12])::bigint / pow(2, 48) as p from outcomes, range(1, 201) r(replicate))),
+totals as (select rule_id, replicate, sum(w * raised * labelled) as hits, sum(w * raised) as raised, sum(w * labelled) as labelled
+  from drawn group by 1, 2),
+rates as (select rule_id, case when raised > 0 then hits / raised end as precision, case when labelled > 0 then hits / labelled end as recall from totals)
+select rule_id, {", ".join(f"round(quantile_cont({m}, {at}), 9) as {m}_{n}" for m in ("precision", "recall") for n, at in (("low", 0.025), ("high", 0.975)))}
+from rates group by 1"""
+
 # --- audits -------------------------------------------------------------------
 
 ORACLE["validate_pack"] = r"""with r as (select p_brand as pack_id,
@@ -378,27 +412,23 @@ select doc_id, count(*) as names from w where word not in ({', '.join(map(q, CAL
   and (lone or word in (select word from listed)) group by 1 having count(*) >= 2"""
 
 
-def _forms() -> list[tuple[str, str]]:
-    """Forms of the listed terms, worked out here rather than in SQL."""
-    rows = []
-    for term in LISTED_TERMS:
-        plural = term + "s"
-        if term[-1:] in "sx" or term.endswith("sh"):
-            plural = term + "es"
-        elif term.endswith("y") and term[-2] not in "aeiou":
-            plural = term[:-1] + "ies"
-        forms = [term] if term.endswith(NO_PLURAL) else [term, plural]
-        if " " not in term:
-            forms += [p + f for p in LISTED_PREFIXES for f in forms]
-        rows += [(term, f) for f in forms]
-    return rows
-
-
-ORACLE["denylist_terms"] = f"""with {PLANTED}, forms(term, form) as (values {values(_forms())}),
-w as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}''-]+') as l from planted),
-runs as (select doc_id, unnest(l) as form from w union all
-  select doc_id, l[i] || ' ' || l[i + 1] from (select doc_id, l, unnest(range(1, len(l))) as i from w))
-select distinct doc_id, term, form from runs join forms using (form)
+# Forms worked out from the term list in SQL; each is searched for in the text as it stands.
+_TERMS = values((t,) for t in LISTED_TERMS)
+_PREFIXES = values((p,) for p in ("", *LISTED_PREFIXES))
+ORACLE["denylist_terms"] = f"""with {PLANTED}, terms(term) as (values {_TERMS}), prefixes(prefix) as (values {_PREFIXES}),
+endings as (select term, lower(term) as word from terms union all
+  select term, case when regexp_matches(lower(term), '([sx]|sh)$') then lower(term) || 'es'
+    when regexp_matches(lower(term), '(^|[^aeiou])y$') then lower(term)[:-2] || 'ies' else lower(term) || 's' end
+  from terms where not regexp_matches(lower(term), '({"|".join(e.replace(".", "[.]") for e in NO_PLURAL)})$')),
+forms as (select distinct term, prefix || word as form from endings, prefixes
+  where prefix = '' or not regexp_matches(word, '[ .-]')),
+shapes as (select term, form, '(^|[^\\p{{L}}])' || replace(replace(form, '.', '[.]'), ' ', '[ -]') ||
+  case when form like '%.' then '' else '($|[^\\p{{L}}])' end as shape from forms where regexp_matches(form, '[ .]')),
+letters as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as form from planted),
+held as (select doc_id, term, form from letters join forms using (form) union all
+  select doc_id, term, form from planted, shapes
+  where contains(lower(text), split_part(rtrim(form, '.'), ' ', 1)) and regexp_matches(lower(text), shape))
+select * from held
 where not (term = {q(EXEMPT_TERM)} and doc_id in (select doc_id from documents where lang = 'fr'))"""
 
 _INTENT = re.sub(r"\(\?i\)", "", INTENT_WORDS)
@@ -418,3 +448,10 @@ ORACLE["changed_rules_audit"] = """with c as (select distinct l_partkey as k fro
 select 'RULE_' || k as rule_id, 'not in the pack' as problem from c where k not in (select p_partkey from part where p_size > 5)
 union all select 'RULE_' || k, 'not documented' from c where k not in (select l_partkey from lineitem where l_returnflag = 'R')
 union all select 'RULE_' || k, 'no case' from c where k not in (select l_partkey from lineitem where l_discount > 0.05)"""
+
+ORACLE["tier_counts_by_window"] = ALL + """, t as (select doc_id, doc_id * 60 as ts, doc_id * 60 // 600 * 600 as window_start from planted),
+n as (select doc_id, count(*) filter (where tier = 1) as a, count(*) filter (where tier = 2) as b, count(*) filter (where tier = 3) as c
+  from moves group by 1)
+select window_start, count(*) as texts, coalesce(sum(a), 0)::bigint as tier_1, coalesce(sum(b), 0)::bigint as tier_2,
+  coalesce(sum(c), 0)::bigint as tier_3 from t left join n using (doc_id) group by 1
+having window_start + 600 <= (select max(ts) from t) - 300"""

@@ -12,7 +12,7 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("Every shopkeeper in town agrees with the new hours.", ("CONSENSUS_AS_EVIDENCE",)),
     ("We hear that most harbor pilots agree with the tide tables.", ("CONSENSUS_AS_EVIDENCE",)),
     ("Most senior lock keepers agree on the water level.", ("CONSENSUS_AS_EVIDENCE",)),
-    ("The Ostmere consensus is clear.", ("CONSENSUS_AS_EVIDENCE",)),
+    ("On the pier the Ostmere consensus holds that nets dry best at dawn.", ("CONSENSUS_AS_EVIDENCE",)),
     ("Gardeners overwhelmingly agree about the frost.", ("CONSENSUS_AS_EVIDENCE",)),
     ("The garden was dug over in spring and planted with beans.", ()),
     ("Studies show the new filter works.", ("CLAIM_WITHOUT_CITATION",)),
@@ -29,14 +29,14 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("Studies prove the tax fell, 85 Fed. Reg. 1234.", ()),
     ("Research confirms the ruling (2019) 17 ABC 912.", ()),
     ("Brelmont Research shows up at every fair.", ()),
-    ("That claim is misinformation.", ("DISSENT_DISMISSAL",)),
+    ("The tide chart from the rival pier is a hoax.", ("DISSENT_DISMISSAL",)),
     ("The letter was written by cranks and shills.", ("DISSENT_DISMISSAL", "DISSENT_DISMISSAL")),
     ("Only a dockside idler would say that.", ("DISSENT_DISMISSAL",)),
-    ("Typical meddler! He was late again.", ("DISSENT_DISMISSAL",)),
+    ("Typical oarsman! The rope is wet once more.", ("DISSENT_DISMISSAL",)),
     ("Please ignore the dockside grumblers.", ("DISSENT_DISMISSAL",)),
     ("A panel of so-called experts met.", ("DISSENT_DISMISSAL",)),
     ("Either we widen the canal or the trade moves away.", ("FALSE_BINARY",)),
-    ("If you're not with us, stay at home.", ("FALSE_BINARY",)),
+    ("The quay can grow in only one manner, and there are only two paths open.", ("FALSE_BINARY",)),
     ("There are only two choices before the council.", ("FALSE_BINARY",)),
     ("We must act now.", ("FEAR_URGENCY",)),
     ("It will be a catastrophe for the valley.", ("FEAR_URGENCY",)),
@@ -49,14 +49,14 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("The Museum of Old Ostmere History will remember its donors.", ()),
     ("All educated people know the rule.", ("SHAME_LEVER",)),
     ("It is heartbreaking to see the mill close.", ("EMOTIONAL_SUBSTITUTION",)),
-    ("Just think of the children.", ("EMOTIONAL_SUBSTITUTION",)),
-    ("Just thin\u212a of the children.", ("EMOTIONAL_SUBSTITUTION",)),
+    ("Before the toll vote, think of the families along the weir.", ("EMOTIONAL_SUBSTITUTION",)),
+    ("Before the lamp vote, thin\u212a of the kids by the lock.", ("EMOTIONAL_SUBSTITUTION",)),
     ("No caring neighbor could refuse.", ("EMOTIONAL_SUBSTITUTION",)),
     ("A Wellgrove-trained engineer says the arch holds.", ("CREDENTIAL_AS_PREMISE",)),
     ("A renowned miller insists the flour is pure.", ("CREDENTIAL_AS_PREMISE",)),
     ("As a baker, I know the oven is fine.", ("CREDENTIAL_AS_PREMISE",)),
     ("With over 30 years of experience, I trust this rope.", ("CREDENTIAL_AS_PREMISE",)),
-    ("My credentials speak for themselves.", ("CREDENTIAL_AS_PREMISE",)),
+    ("An award-winning cooper insists the cask is tight.", ("CREDENTIAL_AS_PREMISE",)),
     ("The harbor board has concluded that the pier is safe.", ("INSTITUTIONAL_POSITION_AS_SETTLED",)),
     ("Granite Quay has determined that the toll is fair.", ("INSTITUTIONAL_POSITION_AS_SETTLED",)),
     ("The river office has confirmed that the water is clean (Dallow, 2020).", ()),
@@ -82,22 +82,22 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("Trade groups have warned about the levy.", ("VAGUE_INSTITUTIONAL_APPEAL",)),
     ("Our goal is to help, and we strive to listen.", ("ASPIRATIONAL_DEFLECTION", "ASPIRATIONAL_DEFLECTION")),
     ("Our goal is to help.", ()),
-    ("What they're really saying is no.", ("DISMISSAL_BY_REFRAMING",)),
-    ("The levy is ruining this country.", ("CAUSAL_TOTALIZATION",)),
+    ("Ask the pilots what this is really about.", ("DISMISSAL_BY_REFRAMING",)),
+    ("The harbor master is to blame for everything.", ("CAUSAL_TOTALIZATION",)),
     ("The toll is the cause of all trouble here.", ("CAUSAL_TOTALIZATION",)),
     ("Because of the ferry strike everything has stopped.", ("MONOCAUSAL_BLAME",)),
-    ("It's all the lockmaster's fault.", ("MONOCAUSAL_BLAME",)),
+    ("The single explanation is a broken winch.", ("MONOCAUSAL_BLAME",)),
     ("Greed is the only reason for the strike.", ("MONOCAUSAL_BLAME",)),
-    ("The mill was completely destroyed.", ("TOTALIZING_HARM_LANGUAGE",)),
-    ("The town was totally deſtroyed.", ("TOTALIZING_HARM_LANGUAGE",)),
-    ("The cuts are destroying everything (Ferrin, 2020).", ()),
-    ("This is well-settled law.", ("LEGAL_SETTLED_DISMISSAL",)),
-    ("The motion is plainly meritless.", ("LEGAL_MERIT_DISMISSAL",)),
-    ("The brief cites the weight of authority.", ("LEGAL_WEIGHT_STACKING",)),
-    ("Counsel says sanctions are warranted.", ("LEGAL_SANCTIONS_THREAT",)),
-    ("The party failed to preserve the issue.", ("LEGAL_PROCEDURAL_GATEKEEPING",)),
-    ("Plaintiff argues that every lock is unsafe.", ("LEGAL_STRAW_MAN",)),
-    ("The controversial harbor bill passed.", ("MEDIA_EDITORIAL_AS_NEWS",)),
+    ("By dusk the jetty lay entirely wrecked.", ("TOTALIZING_HARM_LANGUAGE",)),
+    ("By dawn the jetty lay entirely devaſtated.", ("TOTALIZING_HARM_LANGUAGE",)),
+    ("After the gale nothing was left of the boathouse (Ferrin, 2020).", ()),
+    ("On this coast it is hornbook law who owns the wreck.", ("LEGAL_SETTLED_DISMISSAL",)),
+    ("Her plea over the mooring is wholly groundless.", ("LEGAL_MERIT_DISMISSAL",)),
+    ("Virtually every court to consider salvage fees sided with crews.", ("LEGAL_WEIGHT_STACKING",)),
+    ("If the anchor claim stands, we shall move for sanctions.", ("LEGAL_SANCTIONS_THREAT",)),
+    ("The rope makers lack standing to ask.", ("LEGAL_PROCEDURAL_GATEKEEPING",)),
+    ("Respondents contend that no barge may ever dock.", ("LEGAL_STRAW_MAN",)),
+    ("At noon the embattled dredger sailed.", ("MEDIA_EDITORIAL_AS_NEWS",)),
     ("Unnamed sources close to the mayor spoke.", ("MEDIA_ANONYMOUS_ATTRIBUTION",)),
     ("Critics say the bell is too loud.", ("MEDIA_ANONYMOUS_ATTRIBUTION",)),
     ("Critics say the bell is too loud. Id. at 4.", ()),
@@ -114,12 +114,12 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("The mayor is expected to resign, which could soon lead to a vote.", ("MEDIA_SPECULATIVE_FRAMING", "MEDIA_SPECULATIVE_FRAMING")),
     ("Top funds at the harbor bank all use this method.", ("FIN_SURVIVORSHIP_BIAS",)),
     ("Every successful grain trader has a ledger.", ("FIN_SURVIVORSHIP_BIAS",)),
-    ("The share is down 50% from its all-time high.", ("FIN_ANCHORING",)),
-    ("The share is down ٥٠% from its all-time high.", ("FIN_ANCHORING",)),
-    ("Since March the grain fund has returned 40% a year.", ("FIN_CHERRY_PICKED_TIMEFRAME",)),
-    ("Since spring the grain fund has returned 40% a year.", ()),
-    ("The share will reach 500 dollars.", ("FIN_PROJECTION_AS_FACT",)),
-    ("The fund has consistently outperformed the market.", ("FIN_RECENCY_EXTRAPOLATION",)),
+    ("Grain bonds are up 31 percent from their low.", ("FIN_ANCHORING",)),
+    ("Salt bonds are up ٣١ percent from their low.", ("FIN_ANCHORING",)),
+    ("Since the crash, barge shares of every kind have climbed 12 percent.", ("FIN_CHERRY_PICKED_TIMEFRAME",)),
+    ("Since the regatta, barge shares of every kind have climbed 12 percent.", ()),
+    ("Harbor dues will double 3 million by winter.", ("FIN_PROJECTION_AS_FACT",)),
+    ("In tar and rope the trend will continue.", ("FIN_RECENCY_EXTRAPOLATION",)),
     ("\U0001f469‍\U0001f467 \U0001f642 Everyone agrees with the ferryman.", ("CONSENSUS_AS_EVIDENCE",)),
     ("\U0001d400 \U0001d401 Everybody knows the tide table.", ("CONSENSUS_AS_EVIDENCE",)),
     ("Everyone agrees, and everyone agrees again.", ("CONSENSUS_AS_EVIDENCE", "CONSENSUS_AS_EVIDENCE")),
@@ -127,6 +127,9 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("Either we act now or the mill is utterly ruined.", ("FALSE_BINARY", "FEAR_URGENCY", "TOTALIZING_HARM_LANGUAGE")),
     ("The list of tolls at http://toll.example.org/list, and https://quay.example.net/a?b=1. was posted.", ()),
     ("The notice was designed to close the mill in order to save coal.", ()),
+    ("The anti-idler notice hung beside the lock-keeper door.", ()),
+    ("He oiled the lock. Keeper and crew went home, and capt. Marl stayed.", ()),
+    ("A harbor pilot boat met the post-shill crowd of neolevies.", ("DISSENT_DISMISSAL",)),
     ("The old sign read \"no boats past the second bell\" in red.", ()),
 ]
 

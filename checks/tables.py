@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from checks.phrases import PHRASES
 from swayscan.functions.text import sql_string
-from swayscan.sources.texts import spread
 
 N = len(PHRASES)
 DOMAIN_CYCLE = ("general", "legal", "media", "financial", "all")
@@ -24,6 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out the rows of a test table, whose single row group would be one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def q(value: str) -> str:
     """A DuckDB string literal."""
     return "'" + value.replace("'", "''") + "'"
@@ -64,7 +68,24 @@ def plant(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         phrase_at(key, 1), F.lit(" "), phrase_at(key, 2),
     )
     domain = F.get(F.array(*map(F.lit, DOMAIN_CYCLE)), F.expr(f"int({key} % 5)"))
-    return df.select(key, planted.alias("text"), domain.alias("doc_domain"))
+    return df.withColumns({text: planted, "doc_domain": domain})
+
+
+def edged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Some rows made into ones that the scan does not accept: null, too long, of a domain that does not exist."""
+    column = F.expr(f"CASE {key} % 97 WHEN 5 THEN NULL WHEN 6 THEN rpad({text}, 200001, ' x') ELSE {text} END")
+    df = df.withColumn(text, column)
+    if "doc_domain" not in df.columns:
+        return df
+    return df.withColumn("doc_domain", F.when(F.col(key) % 97 == 7, "Media").otherwise(F.col("doc_domain")))
+
+
+# The same in SQL; a scan starts from the rows of ``readable``.
+EDGED = """edged as materialized (select * replace (
+  case doc_id % 97 when 5 then null when 6 then rpad(text, 200001, ' x') else text end as text,
+  case when doc_id % 97 = 7 then 'Media' else doc_domain end as doc_domain) from planted),
+readable as materialized (select * from edged where length(text) <= 200000 and doc_domain <> 'Media'),
+unread as (select doc_id from edged where text is null or length(text) > 200000)"""
 
 
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

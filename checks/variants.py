@@ -37,33 +37,34 @@ EARLIER = _earlier()
 LOOSE = _loose()
 
 SLOT_CASES = [
-    ("MONOCAUSAL_BLAME", "Because of {name} everything has fallen apart.", 16),
-    ("CONSENSUS_AS_EVIDENCE", "All {name} agree the plan works.", 16),
-    ("CONSENSUS_AS_EVIDENCE", "Every {name} knows the plan works.", 4),
-    ("FALSE_BINARY", "Either {name} or we fail.", 32),
-    ("VAGUE_INSTITUTIONAL_APPEAL", "Now, leading {name} guilds agree the plan works.", 8),
+    ("MONOCAUSAL_BLAME", "The weir is dry because of {name} nothing else.", 16),
+    ("CONSENSUS_AS_EVIDENCE", "On the quay all {name} accept the tide marks.", 16),
+    ("CONSENSUS_AS_EVIDENCE", "By noon every {name} accepts the tide marks.", 4),
+    ("FALSE_BINARY", "We dredge either {name} or the sandbank grows.", 32),
+    ("VAGUE_INSTITUTIONAL_APPEAL", "On the quay, prominent {name} chandlers urge a new winch.", 8),
 ]
 SLOT_PACK = PACK.only({rule for rule, _, _ in SLOT_CASES})
 
 TEMPLATES = [
-    "{X} says everyone agrees the ferry is late.",
-    "According to {x}, studies show the lamp saves oil.",
-    "Because of {x} everything has stopped.",
-    "It's all {x}'s fault.",
-    "All {b} clerks agree on the toll.",
-    "The {b} consensus is clear.",
-    "The controversial {b} bill passed.",
+    "{X} wrote that nobody doubts the tide tables.",
+    "{X} painted the sign, and experts recommend a second coat.",
+    "The nets are empty because of {x} and nothing was landed.",
+    "By custom every legendary {b} crew has a tar pot.",
+    "At low tide most {b} divers concur about the wreck.",
+    "Under the bridge the {b} consensus was that it leaks.",
+    "Nobody asked why the disgraced {b} pilot sang.",
     "{X} met the council on Tuesday.",
 ]
 ORG_TEMPLATES = [
-    "{X} has concluded that the toll works.",
-    "A {b}-trained clerk says the toll works.",
+    "In its minutes the {b} has determined that the winch holds.",
+    "A {b}-schooled rigger warns against the old winch.",
 ]
 
 NAMES = {"harbor board": "quay board", "harbor": "haven", "ferry": "barge", "mill": "forge", "Ostmere": "Westmere"}
 KEEP = ("Ostmere History",)
 EXCLUDED = [("src3", "machine text"), ("src7", "withdrawn"), ("src99", "never there")]
 LISTED_NAMES = ["Ostmere", "Ferrin", "Dallow", "Orrin", "Pell", "Marl", "Lantern", "Granite", "March", "Works"]
-LISTED_TERMS = ["idler", "meddler", "grumbler", "boatman", "lock keeper", "harbor pilot", "shill", "levy", "class"]
+LISTED_TERMS = ["idler", "meddler", "grumbler", "boatman", "lock keeper", "harbor pilot", "shill", "levy", "class",
+                "harbor pilot boat", "capt."]
 EXEMPT_TERM = "levy"
 URL_SKIP = r"\$\{|<|\{\{|quay\.example"

@@ -51,11 +51,6 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def sql_string(value: str) -> str:
-    """A Spark SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def holds_needs(needed: Needs, words: list[str], found: str, text: str) -> str:
     """SQL: may a text match, judging by the literals it holds?
 
@@ -81,9 +76,9 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-def utf16_offset(text: Column, offset: Column) -> Column:
-    """The UTF-16 offset of a code-point offset into ``text``."""
-    return utf16_length(F.left(text, offset))
+def holds_pairs(text: Column) -> Column:
+    """Does the text hold characters that take two UTF-16 units?"""
+    return text.rlike(_ABOVE_BMP)
 
 
 def clip_text(text: Column, units: int) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swayscan.functions.spans import let
 from swayscan.sources.pack import FLAGS, PRINCIPLES, RULE_DOMAINS, SEVERITIES, TIERS
-from swayscan.sources.texts import small
 
 # Words of motive that a name or description must not hold.
 INTENT_WORDS = (
@@ -110,45 +110,66 @@ def name_list_hits(df: DataFrame, key: str, text: str, names: DataFrame, least:
     )
     listed = names.select(F.lower("word").alias("word")).distinct().withColumn("listed", F.lit(True))
     split = rows.select(key, F.explode_outer(words).alias("w")).select(key, "w.*")
-    found = split.join(small(listed), "word", "left").where(F.col("lone") | F.col("listed"))
+    found = split.join(listed, "word", "left").where(F.col("lone") | F.col("listed"))
     return found.groupBy(key).agg(F.count("*").alias("names")).where(F.col("names") >= least)
 
 
 def listed_forms(terms: DataFrame) -> DataFrame:
-    """Every form of each listed term: plural, and after each prefix.
+    """Every form of each listed term, in lower case with parts joined by spaces.
 
-    ``terms`` has one column, ``term``. A term of several words has no prefixed
-    form. Grows the list by a fixed factor of at most twenty.
+    ``terms`` has one column, ``term``. A term has its plural beside it, unless
+    its ending takes none, and a single word every prefix before either. A term
+    of several parts, or an abbreviation with a period, has no prefixed form.
     """
-    term = F.col("term")
-    plural = (
-        F.when(term.rlike("(s|x|sh)$"), F.concat(term, F.lit("es")))
-        .when(term.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(term, "y$", ""), F.lit("ies")))
-        .otherwise(F.concat(term, F.lit("s")))
+    word = F.lower(F.replace("term", F.lit("-"), F.lit(" ")))
+    ending = (
+        F.when(word.rlike("[sx]$|sh$"), F.concat(word, F.lit("es")))
+        .when(word.rlike("(^|[^aeiou])y$"), F.regexp_replace(word, "y$", "ies"))
+        .otherwise(F.concat(word, F.lit("s")))
     )
-    fixed = F.lit(False)
-    for ending in NO_PLURAL:
-        fixed = fixed | term.endswith(ending)
-    forms = F.when(fixed, F.array(term)).otherwise(F.array(term, plural))
-    one_word = ~term.contains(" ")
-    prefixed = F.flatten(
-        F.transform(forms, lambda f: F.transform(F.array(*map(F.lit, LISTED_PREFIXES)), lambda p: F.concat(p, f)))
-    )
-    every = F.when(one_word, F.concat(forms, prefixed)).otherwise(forms)
-    return terms.select("term", F.explode(every).alias("form"))
+    takes_none = word.rlike(f"({'|'.join(e.replace('.', '[.]') for e in NO_PLURAL)})$")
+    endings = F.when(takes_none, F.array(word)).otherwise(F.array(word, ending))
+    before = F.when(word.rlike("[ .]"), F.array(F.lit(""))).otherwise(F.array(*map(F.lit, ("", *LISTED_PREFIXES))))
+    rows = terms.select("term", F.explode(endings).alias("ending"), before.alias("before"))
+    return rows.select("term", F.explode("before").alias("prefix"), "ending").select(
+        "term", F.concat("prefix", "ending").alias("form")
+    ).distinct()
 
 
-def word_runs(text: Column) -> Column:
-    """Distinct lowercase words of a text, and pairs of words next to each other."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}'-]+)"), 1)
-    pairs = F.zip_with(
-        words, F.slice(words, 2, 2**30), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))
-    )
-    return F.array_distinct(F.concat(words, F.array_compact(pairs)))
+def word_runs(text: Column, longest: int) -> Column:
+    """Distinct runs of up to ``longest`` words that exactly one space or hyphen joins, in lower case.
+
+    Words are runs of letters, so a hyphen parts them. Each run also stands with the period behind it, if there is
+    one, for abbreviations.
+    """
+    # A word with what follows: the joint to a next word, a period, or nothing.
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+(?:[ -](?=\p{L})|[.])?)"), 1)
+
+    def from_place(words, at):
+        def run(size):
+            parts = F.slice(words, at, size)
+            joined = F.forall(F.slice(parts, F.lit(1), size - 1), lambda part: part.rlike("[ -]$"))
+            whole = (F.size(parts) == size) & joined
+            return F.when(whole, F.regexp_replace(F.array_join(parts, ""), "[ -]$", ""))
+
+        return F.transform(F.sequence(F.lit(1), F.lit(longest)), run)
+
+    def runs(words):
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda at: at <= F.size(words))
+        every = F.array_compact(F.flatten(F.transform(places, lambda at: from_place(words, at))))
+        spaced = F.transform(every, lambda run: F.replace(run, F.lit("-"), F.lit(" ")))
+        return F.array_distinct(F.concat(spaced, F.transform(spaced, lambda run: F.rtrim(run, F.lit(".")))))
+
+    return let(pieces, runs)
 
 
 def denylist_terms(df: DataFrame, key: str, text: str, terms: DataFrame, exempt: DataFrame) -> DataFrame:
-    """Listed terms, in any form, that texts hold; exempt ``(key, term)`` pairs aside."""
-    words = df.select(key, F.explode(word_runs(F.col(text))).alias("form"))
-    found = words.join(small(listed_forms(terms)), "form").select(key, "term", "form").distinct()
+    """Listed terms, in any form, that texts hold; exempt ``(key, term)`` pairs aside.
+
+    Runs of words are as long as the list's longest term.
+    """
+    longest = terms.agg(F.max(F.size(F.split("term", "[ -]")))).first()[0] or 1
+    held = df.select(key, word_runs(F.col(text), longest).alias("forms"))
+    words = held.select(key, F.explode_outer("forms").alias("form")).where(F.col("form").isNotNull())
+    found = words.join(listed_forms(terms), "form").select(key, "term", "form")
     return found.join(exempt, [key, "term"], "left_anti")

@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swayscan.functions.regex import SPACE
 from swayscan.functions.spans import drop_overlaps
 from swayscan.plans import scan as plan
 from swayscan.sources.pack import RulePack
-from swayscan.sources.texts import small
 
 # --- swapped pairs ------------------------------------------------------------
 
@@ -41,19 +41,24 @@ def make_pairs(swaps: DataFrame, templates: list[str], org_templates: list[str],
 
 
 def scan_sides(pairs: DataFrame, keys: list[str], pack: RulePack, domain: str = "all") -> DataFrame:
-    """Add ``ids_a`` and ``ids_b``, the sets of rules each side raises.
+    """Add ``ids_a`` and ``ids_b``, the sets of rules each side raises; null for a side that was not scanned.
 
-    One scan reads both sides; only rule ids travel to bring them together.
+    Both sides are columns of one row, so nothing has to be brought together.
     """
-    side = F.array(
-        F.struct(F.lit("a").alias("side"), F.col("text_a").alias("text")),
-        F.struct(F.lit("b").alias("side"), F.col("text_b").alias("text")),
-    )
-    sides = pairs.select(*keys, F.explode(side).alias("s")).select(*keys, "s.*")
-    ids = plan.with_moves(sides, pack, domain).withColumn("ids", plan.rule_ids(F.col("moves")))
-    return ids.groupBy(*keys).agg(
-        *(F.max(F.when(F.col("side") == s, F.col("ids"))).alias(f"ids_{s}") for s in ("a", "b"))
-    )
+    rows = pairs
+    for side in ("a", "b"):
+        scanned = plan.with_moves(rows, pack, domain, f"text_{side}")
+        ids = plan.rule_ids(F.col("moves"))
+        rows = scanned.withColumn(f"ids_{side}", ids).withColumnRenamed(plan.REJECT_REASON, f"reject_{side}").drop("moves")
+    return rows.select(*keys, "ids_a", "ids_b", F.coalesce("reject_a", "reject_b").alias(plan.REJECT_REASON))
+
+
+NOT_SCANNED = "not scanned"
+
+
+def _unless_rejected(verdict: Column) -> Column:
+    """``verdict``, or that a text was not scanned; a rejected case must not pass unseen."""
+    return F.when(F.col(plan.REJECT_REASON).isNotNull(), NOT_SCANNED).otherwise(verdict)
 
 
 def symmetry_check(sides: DataFrame, must_raise: Column | bool = True) -> DataFrame:
@@ -66,13 +71,14 @@ def symmetry_check(sides: DataFrame, must_raise: Column | bool = True) -> DataFr
         .when(must & (F.size("ids_a") == 0), "raises nothing")
         .otherwise("same")
     )
-    return sides.withColumns({"only_a": only_a, "only_b": only_b, "verdict": verdict})
+    return sides.withColumns({"only_a": only_a, "only_b": only_b, "verdict": _unless_rejected(verdict)})
 
 
 def known_limits_check(sides: DataFrame) -> DataFrame:
     """Pairs that are known to differ: one that no longer does is unexpected."""
     same = F.sort_array("ids_a") == F.sort_array("ids_b")
-    return sides.withColumn("verdict", F.when(same, "unexpected pass").otherwise("known limit"))
+    verdict = F.when(same, "unexpected pass").otherwise("known limit")
+    return sides.withColumn("verdict", _unless_rejected(verdict))
 
 
 def pair_registry_audit(registry: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -107,14 +113,18 @@ def rule_coverage(rules: DataFrame, raised: DataFrame) -> DataFrame:
 # --- expected moves -----------------------------------------------------------
 
 
-def golden_check(expected: DataFrame, actual: DataFrame, src: str) -> DataFrame:
-    """Expected and actual moves that have no counterpart."""
+def golden_check(expected: DataFrame, actual: DataFrame, src: str, text: str = "match") -> DataFrame:
+    """Expected and actual moves side by side: ok, missing, extra, or at the same place with another text."""
     key = [src, "rule_id", "start", "end"]
-    sides = expected.select(*key, F.lit(1).alias("want"), F.lit(0).alias("got")).unionByName(
-        actual.select(*key, F.lit(0).alias("want"), F.lit(1).alias("got"))
+    sides = expected.select(*key, F.lit(1).alias("n"), F.col(text).alias("want"), F.lit(None).cast("string").alias("got"))
+    sides = sides.unionByName(
+        actual.select(*key, F.lit(-1).alias("n"), F.lit(None).cast("string").alias("want"), F.col(text).alias("got"))
     )
-    totals = sides.groupBy(*key).agg(F.sum("want").alias("want"), F.sum("got").alias("got"))
-    status = F.when(F.col("want") > F.col("got"), "missing").when(F.col("want") < F.col("got"), "extra").otherwise("ok")
+    totals = sides.groupBy(*key).agg(F.sum("n").alias("n"), F.max("want").alias("want"), F.max("got").alias("got"))
+    status = (
+        F.when(F.col("n") > 0, "missing").when(F.col("n") < 0, "extra")
+        .when(F.col("want") != F.col("got"), "other text").otherwise("ok")
+    )
     return totals.select(*key, status.alias("status"))
 
 
@@ -179,7 +189,7 @@ def pack_changes(df: DataFrame, keys: list[str], before: RulePack, after: RulePa
     change = (
         F.when(old.isNull(), "gained").when(new.isNull(), "lost").when(old != new, "other spans").otherwise("same")
     )
-    snippet = F.left(F.regexp_replace(text, r"\s+", " "), F.lit(110))
+    snippet = F.left(F.regexp_replace(text, f"[{SPACE}]+", " "), F.lit(110))
     return rows.select(*keys, "rule_id", change.alias("change"), snippet.alias("snippet"))
 
 
@@ -241,46 +251,52 @@ def arrow_raw(text: Column, pack: RulePack, domain: str = "all") -> Column:
     window = pack.citations["window"]
     cites = [re.compile(p, flag_bits(pack.citations["flags"])) for p in pack.citations["patterns"]]
 
-    def spans_in(patterns, text):
-        return [m.span() for p in patterns for m in p.finditer(text) if m.end() > m.start()]
-
-    def cited(text, lowered, span):
-        wording = text[slice(*span)]
-        first = lowered.find(wording.lower())
-        low = max(0, first - window)
-        high = min(len(text), first + len(wording) + window)
-        base = max(0, low - CITATION_REACH)
-        near = spans_in(cites, text[base : high + CITATION_REACH])
-        return first >= 0 and any(s < high - base and e > low - base for s, e in near)
+    def found(patterns, text):
+        every = (m for p in patterns for m in p.finditer(text))
+        return [m.span() for m in every if m.group()]
+
+    def quiet(text, spans):
+        """Has each wording a citation beside its first place?"""
+        lowered, places = text.lower(), {}
+        for start, end in spans:
+            places.setdefault((text[start:end].lower(), end - start))
+        for wording, size in places:
+            at = lowered.find(wording)
+            reach = range(max(at - window, 0), min(at + size + window, len(text)))
+            shift = max(reach.start - CITATION_REACH, 0)
+            beside = found(cites, text[shift : reach.stop + CITATION_REACH]) if at >= 0 else ()
+            if not any(shift + start < reach.stop and shift + end > reach.start for start, end in beside):
+                return False
+        return True
 
     def hits(text):
-        lowered = text.lower()
         for order, least, quiets, patterns in rules:
-            spans = spans_in(patterns, text)
+            spans = found(patterns, text)
             if spans and len(spans) >= least:
-                quiet = quiets and all(cited(text, lowered, s) for s in spans)
-                yield {"ord": order, "spans": [{"start": s, "end": e} for s, e in spans], "cited": quiet}
+                cited = quiets and quiet(text, spans)
+                yield {"ord": order, "spans": [{"start": s, "end": e} for s, e in spans], "cited": cited}
 
     @F.pandas_udf(RAW_HITS)
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([list(hits(t)) for t in texts])
+            yield pd.Series([[] if t is None else list(hits(t)) for t in texts])
 
     return match(text)
 
 
 def engine_parity(df: DataFrame, keys: list[str], pack: RulePack, domain: str = "all") -> DataFrame:
-    """Per text: moves by either engine, and whether they are identical."""
+    """Per text: moves by either engine, and whether they are identical; neither scans a rejected text."""
     native = plan.with_moves(df, pack, domain).withColumnRenamed("moves", "moves_native")
-    raw = native.withColumn("_raw", arrow_raw(F.col("text"), pack, domain))
+    scanned = F.col(plan.REJECT_REASON).isNull()
+    raw = native.withColumn("_raw", arrow_raw(F.when(scanned, F.col("text")), pack, domain))
     passed = raw.withColumn("_raw", F.filter("_raw", lambda r: ~r["cited"]))
     kept = plan.without_overlaps(F.col("_raw"))
-    other = passed.withColumn("moves_arrow", plan.ordered_moves(kept, pack, F.col("text")))
+    other = passed.withColumn("moves_arrow", F.when(scanned, plan.ordered_moves(kept, pack, F.col("text"))))
     return other.select(
         *keys,
         F.size("moves_native").alias("n_native"),
         F.size("moves_arrow").alias("n_arrow"),
-        (F.col("moves_native") == F.col("moves_arrow")).alias("same"),
+        F.col("moves_native").eqNullSafe(F.col("moves_arrow")).alias("same"),
     )
 
 
@@ -291,17 +307,20 @@ def expected_rules_check(df: DataFrame, keys: list[str], pack: RulePack, want: s
     """Does each text raise exactly this multiset of rules?"""
     scanned = plan.with_moves(df, pack, domain)
     got = F.array_sort(F.transform("moves", lambda m: m["rule_id"]))
-    ok = got == F.array_sort(want)
+    verdict = F.when(got == F.array_sort(want), "as expected").otherwise("differs")
     tiers = F.array_sort(F.array_distinct(F.transform("moves", lambda m: m["tier"])))
-    return scanned.select(*keys, ok.alias("as_expected"), F.size("moves").alias("n_moves"), tiers.alias("tiers"))
+    return scanned.select(
+        *keys, _unless_rejected(verdict).alias("verdict"), F.size("moves").alias("n_moves"), tiers.alias("tiers")
+    )
 
 
 def polarity_check(df: DataFrame, keys: list[str], pack: RulePack, domain: str = "all") -> DataFrame:
     """Cases ``(rule_id, polarity, text)``: positive ones raise the rule, others do not."""
     scanned = plan.with_moves(df, pack, domain)
     raised = F.exists("moves", lambda m: m["rule_id"] == F.col("rule_id"))
+    verdict = F.when(raised == F.col("polarity"), "holds").otherwise("fails")
     return scanned.select(
-        *keys, "rule_id", "polarity", raised.alias("raised"), (raised == F.col("polarity")).alias("holds")
+        *keys, "rule_id", "polarity", raised.alias("raised"), _unless_rejected(verdict).alias("verdict")
     )
 
 
@@ -311,7 +330,8 @@ def guide_check(entries: DataFrame, key: str, pack: RulePack, rules: DataFrame)
     An entry is ``(key, id, pit_tier, domain, example, flagged_span, honest,
     fair_use, fair_use_flagged)``. Its example raises its own rule on the
     flagged span and no other rule of its domain; the honest version raises
-    none; fair use is marked as stated. ``rules`` is the pack's rule table.
+    none; fair use is marked as stated. A text that is not scanned and a domain
+    that does not exist are problems too. ``rules`` is the pack's rule table.
     """
     parts = F.array(
         *(F.struct(F.lit(kind).alias("kind"), F.col(column).alias("text"))
@@ -320,7 +340,7 @@ def guide_check(entries: DataFrame, key: str, pack: RulePack, rules: DataFrame)
     known = rules.select(
         F.col("rule_id").alias("id"), F.col("pit_tier").alias("pack_tier"), F.col("domain").alias("pack_domain")
     )
-    texts = entries.join(small(known), "id", "left").withColumn("part", F.explode(parts)).select("*", "part.*")
+    texts = entries.join(known, "id", "left").withColumn("part", F.explode(parts)).select("*", "part.*")
     scanned = plan.with_moves(texts.drop("part", "example", "honest", "fair_use"), pack, F.col("domain"))
     own = F.filter("moves", lambda m: m["rule_id"] == F.col("id"))
     others = F.filter("moves", lambda m: m["rule_id"] != F.col("id"))
@@ -328,7 +348,11 @@ def guide_check(entries: DataFrame, key: str, pack: RulePack, rules: DataFrame)
     on_span = F.exists(own, lambda m: (m["start"] < at + F.length("flagged_span")) & (m["end"] > at))
     kind = F.col("kind")
     example = kind == "example"
+    reason = F.col(plan.REJECT_REASON)
+    unknown = reason == "domain is unknown"
     checks = (
+        (example & unknown, "domain is unknown"),
+        (reason.isNotNull() & ~unknown, F.concat(F.lit("the "), kind, F.lit(" was not scanned"))),
         (example & F.col("pack_tier").isNull(), "not in the pack"),
         (example & (F.col("pack_tier") != F.col("pit_tier")), "other tier in the pack"),
         (example & (F.col("pack_domain") != F.col("domain")), "other domain in the pack"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swayscan.sources.texts import small
-
-BUCKETS = 1024
-"""Units of the bootstrap: texts are counted per bucket before resampling."""
+# Poisson distribution with mean one, summed until a 48-bit number cannot tell further values apart.
+POISSON = list(accumulate(1 / (math.e * math.factorial(k)) for k in range(17)))
 
 
 def sealed(key: Column) -> Column:
@@ -23,12 +24,11 @@ def rule_outcomes(labelled: DataFrame, keys: list[str], technique_rules: DataFra
     text; ``technique_rules`` maps techniques to rules and is as small as a
     pack. Rules neither raised nor labelled in a text have no row.
     """
-    mapped = small(technique_rules)
     raised = labelled.select(*keys, F.explode_outer("rule_ids").alias("rule_id"), F.lit(1).alias("raised"),
                              F.lit(0).alias("labelled"))
     wanted = (
         labelled.select(*keys, F.explode_outer("techniques").alias("technique"))
-        .join(mapped, "technique")
+        .join(technique_rules, "technique")
         .select(*keys, "rule_id", F.lit(0).alias("raised"), F.lit(1).alias("labelled"))
     )
     rows = raised.where(F.col("rule_id").isNotNull()).unionByName(wanted)
@@ -56,26 +56,23 @@ def uncovered_techniques(techniques: DataFrame, technique_rules: DataFrame) -> D
 
 
 def bootstrap_intervals(outcomes: DataFrame, key: str, replicates: int = 200, level: float = 0.95) -> DataFrame:
-    """Percentile intervals of precision and recall by a Poisson bootstrap.
+    """Percentile intervals of precision and recall by a Poisson bootstrap over texts.
 
-    Texts are first counted per rule and hash bucket, so what is resampled is
-    at most ``BUCKETS`` rows per rule, however many texts there are. Weights
-    come from hashes, so a rerun gives the same intervals.
+    In each replicate a text has a weight that the hash of its key and of the
+    replicate's number gives, so a rerun gives the same intervals. Weighted
+    counts are summed before anything is shuffled: per task a row for each rule
+    and replicate.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
-    counted = outcomes.groupBy("rule_id", bucket.alias("bucket")).agg(
-        F.count_if((F.col("raised") == 1) & (F.col("labelled") == 1)).alias("hits"),
-        F.sum("raised").alias("raised"),
-        F.sum("labelled").alias("labelled"),
+    drawn = outcomes.select(
+        "rule_id", key, "raised", "labelled", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     )
-    drawn = counted.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    point = F.pmod(F.xxhash64("bucket", "replicate"), F.lit(1_000_000)) / 1_000_000
-    # The Poisson distribution with mean one, summed.
-    weight = sum(F.when(point > limit, 1).otherwise(0)
-                 for limit in (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406))
-    weighted = drawn.withColumn("w", weight)
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("replicate").cast("string")))
+    point = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(2**48)
+    limits = F.array(*map(F.lit, POISSON))
+    weighted = drawn.withColumn("w", F.size(F.filter(limits, lambda limit: limit <= point)))
     totals = weighted.groupBy("rule_id", "replicate").agg(
-        *(F.sum(F.col(c) * F.col("w")).alias(c) for c in ("hits", "raised", "labelled"))
+        F.sum(F.col("w") * F.col("raised") * F.col("labelled")).alias("hits"),
+        *(F.sum(F.col(c) * F.col("w")).alias(c) for c in ("raised", "labelled")),
     )
     rates = totals.select(
         "rule_id",

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swayscan.functions.spans import collect_fold
-from swayscan.sources.texts import small
 
 _CLUSTER = "struct<start:int,end:int,tier:int,first:int,members:int>"
 _FAR = 2**31 - 1
@@ -109,7 +108,7 @@ def move_labels(scanned: DataFrame, keys: list[str], catalog: DataFrame, tiers:
         *keys, F.size("moves").alias("n"), F.posexplode_outer("moves").alias("at", "m")
     ).where(F.col("at").isNotNull())
     rows = rows.select(*keys, "n", (F.col("at") + 1).alias("move_no"), "m.rule_id", "m.tier", "m.match")
-    named = rows.join(small(catalog.withColumnRenamed("name", "plain_name")), "rule_id", "left")
+    named = rows.join(catalog.withColumnRenamed("name", "plain_name"), "rule_id", "left")
     alias = F.element_at(
         F.create_map(*(F.lit(v) for t, tier in tiers.items() for v in (int(t), tier["alias"]))), F.col("tier")
     )

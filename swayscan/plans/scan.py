@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swayscan.functions.regex import Needs, needs, word_finder
+from swayscan.functions.regex import Needs, needs, to_java, word_finder
 from swayscan.functions.spans import (
     SPAN,
     cut_at_matches,
@@ -23,6 +23,7 @@ from swayscan.functions.spans import (
     drop_overlaps,
     let,
     spans_of_cuts,
+    with_pieces,
 )
 from swayscan.functions.text import MAX_CHARS, folded, holds_needs, matchable, sql_string
 from swayscan.sources.pack import CITATION_REACH, DOMAINS, TIERS, RulePack, bundled_pack, stamp
@@ -33,22 +34,22 @@ REJECT_REASON = "reject_reason"
 # --- intake -------------------------------------------------------------------
 
 
-def intake(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``reject_reason``: null for texts the scan accepts. Never truncates."""
+def intake(df: DataFrame, text: str = "text", domain: Column | None = None) -> DataFrame:
+    """Add ``reject_reason``: null for rows the scan accepts. Never truncates.
+
+    ``domain`` is the domain of each row, if rows have one; null counts as general.
+    """
     reason = F.when(F.col(text).isNull(), "text is null").when(
         F.length(text) > MAX_CHARS, "text is too long"
     )
+    if domain is not None:
+        reason = reason.when(~F.coalesce(domain, F.lit("general")).isin(*DOMAINS), "domain is unknown")
     return df.withColumn(REJECT_REASON, reason)
 
 
-def accepted(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose text the scan accepts."""
-    return df.where(F.col(text).isNotNull() & (F.length(text) <= MAX_CHARS))
-
-
-def rejects(df: DataFrame, text: str = "text") -> DataFrame:
+def rejects(df: DataFrame, text: str = "text", domain: Column | None = None) -> DataFrame:
     """The rows that the scan does not accept, each with its reason."""
-    return intake(df, text).where(F.col(REJECT_REASON).isNotNull())
+    return intake(df, text, domain).where(F.col(REJECT_REASON).isNotNull())
 
 
 # --- matching -----------------------------------------------------------------
@@ -97,7 +98,9 @@ def raw_spans(
     add: str = "_raw",
     then: Callable[[Column], Column] = lambda raw: raw,
 ) -> DataFrame:
-    """Add ``_raw``: per rule, every match of every pattern.
+    """Add ``_raw``: per rule, every match of every pattern; and ``reject_reason``.
+
+    Rows that the scan does not accept stay, with the reason and a null result.
 
     ``then`` turns the raw spans into another column, added as ``add``; in one
     step, because Spark analyses the whole pack again for every step.
@@ -106,13 +109,12 @@ def raw_spans(
     by_row = isinstance(domain, Column)
     rules = pack.select("all" if by_row else domain)
     words = _pack_words(rules)
-    finder = F.regexp_extract_all(folded(F.col(text)), F.lit(word_finder(words)), 1)
-    prepared = accepted(df, text).withColumns(
-        {"_match": matchable(F.col(text)), "_words": F.array_distinct(finder)}
-    )
+    checked = intake(df, text, domain if by_row else None)
+    readable = F.when(F.col(REJECT_REASON).isNull(), F.col(text))
+    finder = F.regexp_extract_all(folded(readable), F.lit(word_finder(words)), 1)
+    prepared = checked.withColumns({"_match": matchable(readable), "_words": F.array_distinct(finder)})
     if by_row:
         prepared = prepared.withColumn("_domain", F.coalesce(domain, F.lit("general")))
-        prepared = prepared.where(F.col("_domain").isin(*DOMAINS))
     hits = F.expr(f"array({', '.join(_rule_hits(n, r, words, by_row) for n, r in rules)})")
     # One match cuts a text into three pieces or more.
     hit = F.filter(
@@ -124,33 +126,37 @@ def raw_spans(
         spans = F.flatten(F.transform(cuts, spans_of_cuts))
         return F.struct(h["ord"], h["least"], h["cited"], spans.alias("spans"))
 
-    kept = [c for c in df.columns if c != "_raw"]
-    return prepared.select(*kept, "_match", then(F.transform(hit, entry)).alias(add))
+    kept = [c for c in df.columns if c not in ("_raw", "_match", add, REJECT_REASON)]
+    found = F.when(F.col(REJECT_REASON).isNull(), then(F.transform(hit, entry)))
+    return prepared.select(*kept, REJECT_REASON, "_match", found.alias(add))
 
 
 def prefilter_report(
     df: DataFrame, pack: RulePack | None = None, domain: str | None = None, text: str = "text"
 ) -> DataFrame:
-    """Per rule: texts its patterns were run on, and texts they matched."""
+    """Per rule: texts its patterns are run on, texts they match, and matching texts that the filter would hide.
+
+    Matching is tested on every accepted text, whatever the filter says.
+    """
     pack = pack or bundled_pack()
     rules = pack.select(domain)
     words = _pack_words(rules)
+    accepted = intake(df, text).where(F.col(REJECT_REASON).isNull())
     finder = F.regexp_extract_all(folded(F.col(text)), F.lit(word_finder(words)), 1)
-    prepared = accepted(df, text).select(
-        matchable(F.col(text)).alias("_match"), F.array_distinct(finder).alias("_words")
-    )
-    tested = []
+    prepared = accepted.select(matchable(F.col(text)).alias("_match"), F.array_distinct(finder).alias("_words"))
+    facts = []
     for _, rule in rules:
-        tests = (
-            f"({holds_needs(needs(p, rule['flags']), words, '_words', '_match')})" for p in rule["indicators"]
+        tests = [holds_needs(needs(p, rule["flags"]), words, "_words", "_match") for p in rule["indicators"]]
+        hits = [f"rlike(_match, {sql_string(to_java(p, rule['flags']))})" for p in rule["indicators"]]
+        hidden = [f"({hit} AND NOT ({test}))" for hit, test in zip(hits, tests)]
+        facts.append(
+            f"named_struct('rule_id', {sql_string(rule['id'])}, 'run', {' OR '.join(f'({t})' for t in tests)}, "
+            f"'hit', {' OR '.join(hits)}, 'hidden', {' OR '.join(hidden)})"
         )
-        tested.append(f"CASE WHEN {' OR '.join(tests)} THEN {sql_string(rule['id'])} END")
-    run = prepared.select(F.explode_outer(F.array_compact(F.expr(f"array({', '.join(tested)})"))).alias("rule_id"))
-    ids = F.expr(f"array({', '.join(sql_string(r['id']) for r in pack.rules)})")
-    raw = raw_spans(df.select(text), pack, domain, text).select(F.explode_outer("_raw.ord").alias("ord"))
-    matched = raw.where(F.col("ord").isNotNull()).groupBy(F.get(ids, F.col("ord")).alias("rule_id"))
-    tests_run = run.where(F.col("rule_id").isNotNull()).groupBy("rule_id").agg(F.count("*").alias("tested"))
-    return tests_run.join(matched.agg(F.count("*").alias("matched")), "rule_id", "left")
+    rows = prepared.select(F.explode_outer(F.expr(f"array({', '.join(facts)})")).alias("r")).select("r.*")
+    return rows.groupBy("rule_id").agg(
+        F.count_if("run").alias("tested"), F.count_if("hit").alias("matched"), F.count_if("hidden").alias("hidden")
+    )
 
 
 def at_least(raw: Column) -> Column:
@@ -173,21 +179,19 @@ def citation_spans(text: Column, pack: RulePack) -> Column:
     return F.flatten(F.transform(cuts, spans_of_cuts))
 
 
-def is_cited(text: Column, match_text: Column, lowered: Column, span: Column, pack: RulePack) -> Column:
-    """Does a citation touch the window around the span's wording?
+def is_cited(text: Column, match_text: Column, lowered: Column, wording: Column, pack: RulePack) -> Column:
+    """Does a citation touch the window around a wording, ``struct<words, size>``?
 
     The window lies around the first place where the wording occurs in the
     lowercased text, which may be before the span itself. The search reads a
     little further, so that a long citation is seen whole.
     """
     window = pack.citations["window"]
-    size = span["end"] - span["start"]
-    wording = F.lower(F.substring(text, span["start"] + 1, size))
 
     def around(first):
         at = first - 1
         low = F.greatest(F.lit(0), at - window)
-        high = F.least(F.length(text), at + size + window)
+        high = F.least(F.length(text), at + wording["size"] + window)
         base = F.greatest(F.lit(0), low - CITATION_REACH)
         nearby = F.substring(match_text, base + 1, high + CITATION_REACH - base)
         return F.struct((low - base).alias("low"), (high - base).alias("high"), nearby.alias("text"))
@@ -198,19 +202,33 @@ def is_cited(text: Column, match_text: Column, lowered: Column, span: Column, pa
             lambda c: (c["start"] < place["high"]) & (c["end"] > place["low"]),
         )
 
-    return let(F.instr(lowered, wording), lambda first: (first > 0) & let(around(first), touched))
+    return let(F.instr(lowered, wording["words"]), lambda first: (first > 0) & let(around(first), touched))
 
 
 def cited_marks(raw: Column, pack: RulePack, text: str = "text") -> Column:
-    """Add ``quiet`` to each entry: the rule heeds citations and all its spans are cited."""
-    body, match_text, lowered = F.col(text), F.col("_match"), F.lower(F.col(text))
+    """Add ``quiet`` to each entry: the rule heeds citations and all its spans are cited.
+
+    The verdict depends on a span's wording alone, so each wording of a rule is looked up once.
+    """
+    body, match_text = F.col(text), F.col("_match")
+
+    def marked(lowered: Column, piece: Callable[[Column, Column], Column]) -> Column:
+        def entry(r):
+            wordings = F.array_distinct(
+                F.transform(
+                    r["spans"],
+                    lambda s: F.struct(
+                        F.lower(piece(s["start"], s["end"])).alias("words"), (s["end"] - s["start"]).alias("size")
+                    ),
+                )
+            )
+            uncited = F.exists(wordings, lambda w: ~is_cited(body, match_text, lowered, w, pack))
+            quiet = F.when(r["cited"], ~uncited).otherwise(False)
+            return F.struct(r["ord"], r["least"], r["cited"], r["spans"], quiet.alias("quiet"))
 
-    def entry(r):
-        uncited = F.exists(r["spans"], lambda s: ~is_cited(body, match_text, lowered, s, pack))
-        quiet = F.when(r["cited"], ~uncited).otherwise(False)
-        return F.struct(r["ord"], r["least"], r["cited"], r["spans"], quiet.alias("quiet"))
+        return F.transform(raw, entry)
 
-    return F.transform(raw, entry)
+    return let(F.lower(body), lambda lowered: with_pieces(body, lambda piece: marked(lowered, piece)))
 
 
 def uncited(raw: Column, pack: RulePack, text: str = "text") -> Column:
@@ -273,17 +291,17 @@ def ordered_moves(raw: Column, pack: RulePack, text: Column) -> Column:
     )
     facts = _rule_facts(pack)
 
-    def move(k):
+    def move(k, piece):
         rule = F.get(facts, k["ord"])
         end = -k["back"]
         return F.struct(
             *(rule[f].alias(f) for f in ("rule_id", "name", "tier", "domain", "severity")),
             k["start"].alias("start"),
             end.alias("end"),
-            F.substring(text, k["start"] + 1, end - k["start"]).alias("match"),
+            piece(k["start"], end).alias("match"),
         )
 
-    return F.transform(keys, move)
+    return with_pieces(text, lambda piece: F.transform(keys, lambda k: move(k, piece)))
 
 
 def tier_counts(moves: Column) -> Column:
@@ -300,7 +318,7 @@ def with_moves(
     domain: str | Column | None = None,
     text: str = "text",
 ) -> DataFrame:
-    """Add ``moves``, the ordered moves of each accepted text."""
+    """Add ``moves``, the ordered moves of each text, and ``reject_reason``; moves are null where that is set."""
     pack = pack or bundled_pack()
 
     def finish(raw: Column) -> Column:
@@ -316,7 +334,7 @@ def scan(
     domain: str | Column | None = None,
     text: str = "text",
 ) -> DataFrame:
-    """The nested result: version, fingerprint, moves and counts per text."""
+    """The nested result: version, fingerprint, moves and counts per text, or the reason why it was not scanned."""
     pack = pack or bundled_pack()
     found = with_moves(df, pack, domain, text)
     return stamp(found.withColumn("counts", tier_counts(F.col("moves"))), pack)

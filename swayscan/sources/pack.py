@@ -102,7 +102,10 @@ def load_rule_pack(spark: SparkSession, path: str) -> RulePack:
     A pack is a few hundred kilobytes at most; its patterns have to reach the
     driver, because they are literals of the plan.
     """
-    return RulePack(json.loads(spark.read.text(path, wholetext=True).first()[0]))
+    files = spark.read.text(path, wholetext=True).take(2)
+    if len(files) != 1:
+        raise ValueError(f"one pack file is expected at {path!r}, not none or several")
+    return RulePack(json.loads(files[0][0]))
 
 
 def read_packs(spark: SparkSession, path: str) -> DataFrame:

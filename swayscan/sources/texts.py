@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swayscan.functions.text import MAX_CHARS
@@ -11,33 +11,16 @@ MAX_BYTES = 4 * MAX_CHARS
 """Byte ceiling of a text file; a longer one cannot be a text the scan accepts."""
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share a small table's rows over all cores before costly per-row work.
-
-    A small file is often one row group, so one task would do all the work. A
-    table that already has a few partitions per core is left as it is: at
-    scale this adds no shuffle. Meant for tables as read; asking a joined
-    frame for its partitions would run the join.
-
-    With keys, rows are always hashed by them, so that a later grouping by the
-    keys needs no shuffle of its own.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if keys:
-        return df.repartition(max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(4 * cores)
-
-
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """Mark a list for broadcast if counting shows that it is short.
-
-    The count stops just past the limit. A longer list is joined like any other
-    table, and Spark splits its hot keys.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def decoded(content: Column) -> tuple[Column, Column]:
+    """Text and reject reason of a file's bytes; line endings stay as they are."""
+    valid = F.is_valid_utf8(content)
+    text = F.when(valid, F.decode(content, "UTF-8"))
+    reason = (
+        F.when(F.octet_length(content) > MAX_BYTES, "too many bytes")
+        .when(~valid, "not valid UTF-8")
+        .when(F.length(text) > MAX_CHARS, "text is too long")
+    )
+    return F.when(F.octet_length(content) <= MAX_BYTES, text), reason
 
 
 def read_utf8_files(spark: SparkSession, path: str) -> DataFrame:
@@ -48,9 +31,7 @@ def read_utf8_files(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path)
     small = files.where(F.col("length") <= MAX_BYTES).select("path", "content")
-    valid = F.expr("is_valid_utf8(content)")
-    text = F.when(valid, F.decode("content", "UTF-8"))
-    reason = F.when(~valid, "not valid UTF-8").when(F.length(text) > MAX_CHARS, "text is too long")
+    text, reason = decoded(F.col("content"))
     read = small.select("path", text.alias("text"), reason.alias("reject_reason"))
     large = files.where(F.col("length") > MAX_BYTES).select(
         "path", F.lit(None).cast("string").alias("text"), F.lit("too many bytes").alias("reject_reason")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from swayscan import bundled_pack
-from swayscan.operators import audit, corpus, evaluate, present
+from swayscan.operators import audit, compare, corpus, evaluate, present
 from swayscan.plans import scan as plan
 from swayscan.sources.pack import pack_table
 from swayscan.streaming import stream
@@ -77,12 +77,31 @@ def test_name_list_hits(spark):
 
 
 def test_denylist_forms(spark):
-    rows = [(1, "The anti-idler rule"), (2, "Antiidlers met"), (3, "two lock keepers"), (4, "an idle man")]
+    rows = [
+        (1, "The anti-idler rule"), (2, "Antiidlers met"), (3, "two lock keepers"), (4, "an idle man"),
+        (5, "A lock-keeper slept"), (6, "He shut the lock. Keeper Marl slept"), (7, "lock  keeper, lock, keeper"),
+        (8, "the harbor-pilot boats"), (9, "Capt. Marl"), (10, "a capt Marl"), (11, None),
+    ]
     df = spark.createDataFrame(rows, "id int, text string")
-    terms = spark.createDataFrame([("idler",), ("lock keeper",)], "term string")
+    terms = spark.createDataFrame([(t,) for t in ("idler", "lock keeper", "harbor pilot boat", "capt.")], "term string")
     exempt = spark.createDataFrame([], "id int, term string")
     found = {(r.id, r.form) for r in audit.denylist_terms(df, "id", "text", terms, exempt).collect()}
-    assert found == {(2, "antiidlers"), (3, "lock keepers")}
+    assert found == {
+        (1, "idler"), (2, "antiidlers"), (3, "lock keepers"), (5, "lock keeper"), (8, "harbor pilot boats"), (9, "capt."),
+    }
+
+
+def _steps(df, name):
+    return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+
+def test_plans_move_no_texts(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    assert _steps(corpus.url_inventory(df, "doc_id", "text", "x"), "Exchange hashpartitioning") == 0
+    # The texts are read once more by their keys, never grouped or sorted by what they hold.
+    assert "text" not in corpus.dedupe_first(df, "doc_id")._jdf.queryExecution().executedPlan().toString().split("Aggregate")[1].split("\n")[0]
+    pairs = spark.createDataFrame([(1, "a", "b")], "id int, text_a string, text_b string")
+    assert _steps(compare.scan_sides(pairs, ["id"], bundled_pack()), "Exchange") == 0
 
 
 def test_stream_windows(spark, tmp_path):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swayscan import bundled_pack
 from swayscan.functions import regex
+from swayscan.functions.spans import with_utf16
 from swayscan.functions.text import clip_text, utf16_length, word_count
 from swayscan.operators import compare
 from swayscan.plans import scan as plan
@@ -98,30 +99,30 @@ def test_index_drift_of_lengthened_lowercase(spark):
 
 
 UNICODE = [
-    ("Everyone agrees\xe9 with it.", []),
-    ("They said \xe9Everyone agrees with it.", []),
-    ("Everyone agrees\u0301 with it.", [("CONSENSUS_AS_EVIDENCE", 0, 15)]),
-    ("\U0001d400Everyone agrees.", []),
-    ("\u4e13\u5bb6Everyone agrees.", []),
-    ("\U0001f469\u200d\U0001f467 Everyone agrees.", [("CONSENSUS_AS_EVIDENCE", 4, 19)]),
-    ("\ue000 Everyone agrees.", [("CONSENSUS_AS_EVIDENCE", 2, 17)]),
-    ("Everyone\x1cagrees now.", [("CONSENSUS_AS_EVIDENCE", 0, 15)]),
-    ("Everyone\x85agrees now.", [("CONSENSUS_AS_EVIDENCE", 0, 15)]),
-    ("Everyone\ufeffagrees now.", []),
-    ("Everyone\xa0agrees now.", [("CONSENSUS_AS_EVIDENCE", 0, 15)]),
-    ("Either we go\u2028now or never.", [("FALSE_BINARY", 0, 19), ("FEAR_URGENCY", 13, 25)]),
-    ("The mill was totally de\u017ftroyed.", [("TOTALIZING_HARM_LANGUAGE", 13, 30)]),
-    ("Just thin\u212a of the children.", [("EMOTIONAL_SUBSTITUTION", 5, 26)]),
-    ("The mill was utterly ru\u0131ned.", [("TOTALIZING_HARM_LANGUAGE", 13, 27)]),
-    ("The mill was utterly ru\u0130ned.", [("TOTALIZING_HARM_LANGUAGE", 13, 27)]),
-    ("The share is down \u0665\u0660% from its recent high.", [("FIN_ANCHORING", 13, 42)]),
-    ("The share is down \U0001d7d3\U0001d7ce% from its recent high.", [("FIN_ANCHORING", 13, 42)]),
-    ("Studies show [\u0663] that it works.", []),
-    ("The \"\u0130deal\" plan and the \u201c\u0131deal\u201d way.",
-     [("MEDIA_SELECTIVE_QUOTATION", 0, 11), ("MEDIA_SELECTIVE_QUOTATION", 21, 32)]),
-    ("y" * 200 + " However, " + "\U0001f642" * 100 + " no evidence was found.", [("MEDIA_BURIED_QUALIFIER", 201, 332)]),
-    ("\U0001f642" * 199 + " However, it could not be verified.", [("MEDIA_BURIED_QUALIFIER", 200, 233)]),
-    ("\U0001f642" * 198 + " However, it could not be verified.", []),
+    ("Nobody doubts\xe9 the tide.", []),
+    ("It is \xe9Nobody doubts the tide.", []),
+    ("Nobody doubts\u0301 the tide.", [("CONSENSUS_AS_EVIDENCE", 0, 13)]),
+    ("\U0001d400Nobody doubts.", []),
+    ("\u6e2f\u53e3Nobody doubts.", []),
+    ("\U0001f6a2\u200d\U0001f30a Nobody doubts.", [("CONSENSUS_AS_EVIDENCE", 4, 17)]),
+    ("\ue000 Nobody doubts.", [("CONSENSUS_AS_EVIDENCE", 2, 15)]),
+    ("Nobody\x1cdoubts it.", [("CONSENSUS_AS_EVIDENCE", 0, 13)]),
+    ("Nobody\x85doubts it.", [("CONSENSUS_AS_EVIDENCE", 0, 13)]),
+    ("Nobody\ufeffdoubts it.", []),
+    ("Nobody\xa0doubts it.", [("CONSENSUS_AS_EVIDENCE", 0, 13)]),
+    ("Paint either hull\u2028red before it's too late or tar it.", [("FALSE_BINARY", 6, 45), ("FEAR_URGENCY", 22, 42)]),
+    ("The boathouse is utterly de\u017ftroyed.", [("TOTALIZING_HARM_LANGUAGE", 17, 34)]),
+    ("Oh thin\u212a of the families.", [("EMOTIONAL_SUBSTITUTION", 3, 24)]),
+    ("The boathouse is wholly, entirely ru\u0131ned.", [("TOTALIZING_HARM_LANGUAGE", 25, 40)]),
+    ("The boathouse is wholly, entirely ru\u0130ned.", [("TOTALIZING_HARM_LANGUAGE", 25, 40)]),
+    ("Rope bonds went off \u0663\u0661% from the peak.", [("FIN_ANCHORING", 16, 37)]),
+    ("Rope bonds went off \U0001d7d1\U0001d7cf% from the peak.", [("FIN_ANCHORING", 16, 37)]),
+    ("Data suggests [\u0664] that tar holds.", []),
+    ("Her \"\u0130nlet\" map and his \u201c\u0131nlet\u201d map.",
+     [("MEDIA_SELECTIVE_QUOTATION", 0, 11), ("MEDIA_SELECTIVE_QUOTATION", 20, 31)]),
+    ("z" * 200 + " Though, " + "\U0001f6a2" * 100 + " was later retracted.", [("MEDIA_BURIED_QUALIFIER", 201, 329)]),
+    ("\U0001f6a2" * 199 + " Though, it was later corrected.", [("MEDIA_BURIED_QUALIFIER", 200, 230)]),
+    ("\U0001f6a2" * 198 + " Though, it was later corrected.", []),
 ]
 
 
@@ -133,7 +134,7 @@ def test_unicode_texts_read_like_python(spark):
 
 
 def test_both_engines_agree_on_odd_texts(spark):
-    texts_ = [text for text, _ in UNICODE] + ["", " ", "\ue000", "everyone agrees " * 300]
+    texts_ = [text for text, _ in UNICODE] + ["", " ", "\ue000", "nobody doubts " * 300, None]
     df = spark.createDataFrame(list(enumerate(texts_)), "id int, text string")
     rows = compare.engine_parity(df, ["id"], bundled_pack()).collect()
     assert len(rows) == len(texts_) and all(r.same and r.n_native == r.n_arrow for r in rows)
@@ -146,10 +147,43 @@ def test_intake_reports_and_never_truncates(spark):
     reasons = {r.id: r.reject_reason for r in plan.intake(df).collect()}
     assert reasons == {1: "text is null", 2: None, 3: "text is too long", 4: None, 5: None}
     scanned = {r.id: r for r in plan.scan(df, bundled_pack()).collect()}
-    assert set(scanned) == {2, 4, 5}
+    assert {n: r.reject_reason for n, r in scanned.items()} == reasons
+    assert scanned[1].moves is None and scanned[3].moves is None
     assert scanned[5].moves == [] and scanned[5].counts == (0, 0, 0)
 
 
+def test_unknown_domain_of_a_row_is_rejected(spark):
+    df = spark.createDataFrame([(1, "Nobody doubts it.", d) for d in ("Media", "media", None)], "id int, text string, d string")
+    rows = {r.d: r for r in plan.scan(df, bundled_pack(), F.col("d")).collect()}
+    assert rows["Media"].reject_reason == "domain is unknown" and rows["Media"].moves is None
+    assert len(rows["media"].moves) == len(rows[None].moves) == 1
+
+
+def test_rejected_cases_are_not_scanned_instead_of_passing(spark):
+    long = "x" * 200_001
+    pairs = spark.createDataFrame([(1, "a", None), (2, long, None), (3, "a", "b")], "id int, text_a string, text_b string")
+    sides = compare.scan_sides(pairs, ["id"], bundled_pack())
+    for check, last in ((compare.symmetry_check(sides, False), "same"), (compare.known_limits_check(sides), "unexpected pass")):
+        assert {r.id: r.verdict for r in check.collect()} == {1: "not scanned", 2: "not scanned", 3: last}
+    cases = spark.createDataFrame([(1, None), (2, long)], "id int, text string").withColumns(
+        {"rule_id": F.lit("FALSE_BINARY"), "polarity": F.lit(True), "want": F.array(F.lit("FALSE_BINARY"))}
+    )
+    for check in (compare.polarity_check(cases, ["id"], bundled_pack()), compare.expected_rules_check(cases, ["id"], bundled_pack(), "want")):
+        assert [r.verdict for r in check.collect()] == ["not scanned"] * 2
+
+
+def test_dense_texts_keep_their_places(spark):
+    # Long enough for blocks of pieces and of text, with characters above U+FFFF in between.
+    pack = tiny_pack({"R": (["claim"], {"suppress_if_cited": True}), "S": ["\\bab\\b"]})
+    text = ("ab \U0001f642 claim " * 3000)[:30_000]
+    found = spans(spark, pack, text)[0]
+    assert len(found) == text.count("claim") + text.count("ab ")
+    df = spark.createDataFrame([(text,)], "text string")
+    offsets = F.array(*map(F.lit, (0, 1, 1023, 1024, 1025, 9999, 30_000)))
+    got = df.select(with_utf16(F.col("text"), lambda units: F.transform(offsets, units))).first()[0]
+    assert got == [len(text[:n].encode("utf-16-be")) // 2 for n in (0, 1, 1023, 1024, 1025, 9999, 30_000)]
+
+
 def test_domains(spark):
     pack = bundled_pack()
     text = "Everyone agrees. This is well-settled law. The controversial bill passed."
@@ -170,6 +204,9 @@ def test_pack_loads_from_any_spark_path(spark, tmp_path):
     loaded = load_rule_pack(spark, str(path))
     assert loaded.fingerprint == bundled_pack().fingerprint
     assert pack_table(spark, loaded).count() == 43
+    (tmp_path / "other.json").write_text("{}")
+    with pytest.raises(ValueError):
+        load_rule_pack(spark, str(tmp_path))
     split = [sum(r["domain"] == d for r in loaded.rules) for d in ("general", "legal", "media", "financial")]
     assert split == [23, 6, 9, 5]
 
