@@ -14,6 +14,7 @@ from swayscan.llm.tables import written
 SCALE = 256
 ROWS = 4096  # vectors of a block
 QUERIES = 1024  # queries of a block
+LISTED = 8  # times the number of wanted rows: length of a list in phase 1; longer lists give a higher threshold
 
 
 def whole_numbers(vector: str, width: int) -> Column:
@@ -119,10 +120,10 @@ def top_k(
     )
 
     def resolved(pairs: DataFrame) -> DataFrame:
-        """Whole scores of ``pairs(q, cls, have, known)``: known is the sum of the lists in have."""
+        """Whole scores of ``pairs(q, cls, have, known)``: known is the sum of the lists whose bits are set in have."""
         pairs = pairs.join(wanted.select("q", F.col("v").alias("qv")), "q").join(classes.select("cls", "v", "ids"), "cls")
         terms = [
-            f"if(array_contains(have, {j}), 0L, aggregate(zip_with(slice(qv, {a + 1}, {b - a}), slice(v, {a + 1}, "
+            f"if(have & {1 << j}L <> 0, 0L, aggregate(zip_with(slice(qv, {a + 1}, {b - a}), slice(v, {a + 1}, "
             f"{b - a}), (x, y) -> coalesce(x * y, 0L)), 0L, (t, p) -> t + p))"
             for j, (a, b) in enumerate(cuts)
         ]
@@ -138,11 +139,11 @@ def top_k(
         pairs = frame.groupBy("rb", "qb").cogroup(grid_rows.groupBy("rb", "qb"))
         return pairs.applyInPandas(work, "q long, j int, cls long, s long")
 
-    first = written(over_cells(wanted, _local_lists(n, cuts)))
+    first = written(over_cells(wanted, _local_lists(LISTED * n, cuts)))
     floors = first.filter("cls is null").groupBy("q", "j").agg(F.min("s").alias("floor"))
     in_list = Window.partitionBy("q", "j").orderBy(F.desc("s"), "cls")
-    lists = first.filter("cls is not null").withColumn("nth", F.row_number().over(in_list)).filter(F.col("nth") <= n)
-    listed = lists.select("q", "cls").distinct().selectExpr("q", "cls", "cast(array() as array<int>) as have", "0L as known")
+    lists = first.filter("cls is not null").withColumn("nth", F.row_number().over(in_list)).filter(F.col("nth") <= LISTED * n)
+    listed = lists.select("q", "cls").distinct().selectExpr("q", "cls", "0L as have", "0L as known")
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
     nth = resolved(listed).withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") == n)
     by_block = F.transform(F.sort_array(F.collect_list(F.struct("j", "floor"))), lambda x: x["floor"])
@@ -153,9 +154,10 @@ def top_k(
 
     sent = written(over_cells(wanted.join(cut, "q"), _entries(cuts)))
     seen = sent.join(cut, "q").groupBy("q", "cls", "need", "share").agg(
-        F.sum(F.expr("s - floors[j]")).alias("sum"), F.sum("s").alias("known"), F.collect_set("j").alias("have")
-    )
-    alive = seen.filter(f"sum + ({len(cuts)} - size(have)) * greatest(share - 1, 0) >= need")
+        F.sum(F.expr("s - floors[j]")).alias("sum"), F.sum("s").alias("known"),
+        F.sum(F.expr("shiftleft(1L, j)")).alias("have"),
+    )
+    alive = seen.filter(f"sum + ({len(cuts)} - bit_count(have)) * greatest(share - 1, 0) >= need")
     scored = resolved(alive.select("q", "cls", "have", "known"))
     scored = scored.withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") <= n)
     found = scored.select("q", "score", F.explode("ids").alias("id"))
