@@ -72,8 +72,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.learn(docs.select("doc_id", "text").filter(~_held_out()).join(labels, "doc_id"))
+    model = toxicity.learn(docs.filter(~_held_out()), _table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", _held_out().alias("held_out"), "score", "predicted", "spans")
 

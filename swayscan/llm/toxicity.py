@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from swayscan.llm.tables import written
+
 ROWS = 1000  # training documents of each label, at most
 PREFIXES = range(2, 9)
 STEPS = 40  # of the fit
@@ -210,20 +212,24 @@ def fit(toxic: list[str], clean: list[str], n_toxic: int, n_clean: int) -> Model
 
 
 def learn(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    rows: int = ROWS,
 ) -> Model:
     """Fit on at most ``rows`` whole texts of each label (0 or 1), those of the least hashed id; all labels are counted.
 
-    Rows whose id, text or label is null are left out. The driver gets the sample, whose size ``rows`` bounds.
+    ``labels`` has an id and a label; labels of ids without a text, and null ids or labels, are left out. Only ids are
+    joined with the labels; texts are read for the chosen ids, and the driver gets that sample, whose size ``rows``
+    bounds.
     """
-    source = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    source = source.filter("id is not null and text is not null and label in (0, 1)")
-    counts = {r["label"]: r["count"] for r in source.groupBy("label").count().collect()}
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    named = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label in (0, 1)")
+    narrow = written(source.select("id").join(named, "id"))
+    counts = {r["label"]: r["count"] for r in narrow.groupBy("label").count().collect()}
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = source.select("id", "label").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
-    sample = source.join(F.broadcast(chosen.select("id", "label").distinct()), ["id", "label"])
+    chosen = narrow.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
+    sample = source.join(F.broadcast(written(chosen.select("id", "label"))), "id").select("label", "id", "text")
     texts: dict[int, list[str]] = {0: [], 1: []}
-    for row in sorted(sample.select("label", "id", "text").toLocalIterator(), key=lambda r: (r["id"], r["text"])):
+    for row in sorted(sample.toLocalIterator(), key=lambda r: (r["id"], r["text"])):
         texts[row["label"]].append(row["text"])
     return fit(texts[1], texts[0], counts.get(1, 0), counts.get(0, 0))
 
