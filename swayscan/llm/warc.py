@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from swayscan.llm.tables import shared_folder, written
 
 LINES = 1000  # captures of a compressed index block
-ROWS = 20_000  # captures of an index file, about
+ROWS = 20_000  # captures of an index file, about; more once there are FILES of them
+FILES = 4096  # index files at most, so that a list of them is small
 FILE = 1 << 28  # bytes after which a task begins another archive
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -123,14 +124,14 @@ def write(pages: DataFrame, folder: str | None = None) -> Archive:
     source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     source = source.withColumn("digest", F.sha1("payload"))
     firsts = source.groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = source.join(firsts, "digest").withColumn("key", _sort_keys("url", "page_id"))
+    joined = source.join(firsts, "digest").select("url", "page_id", "payload", "first")
 
     def archives(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _folder(folder)
         out, name, at = None, None, 0
         for batch in it:
             rows = []
-            for url, page_id, payload, first, key in zip(*(c.to_pylist() for c in batch.columns)):
+            for url, page_id, payload, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None or at >= FILE:
                     if out:
                         out.close()
@@ -139,7 +140,7 @@ def write(pages: DataFrame, folder: str | None = None) -> Archive:
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
                 data = gzip.compress(record(url, page_id, payload, first), 6, mtime=0)
                 out.write(data)
-                rows.append((key, name, at, len(data)))
+                rows.append((sort_key(url, page_id), name, at, len(data)))
                 at += len(data)
             if out:
                 out.flush()
@@ -147,14 +148,13 @@ def write(pages: DataFrame, folder: str | None = None) -> Archive:
         if out:
             out.close()
 
-    fields = joined.select("url", "page_id", "payload", "first", "key")
-    captures = written(fields.mapInArrow(archives, "key string, file string, at long, size long"))
+    captures = written(joined.mapInArrow(archives, "key string, file string, at long, size long"))
     return Archive(_index(captures, folder), captures)
 
 
 def _index(captures: DataFrame, folder: str) -> DataFrame:
     """Sort captures by key into compressed blocks; a row of the directory has a block's first key and place."""
-    files = max(1, -(-captures.count() // ROWS))
+    files = min(FILES, max(1, -(-captures.count() // ROWS)))
     ordered = captures.repartitionByRange(files, "key", "file", "at").sortWithinPartitions("key", "file", "at")
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,8 @@ def read(archive: Archive, wanted: DataFrame) -> DataFrame:
     routed = keys.select("key", F.explode(holders("key")).alias("file"))
     rows = routed.select("file", "key", F.lit(None).cast("string").alias("last"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("size"), F.lit(1).alias("kind"))
     rows = rows.union(spread.select("file", "first_key", "last_key", "at", "size", F.lit(0)))
-    rows = rows.repartition("file").sortWithinPartitions("file", "kind", "key")
+    # a number of its own, since a lookup is more work than its few bytes tell
+    rows = rows.repartition(4 * len(bounds) or 1, "file").sortWithinPartitions("file", "kind", "key")
 
     def lookups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blocks, reader, out, held = None, [], None, [], 0
