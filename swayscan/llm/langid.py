@@ -16,7 +16,6 @@ ORDER = 3  # bytes of the longest context
 ROWS = 400  # training documents of a language, at most
 BLOCK = 1 << 20  # bytes scored at once
 UNKNOWN = "und"
-MOST_BITS = 8  # a byte: a text that costs as much in every language is in none of them
 
 
 class Model:
@@ -187,7 +186,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text is in a learned language: not ``und``, and no longer in bits than its plain bytes."""
+    """Rows of ``docs`` whose text is in a learned language, that is, not ``und``. Texts however odd stay."""
     known = predictor(docs.sparkSession, model)(text_col)
-    rows = docs.withColumn("_found", known).filter(f"_found.lang_pred <> '{UNKNOWN}' and _found.bits < {MOST_BITS}")
-    return rows.drop("_found")
+    return docs.withColumn("_found", known).filter(f"_found.lang_pred <> '{UNKNOWN}'").drop("_found")

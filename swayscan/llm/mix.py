@@ -75,20 +75,22 @@ def calibrated(
     tokens meet the targets in expectation. Repeated rows share their fate; documents without tokens are kept.
     """
     names = list(dimensions)
-    rows = docs.withColumns({f"_{n}": F.coalesce(c.cast("string"), F.lit(UNKNOWN)) for n, c in dimensions.items()})
-    rows = rows.withColumn("_tokens", tokens)
-    keys = [f"_{n}" for n in names]
-    cells = written(rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
-    targets = {f"_{n}": written(tempered(cells, f"_{n}", powers[n])) for n in names}
-    factors = rake(cells, targets, sweeps).drop("tokens")
-    joined = rows.join(written(factors), keys).withColumn("_u", draw(id_col, seed))
-    probability = F.least(F.lit(1.0), F.lit(rate) * F.col("factor"))
-    joined = joined.withColumn("_p", F.when(F.col("_tokens") > 0, probability).otherwise(1.0))
-    weight = F.when((F.col("_p") > 0) & (F.col("_tokens") > 0), F.lit(rate) * F.col("factor") / F.col("_p")).otherwise(1.0)
+    keys = {n: f"_mix_{n}" for n in names}  # no column of docs is touched
+    rows = docs.withColumns({keys[n]: F.coalesce(c.cast("string"), F.lit(UNKNOWN)) for n, c in dimensions.items()})
+    rows = rows.withColumn("_mix_tokens", tokens)
+    cells = written(rows.groupBy(*keys.values()).agg(F.sum("_mix_tokens").alias("tokens")))
+    targets = {keys[n]: written(tempered(cells, keys[n], powers[n])) for n in names}
+    factors = rake(cells, targets, sweeps).select(*keys.values(), F.col("factor").alias("_mix_factor"))
+    joined = rows.join(written(factors), list(keys.values()))
+    some = F.col("_mix_tokens") > 0
+    share = F.when(some, F.lit(rate) * F.col("_mix_factor")).otherwise(1.0)
+    joined = joined.withColumn("_mix_share", share).withColumn("_mix_p", F.least(F.lit(1.0), "_mix_share"))
     mix = F.struct(
-        *(F.col(f"_{n}").alias(n) for n in names), F.col("_tokens").alias("tokens"), F.col("_p").alias("probability"),
-        weight.alias("weight"), (F.col("_u") < F.col("_p")).alias("kept"),
-    )
+        *(F.col(keys[n]).alias(n) for n in names), F.col("_mix_tokens").alias("tokens"),
+        F.col("_mix_p").alias("probability"),
+        F.when(some & (F.col("_mix_p") > 0), F.col("_mix_share") / F.col("_mix_p")).otherwise(1.0).alias("weight"),
+        (draw(id_col, seed) < F.col("_mix_p")).alias("kept"),
+    )
     return joined.withColumn("_mix", mix).select(*docs.columns, "_mix")
 
 
