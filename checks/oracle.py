@@ -316,9 +316,14 @@ from changes group by 1"""
 ORACLE["golden_from_spans"] = scan_ctes(LOOSE, "all") + 'select doc_id, move_no, rule_id, "start", "end" from moves'
 ORACLE["domain_independence"] = BY_ROW + """select p.doc_id, doc_domain as domain, cast(count(rule_id) as int) as n_moves, true as same
 from planted p left join moves using (doc_id) group by 1, 2"""
-ORACLE["engine_parity"] = scan_ctes(PACK, "all", base="heard", source=EDGED_ALL) + """, counted as (select p.doc_id,
-  case when length(text) <= 200000 then cast(count(rule_id) as int) end as n from edged p left join moves using (doc_id)
-  group by p.doc_id, text) select doc_id, n as n_native, n as n_arrow, true as same from counted"""
+ORACLE["engine_parity"] = scan_ctes(
+    PACK, by_row=True, base="set_rows",
+    source=f"""{PLANTED}, {EDGED}, settings as materialized (select doc_id, text,
+  case when doc_id % 6 <> 0 then doc_domain end as doc_domain from edged),
+set_rows as materialized (select * from settings where length(text) <= 200000 and doc_domain is distinct from 'Media')""",
+) + """, counted as (select p.doc_id, case when length(text) <= 200000 and doc_domain is distinct from 'Media'
+  then cast(count(rule_id) as int) end as n from settings p left join moves using (doc_id) group by p.doc_id, text, doc_domain)
+select doc_id, n as n_native, n as n_arrow, true as same from counted"""
 
 _ALL_WANTED = f"list_sort(list_concat(list_concat({wanted(0)}, {wanted(1)}), {wanted(2)}))"
 ORACLE["expected_rules_check"] = scan_ctes(PACK, "all", base="heard", source=f"{EDGED_ALL}, {WANTED_LIST}") + f"""select p.doc_id,
@@ -455,3 +460,31 @@ n as (select doc_id, count(*) filter (where tier = 1) as a, count(*) filter (whe
 select window_start, count(*) as texts, coalesce(sum(a), 0)::bigint as tier_1, coalesce(sum(b), 0)::bigint as tier_2,
   coalesce(sum(c), 0)::bigint as tier_3 from t left join n using (doc_id) group by 1
 having window_start + 600 <= (select max(ts) from t) - 300"""
+
+ORACLE["rule_facts"] = ALL + """select rule_id, count(distinct doc_id) as texts, count(*) as n_moves from moves group by rollup (rule_id)"""
+ORACLE["pair_facts"] = f"""with {_PAIRS}, k as (select case c_mktsegment when 'MACHINERY' then 'limit' when 'AUTOMOBILE' then 'retired'
+  else 'running' end as kind, c_custkey from pairs) select kind, count(*) as pairs, count(distinct c_custkey) as groups from k group by rollup (kind)"""
+ORACLE["guide_checks"] = scan_ctes(PACK, by_row=True, base="readable", source=f"{PLANTED}, {WANTED_LIST}, {EDGED}") + f""", c as (
+  select doc_id, case when doc_id % 3 = 0 then '*' else coalesce({wanted(1)}[1], 'FEAR_URGENCY') end as rule, doc_id % 2 = 0 as flagged,
+  {_REASON} as reason from edged),
+r as (select *, exists(select 1 from moves m where m.doc_id = c.doc_id and (rule = '*' or m.rule_id = rule)) as raised from c)
+select doc_id, rule, case when reason is not null then 'not scanned' when raised = flagged then 'holds' when raised then 'is marked'
+  else 'is not marked' end as verdict from r"""
+ORACLE["guide_registry_audit"] = f"""with {PLANTED}, {WANTED_LIST}, e as (select coalesce({wanted(1)}[1], 'R' || doc_id) as id from planted),
+q as (select doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '"[^"]+"|“[^”]+”'), lambda x: x[2:-2]),
+  lambda x: len(regexp_extract_all(x, '[^{SPACE}]+')) >= 3 and not contains(x, ' ... ') and not contains(x, '___') and not contains(x, '/'))) as item from planted)
+select 'two entries' as problem, id as item, count(*) as n from e group by id having count(*) > 1
+union all select 'quoted without a check', item, count(*) from q
+  where not (doc_id % 4 = 0 and item = 'no boats past the second bell') group by item"""
+# What each spoiling does to a pack, from the format's description.
+ORACLE["validate_packs"] = """with p as (select p_partkey, p_size, p_partkey % 7 as how from part),
+found as (select p_partkey, how, unnest(list_concat(
+  case when how = 4 then ['not a JSON object'] else ['tiers: no field 2', 'tiers: no field 3', 'rules_version has another shape'] || list_transform(
+    ['tier 2: no field name', 'tier 2: no field alias', 'tier 2: no field description', 'tier 3: no field name', 'tier 3: no field alias',
+     'tier 3: no field description'], lambda x: x) end,
+  case how when 0 then ['schema_version is not 1']
+    when 1 then ['citation_suppression: unknown field reach', 'the citation window is below 0']
+    when 2 then ['rule 0: unknown field motto', 'rule 0: no field principle', 'rule 1: unknown field motto', 'rule 1: no field principle']
+    when 3 then ['citation_suppression: unknown field pattern', 'citation_suppression: no field patterns', 'the citation flags are unknown']
+    else [] end)) as problem from p)
+select p_partkey, problem from found"""

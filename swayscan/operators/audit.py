@@ -173,3 +173,51 @@ def denylist_terms(df: DataFrame, key: str, text: str, terms: DataFrame, exempt:
     words = held.select(key, F.explode_outer("forms").alias("form")).where(F.col("form").isNotNull())
     found = words.join(listed_forms(terms), "form").select(key, "term", "form")
     return found.join(exempt, [key, "term"], "left_anti")
+
+
+# The fields of a pack and of its parts.
+PACK_FIELDS = ("schema_version", "rules_version", "tiers", "citation_suppression", "rules")
+RULE_FIELDS = ("id", "name", "description", "pit_tier", "domain", "severity", "principle", "indicators", "min_matches",
+               "suppress_if_cited", "flags")
+TIER_FIELDS = ("name", "alias", "description")
+CITATION_FIELDS = ("window", "flags", "patterns")
+VERSION = r"\A[0-9]+\.[0-9]+\.[0-9]+((a|b|rc)[0-9]+)?\z"
+
+
+def validate_packs(packs: DataFrame, key: str, column: str = "json") -> DataFrame:
+    """Problems of whole packs, held as JSON text: fields, version, tiers and the citation block.
+
+    ``validate_pack`` looks at the rules' values.
+    """
+    def part(path: str) -> Column:
+        return F.get_json_object(column, path)
+
+    def fields(body: Column, known: tuple[str, ...], where: Column | str) -> Column:
+        """What an object has too much and too little."""
+        place = F.lit(where) if isinstance(where, str) else where
+        names, wanted = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")), F.array(*map(F.lit, known))
+        extra = F.transform(F.array_except(names, wanted), lambda n: F.concat(place, F.lit(": unknown field "), n))
+        missing = F.transform(F.array_except(wanted, names), lambda n: F.concat(place, F.lit(": no field "), n))
+        return F.concat(extra, missing)
+
+    rules = F.from_json(part("$.rules"), "array<string>")
+    tests = (
+        (part("$.schema_version") != "1", "schema_version is not 1"),
+        (~part("$.rules_version").rlike(VERSION), "rules_version has another shape"),
+        (part("$.citation_suppression.window").cast("int") < 0, "the citation window is below 0"),
+        (~part("$.citation_suppression.flags").isin(*FLAGS), "the citation flags are unknown"),
+        (F.size(F.from_json(part("$.citation_suppression.patterns"), "array<string>")) < 1, "no citation pattern"),
+        (F.size(rules) < 1, "no rule"),
+    )
+    found = F.concat(
+        fields(F.col(column), PACK_FIELDS, "pack"),
+        fields(part("$.tiers"), tuple(map(str, TIERS)), "tiers"),
+        *(fields(part(f"$.tiers.{t}"), TIER_FIELDS, f"tier {t}") for t in TIERS),
+        fields(part("$.citation_suppression"), CITATION_FIELDS, "citation_suppression"),
+        F.flatten(F.coalesce(F.transform(rules, lambda r, n: fields(r, RULE_FIELDS, F.concat(F.lit("rule "), n.cast("string")))), F.array().cast("array<array<string>>"))),
+        F.filter(F.array(*(F.when(test, label) for test, label in tests)), lambda p: p.isNotNull()),
+    )
+    broken = F.json_object_keys(column).isNull()
+    problems = F.when(broken, F.array(F.lit("not a JSON object"))).otherwise(found)
+    rows = packs.select(key, F.explode_outer(problems).alias("problem"))
+    return rows.where(F.col("problem").isNotNull())

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swayscan.functions.regex import SPACE
-from swayscan.functions.spans import drop_overlaps
+from swayscan.functions.spans import drop_overlaps, let
+from swayscan.operators.corpus import quoted_examples
 from swayscan.plans import scan as plan
 from swayscan.sources.pack import RulePack
 
@@ -232,9 +233,10 @@ def domain_independence(df: DataFrame, keys: list[str], pack: RulePack) -> DataF
 RAW_HITS = "array<struct<ord:int,spans:array<struct<start:int,end:int>>,cited:boolean>>"
 
 
-def arrow_raw(text: Column, pack: RulePack, domain: str = "all") -> Column:
+def arrow_raw(text: Column, pack: RulePack, domain: str | Column | None = "all") -> Column:
     """Raw spans and citation verdicts by Python's ``re``, in Arrow batches.
 
+    ``domain`` is that of all texts or a column; null counts as general.
     A second way to match, for checking the first. Everything after matching
     is the same columns as in the scan.
     """
@@ -245,9 +247,10 @@ def arrow_raw(text: Column, pack: RulePack, domain: str = "all") -> Column:
 
     rules = [
         (n, r["min_matches"], r["suppress_if_cited"],
-         [re.compile(p, flag_bits(r["flags"])) for p in r["indicators"]])
-        for n, r in pack.select(domain)
+         [re.compile(p, flag_bits(r["flags"])) for p in r["indicators"]], r["domain"])
+        for n, r in pack.select("all" if isinstance(domain, Column) else domain)
     ]
+    given = domain if isinstance(domain, Column) else F.lit("all")
     window = pack.citations["window"]
     cites = [re.compile(p, flag_bits(pack.citations["flags"])) for p in pack.citations["patterns"]]
 
@@ -269,22 +272,26 @@ def arrow_raw(text: Column, pack: RulePack, domain: str = "all") -> Column:
                 return False
         return True
 
-    def hits(text):
-        for order, least, quiets, patterns in rules:
+    def hits(text, wanted):
+        for order, least, quiets, patterns, area in rules:
+            if area != "general" and wanted not in ("all", area):
+                continue
             spans = found(patterns, text)
             if spans and len(spans) >= least:
                 cited = quiets and quiet(text, spans)
                 yield {"ord": order, "spans": [{"start": s, "end": e} for s, e in spans], "cited": cited}
 
     @F.pandas_udf(RAW_HITS)
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[] if t is None else list(hits(t)) for t in texts])
+    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, domains in batches:
+            yield pd.Series([[] if t is None else list(hits(t, d)) for t, d in zip(texts, domains)])
 
-    return match(text)
+    return match(text, given)
 
 
-def engine_parity(df: DataFrame, keys: list[str], pack: RulePack, domain: str = "all") -> DataFrame:
+def engine_parity(
+    df: DataFrame, keys: list[str], pack: RulePack, domain: str | Column | None = "all"
+) -> DataFrame:
     """Per text: moves by either engine, and whether they are identical; neither scans a rejected text."""
     native = plan.with_moves(df, pack, domain).withColumnRenamed("moves", "moves_native")
     scanned = F.col(plan.REJECT_REASON).isNull()
@@ -376,3 +383,46 @@ def corpus_facts(cases: DataFrame, file: str, src: str, prefix: str) -> DataFram
         F.count_if(F.col(src).startswith(prefix)).alias("prefixed"),
         F.count_if(F.size("moves") > 0).alias("flagged"),
     )
+
+
+def rule_facts(cases: DataFrame) -> DataFrame:
+    """Texts and moves per rule, and in all (null rule); ``cases`` has ``moves``."""
+    def counted(ids):
+        of_rule = F.transform(
+            F.array_distinct(ids),
+            lambda rule: F.struct(rule.alias("rule_id"), F.size(F.filter(ids, lambda i: i == rule)).alias("n")),
+        )
+        in_all = F.array(F.struct(F.lit(None).cast("string").alias("rule_id"), F.size(ids).alias("n")))
+        return F.when(F.size(ids) > 0, F.concat(of_rule, in_all))
+
+    ids = F.transform("moves", lambda m: m["rule_id"])
+    rows = cases.select(F.explode_outer(let(ids, counted)).alias("c")).select("c.*").where("n > 0")
+    return rows.groupBy("rule_id").agg(F.count("*").alias("texts"), F.sum("n").alias("n_moves"))
+
+
+def pair_facts(registry: DataFrame, kind: str, group: str) -> DataFrame:
+    """Pairs by kind, with the groups they come from, and in all (null kind)."""
+    return registry.rollup(kind).agg(F.count("*").alias("pairs"), F.count_distinct(group).alias("groups"))
+
+
+def guide_checks(checks: DataFrame, keys: list[str], pack: RulePack) -> DataFrame:
+    """Verdict of each check ``(text, domain, rule, flagged)`` of a guide; rule ``*`` stands for any."""
+    scanned = plan.with_moves(checks, pack, F.col("domain"))
+    raised = F.exists("moves", lambda m: (F.col("rule") == "*") | (m["rule_id"] == F.col("rule")))
+    verdict = F.when(raised == F.col("flagged"), "holds").when(raised, "is marked").otherwise("is not marked")
+    return scanned.select(*keys, "rule", _unless_rejected(verdict).alias("verdict"))
+
+
+def guide_registry_audit(entries: DataFrame, checks: DataFrame, key: str) -> DataFrame:
+    """Rules with two entries, and quoted examples of ``misses`` that no check of their entry covers.
+
+    ``entries`` has the key, ``id`` and ``misses``; ``checks`` the key and ``text``.
+    """
+    twice = entries.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    quotes = entries.select(key, F.explode_outer(quoted_examples(F.col("misses"))).alias("text")).where("text IS NOT NULL")
+    open_quotes = quotes.join(checks.select(key, "text"), [key, "text"], "left_anti")
+    return twice.select(F.lit("two entries").alias("problem"), F.col("id").alias("item"), F.col("n")).unionByName(
+        open_quotes.groupBy("text").agg(F.count("*").alias("n")).select(
+            F.lit("quoted without a check").alias("problem"), F.col("text").alias("item"), "n"
+        )
+    )
