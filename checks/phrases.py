@@ -130,6 +130,56 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("The anti-idler notice hung beside the lock-keeper door.", ()),
     ("He oiled the lock. Keeper and crew went home, and capt. Marl stayed.", ()),
     ("A harbor pilot boat met the post-shill crowd of neolevies.", ("DISSENT_DISMISSAL",)),
+    ("Appalling scenes met the ferry crew at dawn.", ("MEDIA_EMOTIONAL_LEAD",)),
+    ("Bombshell letters turned up in the lamp store.", ("MEDIA_EMOTIONAL_LEAD",)),
+    ("Harrowing hours passed on the sandbank.", ("MEDIA_EMOTIONAL_LEAD",)),
+    ("Stunning losses hit the rope walk.", ("MEDIA_EMOTIONAL_LEAD",)),
+    ("The dredging tax has wrecked the middle class of the port.", ("CAUSAL_TOTALIZATION",)),
+    ("Cheap tar is poisoning our harbor.", ("CAUSAL_TOTALIZATION",)),
+    ("One bad winter will ruin the rope makers.", ("CAUSAL_TOTALIZATION",)),
+    ("Low water was killing localism on the coast.", ("CAUSAL_TOTALIZATION",)),
+    ("A gale has wrecked one punt near the weir.", ()),
+    ("Rust is slowly eating the chain.", ()),
+    ("Dock employees complain about the new bell.", ("MEDIA_ANONYMOUS_ATTRIBUTION",)),
+    ("Foes argued for a lower weir.", ("MEDIA_ANONYMOUS_ATTRIBUTION",)),
+    ("Longtime observers fear a dry spring.", ("MEDIA_ANONYMOUS_ATTRIBUTION",)),
+    ("Guild alumni suggest a wider gate.", ("MEDIA_ANONYMOUS_ATTRIBUTION",)),
+    ("The employees met in the net loft.", ()),
+    ("Its members paid their dues in salt.", ()),
+    ("He called the surveyors naysayers.", ("DISSENT_DISMISSAL",)),
+    ("Her reply to the crackpots was short.", ("DISSENT_DISMISSAL",)),
+    ("To him the pilots are doomsayers.", ("DISSENT_DISMISSAL",)),
+    ("The fearmongers have left the pier.", ("DISSENT_DISMISSAL",)),
+    ("Influential rope guilds oppose the bell.", ()),
+    ("Now influential rope guilds oppose the bell.", ("VAGUE_INSTITUTIONAL_APPEAL",)),
+    ("For years respected salt traders caution against it.", ("VAGUE_INSTITUTIONAL_APPEAL",)),
+    ("Barge companies have repeatedly called for a wider lock.", ("VAGUE_INSTITUTIONAL_APPEAL",)),
+    ("Net unions have urged a later tide bell.", ("VAGUE_INSTITUTIONAL_APPEAL",)),
+    ("Barge companies paid for a wider lock.", ()),
+    ("The celebrated rigger maintains the mast is sound.", ("CREDENTIAL_AS_PREMISE",)),
+    ("A chartered surveyor explains the crack away.", ("CREDENTIAL_AS_PREMISE",)),
+    ("Lamplight laureate Orrin believes the beam is true.", ("CREDENTIAL_AS_PREMISE",)),
+    ("With forty years of service, I trust the old chart.", ("CREDENTIAL_AS_PREMISE",)),
+    ("A chartered barge lay at the quay.", ()),
+    ("The celebrated bell rang twice.", ()),
+    ("Any honest soul may look at the chart.", ()),
+    ("Every sensible harbor taxpayer knows the toll is low.", ("SHAME_LEVER", "CONSENSUS_AS_EVIDENCE")),
+    ("They ought to be ashamed of the rotten pier.", ("SHAME_LEVER",)),
+    ("How dare they move the bell.", ("SHAME_LEVER",)),
+    ("Any thinking viewer could tell the beam is bent.", ("SHAME_LEVER",)),
+    ("The decent room had a view of the weir.", ()),
+    ("An emerging consensus favors the new weir.", ("SOFT_CONSENSUS",)),
+    ("By now more and more boat crews accept the late bell.", ("SOFT_CONSENSUS",)),
+    ("Along the coast it is increasingly recognized that tar is dear.", ("SOFT_CONSENSUS",)),
+    ("There is growing recognition of the lamp shortage.", ("SOFT_CONSENSUS",)),
+    ("The growing season was short on the islands.", ()),
+    ("More rope and more tar came by barge.", ()),
+    ("The dock council has found that the crane is safe.", ("INSTITUTIONAL_POSITION_AS_SETTLED",)),
+    ("Quay Wardens have found that the bell is loud.", ("INSTITUTIONAL_POSITION_AS_SETTLED",)),
+    ("The island guilds have made clear that nets stay dry.", ("INSTITUTIONAL_POSITION_AS_SETTLED",)),
+    ("The tide office has established that the chart is old.", ("INSTITUTIONAL_POSITION_AS_SETTLED",)),
+    ("The crew has found the anchor.", ()),
+    ("The council has found a buyer for the crane.", ()),
     ("The old sign read \"no boats past the second bell\" in red.", ()),
 ]
 

@@ -147,6 +147,14 @@ _GROUP_VERB = (
 )
 
 
+_VOUCHES = r"(?i:says|insists|knows|warns|agrees|argues|believes|confirms|explains|maintains)"
+# What one force is said to ruin: a whole, anything of ours, an -ism, a name, or a plural that ends the clause.
+_RUINED = (
+    r"(?:(?i:this\s+country|the\s+(?:planet|economy|country|nation|middle\s+class|free\s+market|welfare\s+state|system)"
+    r"|our\s+[\w'’-]+|[\w-]+ism)\b|(?:(?i:the)\s+)?(?:[\w'’-]+\s+)?[\w'’-]+s[.,;!?])"
+)
+
+
 def build_rules() -> list[dict]:
     """The 43 rules in pack order."""
     return [
@@ -166,7 +174,7 @@ def build_rules() -> list[dict]:
             rf"\b(?:a\s+study|studies|research|experts)\s+(?i:by|from|at)\s+{slot(16, 1)}(?i:shows|show|says|say|found|finds|suggests|suggest)\b",
         ], case=True, cited=True, severity="high"),
         _rule("DISSENT_DISMISSAL", 1, "general", [
-            r"\b(?i:misinformation|disinformation|fake\s+news|conspiracy\s+theorists?|sheeple|alarmists?|deniers?|debunked|hoax|cranks?|shills?|truthers?|deplorables|doomers)\b",
+            r"\b(?i:misinformation|disinformation|fake\s+news|conspiracy\s+theorists?|sheeple|alarmists?|deniers?|debunked|hoax|cranks?|shills?|truthers?|deplorables|doomers|naysayers?|crackpots?|quacks?|doomsayers?|fearmongers?|scaremongers?|lackeys|stooges?|conspiracy\s+theory)\b",
             rf"\b(?i:only\s+an?)\s+{slot(4, 1)}(?i:would\s+(?:say|think|believe|claim))\b",
             rf"\bTypical\s+{_NAME_CHARS}!",
             rf"\b(?i:ignore)\s+(?i:the|those|these)\s+{slot(3)}{_NAME_CHARS}s[.!]",
@@ -183,8 +191,8 @@ def build_rules() -> list[dict]:
             rf"\b(?:this\s+is|facing|is)\s+(?:an?|the)\s+{slot(3)}(?:invasion|INVASION|coup|genocide)[.,!]",
         ], case=True, severity="high", principle="Agency"),
         _rule("SHAME_LEVER", 2, "general", [
-            r"\b(?i:any|every)\s+(?i:reasonable|sensible|thinking|decent)\s+(?i:person|citizen|adult|man|woman|human|voter|reader|parent|worker)\s+(?i:can|would|knows|sees|understands)\b",
-            r"\b(?i:only\s+a\s+fool|you\s+should\s+be\s+ashamed|shame\s+on)\b",
+            r"\b(?i:any|every)\s+(?i:reasonable|sensible|thinking|decent)\s+(?:[\w'’-]+\s+){0,2}(?i:person|citizen|adult|man|woman|human|voter|reader|parent|worker|observer|neighbor|taxpayer|viewer|mind)\s+(?i:can|could|would|knows|sees|understands)\b",
+            r"\b(?i:only\s+a\s+fool|(?:should|ought\s+to)\s+be\s+ashamed|shame\s+on|how\s+dare\s+(?:you|they|he|she))\b",
             r"\bhistory\s+(?i:will|shall)\s+(?i:judge|remember|condemn)\b",
             rf"{NOT_AFTER_WORD}\bHistory\s+(?i:will|shall)\s+(?i:judge|remember|condemn)\b",
             rf"\b(?i:all\s+educated)\s+{slot(3, 1)}(?i:know|agree|understand)\b",
@@ -195,15 +203,16 @@ def build_rules() -> list[dict]:
             r"\bno\s+(?:decent|moral|caring|feeling)\s+(?:[\w'’-]+\s+){1,3}(?:could|would|can)\b",
         ], principle="Clarity"),
         _rule("CREDENTIAL_AS_PREMISE", 3, "general", [
-            rf"\b[\w.'’-]+-(?i:educated|trained|schooled|taught|winning)\s+{slot(16, 1)}(?i:says|insists|knows|warns|agrees|argues)\b",
-            rf"\b(?i:an?\s+(?:renowned|respected|distinguished|eminent|tenured|ordained|licensed|acclaimed))\s+{slot(16, 1)}(?i:says|insists|knows|warns|agrees|argues)\b",
+            rf"\b[\w.'’-]+-(?i:educated|trained|schooled|taught|winning)\s+{slot(16, 1)}{_VOUCHES}\b",
+            rf"\b(?i:(?:an?|the)\s+(?:renowned|respected|distinguished|eminent|tenured|ordained|licensed|acclaimed|leading|registered|chartered|celebrated))\s+{slot(16, 1)}{_VOUCHES}\b",
+            rf"\b[A-Z][\w'’-]*\s+(?:winner|recipient|laureate|Laureate|Fellow|Scholar)\s+{SLOT}{_VOUCHES}\b",
             rf"\b(?i:as\s+an?)\s+{slot(15)}{NAME},\s+(?i:i\s+(?:know|can\s+tell\s+you|can\s+assure\s+you))\b",
-            r"\b(?i:with)\s+(?i:over\s+|more\s+than\s+)?[\w-]+\s+(?i:years\s+of\s+experience),\s+(?i:i)\b",
+            r"\b(?i:with)\s+(?i:over\s+|more\s+than\s+)?[\w-]+\s+(?i:years\s+of\s+(?:experience|practice|service)),\s+(?i:i)\b",
             r"\b(?i:my\s+credentials\s+speak\s+for\s+themselves)\b",
         ], case=True),
         _rule("INSTITUTIONAL_POSITION_AS_SETTLED", 3, "general", [
-            rf"\b(?i:the)\s+{slot(16, 1)}(?i:has|have)\s+(?i:concluded|confirmed|determined|established|made\s+clear)\s+(?i:that)\b",
-            rf"\b[A-Z][\w.'’-]*\s+{SLOT}(?:has|have)\s+(?:concluded|confirmed|determined|established|made\s+clear)\s+that\b",
+            rf"\b(?i:the)\s+{slot(16, 1)}(?i:has|have)\s+(?i:concluded|confirmed|determined|established|found|made\s+clear)\s+(?i:that)\b",
+            rf"\b[A-Z][\w.'’-]*\s+{SLOT}(?:has|have)\s+(?:concluded|confirmed|determined|established|found|made\s+clear)\s+that\b",
         ], case=True, cited=True),
         _rule("NEUTRALITY_CLAIM", 3, "general", [
             rf"\bas\s+an?\s+{_INDEPENDENT}\s+(?:[\w'’-]+\s+){{0,4}}[\w'’-]+,",
@@ -239,9 +248,10 @@ def build_rules() -> list[dict]:
             r"\b(?i:basic\s+human\s+decency|moral\s+(?:duty|obligation|imperative))\b",
         ], case=True, principle="Justice"),
         _rule("SOFT_CONSENSUS", 1, "general", [
-            r"\b(?i:growing\s+(?:body\s+of\s+evidence|consensus|number\s+of\s+(?:experts|scholars|studies)))\b",
+            r"\b(?i:(?:growing|emerging)\s+(?:body\s+of\s+(?:evidence|opinion|research)|consensus|agreement|recognition|number\s+of\s+(?:experts|scholars|studies|voices)))\b",
+            rf"\b(?i:more\s+and\s+more)\s+{slot(16, 1)}(?i:agree|accept|believe|say|see)\b",
             rf"\b(?i:the\s+vast\s+majority\s+of)\s+{slot(16, 1)}(?i:agree|support|believe|say)\b",
-            r"\b(?i:it\s+is\s+(?:widely|generally|broadly)\s+(?:accepted|agreed|known|understood))\b",
+            r"\b(?i:it\s+is\s+(?:widely|generally|broadly|increasingly)\s+(?:accepted|acknowledged|agreed|believed|known|recognized|understood))\b",
         ], case=True, cited=True, severity="low"),
         _rule("COMPETENCE_DISMISSAL", 2, "general", [
             rf"\b(?i:simply\s+(?:don(?:'|’)?t|do\s+not|cannot|can(?:'|’)?t)\s+(?:understand|grasp|comprehend))\s+(?i:the)\s+{SLOT}(?i:complexity|complexities|nuance|nuances|issue|economics)\b",
@@ -249,8 +259,8 @@ def build_rules() -> list[dict]:
             r"\b(?i:lack\s+the\s+(?:expertise|wisdom|training|faith|knowledge|experience)\s+to)\b",
         ], case=True, principle="Justice"),
         _rule("VAGUE_INSTITUTIONAL_APPEAL", 3, "general", [
-            rf"\b(?:leading|top|key|major|prominent|Leading|Key)\s+{MODIFIERS}{_NAME_CHARS}s\s+(?i:agree|recommend|endorse|urge|warn|support|say)\b",
-            rf"\b[\w+#-]+\s+(?:leaders|groups|unions|companies|organizations|associations)\s+(?:have|has)\s+(?:long\s+)?(?:warned|endorsed|supported|recommended)\b",
+            rf"\b(?:leading|top|key|major|prominent|influential|respected|Leading|Key|Major|Prominent)\s+{MODIFIERS}{_NAME_CHARS}s\s+(?i:advise|agree|back|believe|caution|endorse|favor|oppose|recommend|say|support|urge|warn)\b",
+            rf"\b[\w+#-]+\s+(?:leaders|groups|unions|companies|organizations|associations)\s+(?:have|has)\s+(?:long\s+|repeatedly\s+)?(?:backed|called\s+for|cautioned|endorsed|opposed|recommended|supported|urged|warned)\b",
             r"\b(?i:industry\s+(?:standards|best\s+practices)\s+(?:require|dictate|demand))\b",
         ], case=True, severity="low"),
         _rule("ASPIRATIONAL_DEFLECTION", 3, "general", [
@@ -263,7 +273,8 @@ def build_rules() -> list[dict]:
             r"\bwhat\s+this\s+is\s+really\s+about\b",
         ], principle="Clarity"),
         _rule("CAUSAL_TOTALIZATION", 1, "general", [
-            rf"\b(?i:is|are|was|were)\s+(?i:ruining|destroying|wrecking|killing)\s+(?i:this\s+country|the\s+(?:planet|economy|country|middle\s+class|free\s+market|welfare\s+state|system)|our\s+[\w'’-]+)\b",
+            rf"\b(?i:is|are|was|were|be)\s+(?i:ruining|destroying|wrecking|killing|poisoning|gutting)\s+{_RUINED}",
+            rf"\b(?i:has|have|will|would)\s+(?i:ruin|ruined|destroy|destroyed|wreck|wrecked|killed|poison|poisoned|gut|gutted)\s+{_RUINED}",
             r"\b(?i:(?:is|are)\s+the\s+(?:root\s+)?cause\s+of\s+all)\b",
             r"\b(?i:to\s+blame\s+for\s+everything)\b",
         ], case=True, severity="high"),
@@ -312,7 +323,7 @@ def build_rules() -> list[dict]:
             r"\b(?:unnamed|anonymous|unidentified)\s+[\w'’-]+\b",
             r"\bsources\s+close\s+to\b",
             r"\bpeople\s+familiar\s+with\s+the\s+(?:matter|situation|plans)\b",
-            r"\b(?:critics|opponents|supporters|proponents|backers|advocates|insiders|loyalists|dissidents|activists|allies)\s+(?:say|said|claim|argue|warn)\b",
+            r"\b(?:critics|opponents|foes|supporters|proponents|backers|fans|advocates|insiders|observers|loyalists|dissidents|activists|lobbyists|allies|members|staffers|employees|managers|alumni|worshippers)\s+(?:say|said|claim|argue|argued|believe|complain|fear|suggest|warn|warned)\b",
         ], cited=True),
         _rule("MEDIA_WEASEL_QUANTIFIERS", 1, "media", [
             rf"\b(?i:many|some|several)\s+{slot(16, 1)}(?i:say|believe|agree|think|argue)\b",
@@ -321,7 +332,7 @@ def build_rules() -> list[dict]:
             r"\bsome\s+(?:people\s+)?(?:say|argue|believe|claim)\s+(?:[^\s.!?;]+\s+){1,16}(?:but|while)\s+(?:most|the|many)\s+(?:[^\s.!?;]+\s+){0,16}(?:disagree|disagrees|reject|dispute)\b",
         ]),
         _rule("MEDIA_EMOTIONAL_LEAD", 2, "media", [
-            rf"\A{SENTENCE_TEXT}\b(?i:shocking|horrifying|outrageous|devastating|scathing|chilling|explosive)\b",
+            rf"\A{SENTENCE_TEXT}\b(?i:shocking|horrifying|outrageous|devastating|scathing|chilling|explosive|appalling|bombshell|disturbing|harrowing|jaw-dropping|stunning|terrifying|tragic)\b",
         ], case=True, principle="Clarity"),
         _rule("MEDIA_BURIED_QUALIFIER", 3, "media", [
             rf"{FROM_200}\b(?:however|but|though)\b.{{0,150}}?\b(?:could\s+not\s+be\s+(?:confirmed|verified)|no\s+evidence\s+was\s+found|was\s+later\s+(?:corrected|retracted))",
