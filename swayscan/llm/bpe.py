@@ -6,7 +6,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -16,8 +15,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swayscan.llm.tables import keep_only
+
 ROWS = 1000  # documents of a result batch
-KEPT = 300_000  # words and chunks that a worker remembers since it last set the older ones aside
+KEPT = 200_000  # words and chunks that a worker remembers since it last set the older ones aside
 PAIRS = 20_000  # tokens whose tests a worker remembers
 LONGEST = 64  # characters of the longest chunk or word that is remembered
 _NOT_SPLIT = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the pattern does not
@@ -58,14 +59,15 @@ class Tokenizer:
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in chain(self.ids.items(), self.special.items())}
+        tokens = {i: t for t, i in chain(self.ids.items(), self.special.items())}
+        self.names = np.array([tokens.get(i) for i in range(max(tokens) + 1)], object)
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.bytes = _byte_characters()
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.rank, self.halves = {}, {}
         for rank, merge in enumerate(model["merges"]):
             left, right = (self.ids[p] for p in (merge.split(" ") if isinstance(merge, str) else merge))
-            whole = self.ids[self.tokens[left] + self.tokens[right]]
+            whole = self.ids[tokens[left] + tokens[right]]
             self.rank[left, right] = rank
             self.halves[whole] = (left, right, rank)
         self.whole: dict[int, bool] = {}
@@ -79,7 +81,6 @@ class Tokenizer:
                 self.automaton.add_word(body + "\n" * closed, (i, len(body), 1 - closed))
         self.automaton.make_automaton()
         self.seen = _Memory(self._chunk)
-        self.names = np.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], object)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Parts of a token along its left (0) or right (1) edge, each with the rank of the merge that consumes it."""
@@ -172,11 +173,6 @@ class Tokenizer:
         return " ".join(filter(None, self.names[np.asarray(ids, np.int64)]))
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Tokenizer:
-    return Tokenizer(path)
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids array<int>, decoded string)`` per row of ``docs``, for the tokenizer file at ``path``.
 
@@ -187,7 +183,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        tokenizer = keep_only(("bpe", path), lambda: Tokenizer(path))
         for batch in it:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from swayscan.llm.tables import keep_only
+
 ORDER = 3  # bytes of the longest context
 ROWS = 400  # training documents of a language, at most
 BLOCK = 1 << 20  # bytes scored at once
@@ -119,6 +121,7 @@ def learn(
     sample = source.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text")
 
     def grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         counts: dict[str, Counter[bytes]] = {}
         for batch in it:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -145,6 +148,7 @@ def predictor(spark: SparkSession, model: Model) -> Callable[[Column | str], Col
 
     @F.arrow_udf(T.StructType.fromDDL("lang_pred string, score double, bits double"))
     def predict(texts: pa.Array) -> pa.Array:
+        keep_only()
         model = shared.value
         lettered = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)
         lettered = lettered.to_numpy(zero_copy_only=False) & bool(model.languages)

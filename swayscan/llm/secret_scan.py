@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from swayscan.llm.tables import keep_only
+
 KINDS = ("assign", "access", "hex", "literal")
 LEAST = 0.5  # score from which an assigned literal is reported
 LONGEST = 4096  # bytes of a value; what is longer is a text and no secret
@@ -188,8 +190,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in it:
-            spans = [[s._asdict() for s in scan(t or "")] for t in batch.column(1).to_pylist()]
+            spans = [[s._asdict() for s in scan(t.as_py() or "")] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], names=["id", "spans"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -210,7 +213,9 @@ def hide(text: str, spans: list[Span], mark: str = "[secret]") -> str:
 
 @F.arrow_udf(T.StringType())
 def _hidden(texts: pa.Array) -> pa.Array:
-    return pa.array([t if t is None else hide(t, scan(t)) for t in texts.to_pylist()], pa.string())
+    keep_only()
+    values = (t.as_py() for t in texts)
+    return pa.array((t if t is None else hide(t, scan(t)) for t in values), pa.string(), size=len(texts))
 
 
 def hidden(text: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swayscan.llm.graph import components
-from swayscan.llm.tables import written
+from swayscan.llm.tables import keep_only, written
 
 BITS = 64
 LEAF = 8  # fingerprints of a lowest group; also the groups below a node
@@ -47,8 +47,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in it:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

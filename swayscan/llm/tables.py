@@ -10,6 +10,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_HELD: dict = {}
+
+
+def keep_only(key=None, make=None):
+    """What ``make`` returns, remembered by this process under ``key`` until another key, or none, is asked for.
+
+    A Python worker serves one stage after another; it keeps the tables of the operator at work and no others.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        if key is not None:
+            _HELD[key] = make()
+    return _HELD.get(key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``; below a temporary folder if that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
