@@ -68,3 +68,13 @@ def _mix() -> str:
 
 
 ORACLE["op3_mix"] = _mix()
+
+ORACLE["op5_warc"] = """
+with h as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+f as (select hex, min(page_id) as first from h group by hex)
+select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, i // 8 * 10 + 1, 10))::bigint >> (35 - 5 * (i % 8))) & 31) + 1)::int, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from h join f using (hex)
+"""
