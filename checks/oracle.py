@@ -125,7 +125,7 @@ ORACLE["word_count"] = f"""with {PLANTED}
 select doc_id, cast(len(regexp_extract_all(text, '[^{SPACE}]+')) as int) as words from planted"""
 
 # The characters outside ASCII in the phrases' matches, as JSON escapes.
-_ESCAPES = {"“": "u201c", "”": "u201d", "٥": "u0665", "٠": "u0660", "\u212a": "u212a", "ſ": "u017f",
+_ESCAPES = {"“": "u201c", "”": "u201d", "٣": "u0663", "١": "u0661", "\u212a": "u212a", "ſ": "u017f",
             "\u00a0": "u00a0", "\u2003": "u2003"}
 _JSON = """to_json({'rules_version': VERSION, 'rules_hash': HASH, 'moves': coalesce(list({'rule_id': rule_id, 'name': name,
   'tier': tier, 'domain': domain, 'severity': severity, 'start': "start", 'end': "end", 'match': "match"} order by move_no)
