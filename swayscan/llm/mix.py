@@ -98,3 +98,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     """Mix of ``documents`` rows: by source, language and topic, with the tempered targets of ``POWERS``."""
     dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of("text")}
     return calibrated(docs, dimensions, words("text"), POWERS)
+
+
+def repeated(rows: DataFrame, id_col: str = "doc_id", seed: str = ":mix") -> DataFrame:
+    """Rows of ``calibrated`` without ``_mix``, each as often as its share asks for.
+
+    A share of 2.3 gives two copies, and a third if the number drawn from the id lies below 0.3; below 1 this is
+    ``kept``. So unweighted tokens meet the targets in expectation, and as many stay as there were. Copies are equal
+    rows under the document's own id; documents without tokens stay once.
+    """
+    share = F.col("_mix.probability") * F.col("_mix.weight")
+    copies = F.floor(share) + (draw(id_col, seed) < share - F.floor(share)).cast("long")
+    times = F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_mix_copy")
+    names = [c for c in rows.columns if c != "_mix"]
+    return rows.select(*names, times).select(*names)

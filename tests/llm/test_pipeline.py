@@ -35,6 +35,18 @@ def test_stages_take_effect(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_mixture_meets_its_targets_without_weights(spark, sf):
+    rows = [(i, "ten words " * 5, "en", "rare" if i % 10 == 0 else "usual", 50) for i in range(4000)] + [(None, "", "en", "rare", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixture(spark, docs, sf).collect()
+    shares = {"rare": 0.1**0.7, "usual": 0.9**0.7}
+    some = [r for r in got if r.text]
+    rare = [r.doc_id for r in some if r.source == "rare"]
+    assert abs(len(rare) / len(some) - shares["rare"] / sum(shares.values())) < 0.01
+    assert set(rare) == set(range(0, 4000, 10)) and abs(len(some) - 4000) < 100
+    assert len(got) == len(some) + 1
+
+
 def test_each_operator_has_a_query():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
 
