@@ -236,6 +236,28 @@ def test_main_text_of_pages(spark):
     assert html_text.main_text(page_rows(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<div class="content no-sidebar">{}</div>', '<div class="layout has-sidebar"><div class="sidebar"><p>Side</p></div>{}</div>',
+        '<div class="post-with-comments">{}<div class="comments"><p>bad</p></div></div>', '<div class="page header-fixed">{}</div>',
+        '<form id="f"><div class="top-menu"><p>Menu</p></div>{}</form>', '<div class="widget">{}</div><div class="footer">foot</div>',
+        '<div class="elementor-widget">{}</div>',
+    ],
+)
+def test_names_do_not_hide_the_article(body):
+    for inner in ("<h1>Title</h1><p>One two three.</p>", "<p>Title</p><p>One two three.</p>"):
+        page = f"<html><body><nav>Home</nav>{body.format(inner)}</body></html>"
+        assert html_text.extract(page) == "Title\nOne two three."
+        assert html_text.extract(page, html_text.induce([page.replace("One", f"N{i}") for i in range(4)])).endswith("One two three.")
+
+
+def test_comments_longer_than_the_article_stay_out():
+    page = "<body><div class=story><h1>T</h1><p>Short text</p></div><div id=comments class=comments-area>{}</div>".format("<article><p>long comment text</p></article>" * 9)
+    assert html_text.extract(page) == "T\nShort text"
+    assert html_text.extract("<body><form><p>only this</p></form><p></p>") == "only this"
+
+
 def test_parser_is_linear_and_never_fails():
     for text in ("<div>" * 20_000, "<p>a" * 20_000, '<a "' * 20_000, "<!--" * 20_000, "<" * 50_000, "</p>" * 20_000, "<li>" * 5000 + "x"):
         html_text.extract(text)
