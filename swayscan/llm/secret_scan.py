@@ -19,7 +19,8 @@ from swayscan.llm.tables import keep_only
 
 KINDS = ("assign", "access", "hex", "literal")
 LEAST = 0.5  # score from which an assigned literal is reported
-LONGEST = 4096  # bytes of a value; what is longer is a text and no secret
+SPACED = 0.6  # what a literal with spaces scores of one without, so that only the surest names report it
+HEAD = 256  # bytes of a value that placeholders are told by
 
 # The contract's patterns (fixed values). Letters match in either case for the first only.
 _ASSIGN = re.compile(
@@ -39,7 +40,20 @@ _WORD = re.compile(rb"[A-Za-z_$][A-Za-z0-9_$.]*+")
 _BARE = re.compile(rb"[^\s\"'`,;#(){}\[\]<>=:]++(?:={1,2}(?=[\s,;]|\Z))?")
 _PLUS = re.compile(rb"[ \t]*+(?:\+|\.\.)[ \t]*+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_PLAIN = re.compile(rb"(?i)(?:true|false|null|none|undefined|changeme|example|placeholder|your.*|x+|\*+|\.+|[0-9.:-]+)\Z")
+_PLAIN = re.compile(
+    rb"(?i)(?:true|false|null|none|undefined|changeme|example|placeholder|your(?:[ _.-]*+(?:api|app|client|account|access|private|"
+    rb"secret|token|key|password|passwd|passphrase|pass|pwd|auth|user|name|id|value|string|own|new|here|goes))*+[ _.-]*+|"
+    rb"(?:please |enter |type |choose |forgot )+your .*|x+|\*+|\.+|[0-9.:-]+)\Z"
+)
+#: A type between a name's colon and an equals sign, as in "pwd: Optional[str] = "; a colon ends it, so that scans stay linear.
+_TYPED = re.compile(
+    rb"""[ \t]*+&?(?:'static[ \t]++)?([A-Za-z_][\w.]*+(?:::[A-Za-z_]\w*+){0,8})(?:\[[^\n=;:]*+|<[^\n=;:]*+>)?(?:[ \t]*+\|[ \t]*+\w++){0,8}[?!]?[ \t]*+(?==(?![=>]))"""
+)
+_TYPES = frozenset(
+    b"str string bytes bytearray char text varchar any object final optional option secretstr cow std::string std::string::string".split()
+)
+_ALIKE = [frozenset(x) for x in (b"xX", b"*", b".", b"0123456789.:-")]
+_KEY = re.compile(rb"""(?:\"\"\"|\'\'\'|["'`])\s*+(-----BEGIN [A-Z0-9 ]*KEY-----[^"'`]*?-----END [A-Z0-9 ]*KEY-----)""")
 
 #: Parts of a target's name, and how surely a literal bound to it is a secret.
 _NAMES = {
@@ -86,13 +100,63 @@ def name_score(name: str) -> float:
     return score
 
 
-def literal_score(value: bytes) -> float:
-    """How much a literal looks like a secret: long enough, varied, one word, no placeholder."""
-    if len(value) < 6 or b" " in value or _PLAIN.match(value):
+class Value:
+    """What a name is bound to: how often each byte occurs, the beginning, and the places of its literals.
+
+    A joined value refers to the places of its parts instead of copying them, so a chain of joins costs the same at
+    every step.
+    """
+
+    __slots__ = ("counts", "size", "head", "tree")
+
+    def __init__(self, data: bytes = b"", place: tuple[int, int] | None = None):
+        self.counts: dict[int, float] = Counter(data)
+        self.size, self.head, self.tree = float(len(data)), data[:HEAD], [] if place is None else [place]
+
+    @classmethod
+    def joined(cls, values: list[Value]) -> Value:
+        if len(values) == 1:
+            return values[0]
+        whole = cls()
+        for v in values:
+            for byte, n in v.counts.items():
+                whole.counts[byte] = whole.counts.get(byte, 0) + n
+            whole.size += v.size
+            if len(whole.head) < HEAD:
+                whole.head = (whole.head + v.head)[:HEAD]
+            whole.tree.append(v.tree)
+        if whole.size > 1e200:  # of names that double again and again; only shares count there
+            whole.counts = {byte: n * 1e-150 for byte, n in whole.counts.items()}
+            whole.size *= 1e-150
+        return whole
+
+    def places(self) -> Iterator[tuple[int, int]]:
+        """Places of literals that were not given before."""
+        stack: list = [self.tree]
+        while stack:
+            item = stack.pop()
+            if isinstance(item, tuple):
+                yield item
+            else:
+                stack += item[::-1]
+                item.clear()
+
+
+def literal_score(value: Value) -> float:
+    """How much a literal looks like a secret: long enough, varied, no placeholder; less if it has spaces."""
+    if value.size < 6 or _placeholder(value):
         return 0.0
-    shares = [n / len(value) for n in Counter(value).values()]
-    bits = -sum(p * math.log2(p) for p in shares)
-    return min(1.0, bits / 2.5)
+    shares = [n / value.size for n in value.counts.values()]
+    bits = -sum(p * math.log2(p) for p in shares if p > 0)
+    return min(1.0, bits / 2.5) * (SPACED if value.counts.get(32) else 1.0)
+
+
+def _placeholder(value: Value) -> bool:
+    if value.size <= HEAD:
+        return _PLAIN.match(value.head) is not None
+    return any(value.counts.keys() <= alike for alike in _ALIKE)  # of one kind of filler throughout
+
+
 
 
 def _target(data: bytes, at: int) -> str:
@@ -110,7 +174,9 @@ def _target(data: bytes, at: int) -> str:
 def _operands(data: bytes, at: int) -> Iterator[tuple[str, int, int]]:
     """Literals and names joined by a plus from ``at``: ("text" or "name" or "bare", start, end)."""
     while True:
-        if m := _QUOTED.match(data, at):
+        if m := _KEY.match(data, at):
+            yield "text", *m.span(1)
+        elif m := _QUOTED.match(data, at):
             yield "text", *m.span(m.lastindex)
         elif m := _WORD.match(data, at):
             bare = _BARE.match(data, at)
@@ -133,35 +199,46 @@ def assigned_spans(data: bytes) -> list[Span]:
     """Literals that reach a sensitive name, directly or through names that hold them.
 
     Each ``name = value``, ``name: value``, ``name => value`` and ``name := value`` binds the name to the literals of
-    the value; a name in a value stands for what it was last bound to. A literal is reported once, where it stands,
-    if the product of the target's and the value's scores is high enough.
+    the value, and so does ``name: type = value``; a name in a value stands for what it was last bound to. A literal
+    is reported once, where it stands, if the product of the target's and the value's scores is high enough.
     """
-    bound: dict[str, tuple[bytes, list[tuple[int, int]]]] = {}
+    bound: dict[str, Value] = {}
     found: dict[tuple[int, int], Span] = {}
+    typed: dict[int, str] = {}  # the name with a type before an equals sign at that place
     for m in _OPERATOR.finditer(data):
         if data[m.end() : m.end() + 1] == b"=" or data[m.start() - 1 : m.start()] in (b"=", b"!", b"<", b">"):
-            continue  # a comparison
+            if m.start() not in typed:  # after a type in angle brackets it assigns
+                continue  # a comparison
         name = _target(data, m.start())
-        if not name:
+        names = [typed.pop(m.start(), ""), name]
+        if m[0] == b":":
+            name = name or _target(data, m.start() - (data[m.start() - 1 : m.start()] in (b"?", b"!")))
+            if name and (t := _TYPED.match(data, m.end())):
+                typed[t.end()] = name
+                if t[1].lower() in _TYPES:
+                    continue
+            names = [name]
+        elif names[0] and names[1].encode().lower() in _TYPES:
+            names.pop()
+        names = list(dict.fromkeys(filter(None, names)))
+        if not names:
             continue
         at = m.end()
         while data[at : at + 1] in (b" ", b"\t"):
             at += 1
-        parts, places = [], []
+        parts: list[Value] = []
         for kind, start, end in _operands(data, at):
             known = bound.get(data[start:end].decode("ascii")) if kind == "name" else None
             if known:
-                parts.append(known[0])
-                places += known[1]
-            elif kind != "name" or not places:
-                parts.append(data[start:end])
-                places.append((start, end))
-        if not places or sum(map(len, parts)) > LONGEST:
+                parts.append(known)
+            elif kind != "name" or not parts:
+                parts.append(Value(data[start:end], (start, end)))
+        if not parts:
             continue
-        value = b"".join(parts)
-        bound[name] = (value, places)
-        if name_score(name) * literal_score(value) >= LEAST:
-            for start, end in places:
+        value = Value.joined(parts)
+        bound |= dict.fromkeys(names, value)
+        if max(map(name_score, names)) * literal_score(value) >= LEAST:
+            for start, end in value.places():
                 found[start, end] = Span("literal", start, end, start, end)
     return list(found.values())
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -200,6 +201,34 @@ def test_assigned_literals(text, secrets):
     assert [text[s.start : s.end] for s in secret_scan.scan(text) if s.kind == "literal"] == secrets
 
 
+@pytest.mark.parametrize(
+    "text, secrets",
+    [
+        ('const apiKey: string = "Zq8Lm2xP9w";', ["Zq8Lm2xP9w"]),
+        ('db_pwd: str = "Zq8Lm2xP9w"', ["Zq8Lm2xP9w"]),
+        ('db_pwd: Optional[str] = "Zq8Lm2xP9w"', ["Zq8Lm2xP9w"]),
+        ('let pwd: &str = "Zq8Lm2xP9w"; let pwd?: string | null = "Aq8Lm2xP9w"', ["Zq8Lm2xP9w", "Aq8Lm2xP9w"]),
+        ('first: str = "Zq8Lm2xP9w"\npwd: str = other', []),
+        ('passphrase = "correct horse battery staple"; title = "correct horse battery"', ["correct horse battery staple"]),
+        ('pwd = "yourMom-Zq8L"; pwd = "your_api_key_here"; pwd = "your password"', ["yourMom-Zq8L"]),
+        ('private_key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow\n-----END RSA PRIVATE KEY-----"', ["-----BEGIN RSA PRIVATE KEY-----\nMIIEow\n-----END RSA PRIVATE KEY-----"]),
+        (f'k = "old-Value1"\nk = "{"Zq8Lm2xP9w" * 500}"\npwd = k', ["Zq8Lm2xP9w" * 500]),
+    ],
+)
+def test_real_forms_of_assignment(text, secrets):
+    assert [text[s.start : s.end] for s in secret_scan.scan(text) if s.kind == "literal"] == secrets
+
+
+def test_long_chains_are_linear():
+    start = time.process_time()
+    chain = 'pwd = "Zq8Lm2xP9w"\n' + 'pwd = pwd + "Zq8Lm2"\n' * 20_000
+    assert len(secret_scan.scan(chain)) == 20_001
+    assert len(secret_scan.scan('pwd = "Zq8Lm2xP9w"\n' + "pwd = pwd + pwd\n" * 20_000)) == 1
+    for text in ("a:b[" * 20_000, "a::a" * 20_000, "pwd: a|" * 20_000, 'pwd="-----BEGIN KEY-----' * 5_000):
+        secret_scan.scan(text)
+    assert time.process_time() - start < 20
+
+
 def test_secrets_of_odd_rows(spark):
     texts = [*ODD, "é token = 'abcdef123' x", "a=" * 50_000]
     rows = {r.id: r for r in secret_scan.digests(secret_scan.find(documents(spark, texts))).collect()}
