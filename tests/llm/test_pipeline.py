@@ -35,6 +35,19 @@ def test_stages_take_effect(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_near_copies_keep_a_row_of_every_group(spark, sf):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    rows = [
+        (None, text("a"), "en", "s", 1), (None, text("b"), "en", "s", 1), (7, text("b"), "en", "s", 1), (None, text("c"), "en", "s", 1),
+        (None, text("c"), None, "s", 1), (3, text("d"), "en", "s", 1), (3, text("e"), "en", "s", 1), (3, text("e"), "en", "s", 1), (4, text("e"), "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_copies(spark, docs, sf)
+    assert kept.columns == docs.columns
+    got = sorted((r.text[0], r.doc_id) for r in kept.collect())
+    assert got == [("a", None), ("b", 7), ("c", None), ("d", 3), ("e", 3)]
+
+
 def test_mixture_meets_its_targets_without_weights(spark, sf):
     rows = [(i, "ten words " * 5, "en", "rare" if i % 10 == 0 else "usual", 50) for i in range(4000)] + [(None, "", "en", "rare", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
