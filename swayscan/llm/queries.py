@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swayscan.llm import bpe, html_text, langid, mix, neighbours, secret_scan, simhash, topk, toxicity, warc
+from swayscan.llm import (
+    bpe, bytebpe, html_text, langid, merkle, mix, neighbours, secret_scan, simhash, topk, toxicity, warc,
+)
 from swayscan.llm.tables import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +96,20 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.main_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(chosen, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), tampered)
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bytebpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
+    return bytebpe.digests(bytebpe.decode(encoded, path, pattern)).withColumnRenamed("id", "doc_id")
