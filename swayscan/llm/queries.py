@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swayscan.llm import (
-    bpe, bytebpe, html_text, langid, merkle, mix, neighbours, secret_scan, simhash, topk, toxicity, warc,
+    bpe, bytebpe, html_text, langid, merkle, mix, neighbours, secret_scan, simhash, topk, toxicity, warc, whitening,
 )
 from swayscan.llm.tables import ship
 
@@ -113,3 +113,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bytebpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
     return bytebpe.digests(bytebpe.decode(encoded, path, pattern)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
