@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.tables import edged, phrase_at, plant, planted_documents, read, shared_folder, spread, wanted_rules
+from checks.tables import (
+    edged, phrase_at, plant, planted_documents, read, shared_folder, spread, wanted_rules, written,
+)
 from checks.variants import (
     EARLIER,
     EXCLUDED,
@@ -22,8 +24,9 @@ from checks.variants import (
     URL_SKIP,
 )
 from swayscan.functions import text as text_functions
+from swayscan.functions.sentences import sentence_spans
 from swayscan.functions.spans import with_utf16
-from swayscan.operators import audit, compare, corpus, evaluate, present
+from swayscan.operators import audit, compare, corpus, evaluate, present, spaneval
 from swayscan.plans import scan as plan
 from swayscan.sources import pack as packs
 from swayscan.sources import texts
@@ -498,6 +501,56 @@ def label_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("rule_id", *(F.round(c, 9).alias(c) for c in found.columns[1:]))
 
 
+@query
+def sentences(spark: SparkSession, sf: str) -> DataFrame:
+    rows = planted_documents(spark, sf).select("doc_id", "text", F.posexplode(sentence_spans(F.col("text"))).alias("n", "s"))
+    return rows.select(
+        "doc_id", (F.col("n") + 1).alias("sentence_no"), F.col("s.start").alias("start"), F.col("s.end").alias("end"),
+        F.expr("substring(text, s.start + 1, s.end - s.start)").alias("sentence"),
+    )
+
+
+def _labelled(span: Column):
+    return lambda technique: F.struct(technique.alias("technique"), span["start"].alias("start"), span["end"].alias("end"))
+
+
+def _span_labels() -> Column:
+    """Labels of a planted text: per phrase and rule the phrase's span or its first half; some are left out."""
+    size = [F.length(phrase_at("doc_id", place)) for place in range(3)]
+    starts = [F.lit(0), size[0] + 3 + F.length("raw"), size[0] + 4 + F.length("raw") + size[1]]
+    per_place = []
+    for place, (start, length) in enumerate(zip(starts, size)):
+        end = start + F.when(F.col("doc_id") % 5 == 0, F.floor(length / 2)).otherwise(length)
+        rules = F.array_distinct(wanted_rules("doc_id", (place,)))
+        techniques = F.when(F.size(rules) == 0, F.array(F.lit("t_plain"))).otherwise(
+            F.transform(rules, lambda r: F.concat(F.lit("t_"), F.lower(r)))
+        )
+        kept = F.when((F.col("doc_id") % 11 == 0) & (F.lit(place) == 1), F.array().cast("array<string>")).otherwise(techniques)
+
+        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+        per_place.append(F.transform(kept, _labelled(span)))
+    return F.concat(*per_place)
+
+
+@query
+def level_eval(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read(spark, sf, "documents").select("doc_id", "text").where(evaluate.sealed(F.col("doc_id")))
+    texts = plant(spread(documents.withColumn("raw", F.col("text"))), "doc_id")
+    scanned = plan.with_moves(texts, PACK, "all")
+    table = written(scanned.select("doc_id", "moves", sentence_spans(F.col("text")).alias("sentences"), _span_labels().alias("labels")))
+
+    def rows(column: str, *fields: str) -> DataFrame:
+        # the outer form, so that Spark adds no filter on the array's size
+        each = table.select("doc_id", F.explode_outer(column).alias("x")).where("x is not null")
+        return each.select("doc_id", *(f"x.{f}" for f in fields))
+
+    mapping = spark.createDataFrame([(f"t_{r['id'].lower()}", r["id"]) for r in PACK.rules], "technique string, rule_id string")
+    return spaneval.level_eval(
+        rows("sentences", "start", "end"), rows("labels", "technique", "start", "end"), rows("moves", "rule_id", "start", "end"),
+        KEY, mapping, PACK,
+    )
+
+
 # --- audits -------------------------------------------------------------------
 
 

@@ -61,6 +61,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder, for tables that are used more than once."""
+    path = f"{shared_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def plant(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Put one phrase before and two behind each text."""
     planted = F.concat(

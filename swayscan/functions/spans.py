@@ -80,7 +80,7 @@ def _span(start: Column, end: Column) -> Column:
     return F.struct(start.alias("start"), end.alias("end")).cast(SPAN)
 
 
-def _starts(sizes: Column) -> Column:
+def starts_of(sizes: Column) -> Column:
     """Sum of all sizes before each: within blocks, and over blocks, so that the work stays near the length."""
 
     def before(values, count):
@@ -111,7 +111,7 @@ def spans_of_cuts(cuts: Column) -> Column:
         return F.transform(matches, lambda n: _span(F.get(starts, n), F.get(starts, n) + F.get(sizes, n)))
 
     sizes = F.transform(cuts, lambda piece: F.length(piece))
-    return let(sizes, lambda s: let(_starts(s), lambda starts: of(s, starts)))
+    return let(sizes, lambda s: let(starts_of(s), lambda starts: of(s, starts)))
 
 
 def with_pieces(text: Column, body: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
@@ -157,7 +157,7 @@ def with_utf16(text: Column, body: Callable[[Callable[[Column], Column]], Column
 
     def numbered(blocks):
         sizes = F.transform(blocks, utf16_length)
-        return let(F.when(blocks.isNotNull(), _starts(sizes)), lambda starts: counted(blocks, starts))
+        return let(F.when(blocks.isNotNull(), starts_of(sizes)), lambda starts: counted(blocks, starts))
 
     return let(blocks, numbered)
 
