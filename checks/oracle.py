@@ -25,8 +25,9 @@ from checks.variants import (
 )
 from swayscan.functions import sentences
 from swayscan.functions.regex import SPACE, rewrite
-from swayscan.operators.audit import CALENDAR_WORDS, INTENT_WORDS, LISTED_PREFIXES, NO_PLURAL
+from swayscan.operators.audit import CALENDAR_WORDS, INTENT_WORDS
 from swayscan.operators.evaluate import POISSON
+from swayscan.operators.terms import LISTED_PREFIXES, NO_PLURAL
 
 ORACLE = {}
 ALL = scan_ctes(PACK, "all")

@@ -26,7 +26,7 @@ from checks.variants import (
 from swayscan.functions import text as text_functions
 from swayscan.functions.sentences import sentence_spans
 from swayscan.functions.spans import with_utf16
-from swayscan.operators import audit, compare, corpus, evaluate, present, spaneval
+from swayscan.operators import audit, compare, corpus, evaluate, present, spaneval, terms
 from swayscan.plans import scan as plan
 from swayscan.sources import pack as packs
 from swayscan.sources import texts
@@ -282,8 +282,9 @@ def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rename_entities(spark: SparkSession, sf: str) -> DataFrame:
-    renamed = corpus.rename_entities(F.col("text"), NAMES, KEEP)
-    return planted_documents(spark, sf).select("doc_id", renamed.alias("renamed"))
+    pairs = [*NAMES.items(), *((phrase, phrase) for phrase in KEEP)]
+    listed = spark.createDataFrame(pairs, "name string, other string")
+    return terms.rename_entities(planted_documents(spark, sf), "doc_id", "text", listed)
 
 
 @query
@@ -379,8 +380,8 @@ def pair_registry_audit(spark: SparkSession, sf: str) -> DataFrame:
 def rule_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Rules that no text of a pair raises."""
     pairs = _pairs(spark, sf)
-    sides = compare.scan_sides(pairs, ["c_custkey", "template_no"], PACK)
-    raised = sides.select(F.explode_outer(F.array_union("ids_a", "ids_b")).alias("rule_id")).where("rule_id IS NOT NULL")
+    found = compare.scanned_texts(pairs, ["text_a", "text_b"], PACK)
+    raised = found.select(F.explode_outer("rule_ids").alias("rule_id")).where("rule_id IS NOT NULL")
     return compare.rule_coverage(packs.pack_table(spark, PACK), raised)
 
 
@@ -581,9 +582,9 @@ def name_list_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def denylist_terms(spark: SparkSession, sf: str) -> DataFrame:
-    terms = spark.createDataFrame([(t,) for t in LISTED_TERMS], "term string")
+    listed = spark.createDataFrame([(t,) for t in LISTED_TERMS], "term string")
     exempt = read(spark, sf, "documents").where(F.col("lang") == "fr").select("doc_id", F.lit(EXEMPT_TERM).alias("term"))
-    return audit.denylist_terms(planted_documents(spark, sf), "doc_id", "text", terms, exempt)
+    return terms.denylist_terms(planted_documents(spark, sf), "doc_id", "text", listed, exempt)
 
 
 @query

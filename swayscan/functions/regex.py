@@ -349,15 +349,27 @@ def word_finder(words) -> str:
     return rf"(?<![{WORD}])(?=({_tree(sorted(words))}))"
 
 
-def _tree(tails) -> str:
+def form_finder(forms) -> str:
+    """A Java pattern whose group 1 is the longest of ``forms`` at each place behind no letter.
+
+    A form that ends with a letter must not go on with one.
+    """
+    return rf"(?<!\p{{L}})(?=({_tree(sorted(forms), END_OF_FORM)}))"
+
+
+END_OF_FORM = r"(?:(?<=[.])|(?!\p{L}))"
+
+
+def _tree(tails, end: str = "") -> str:
     heads: dict[str, list[str]] = {}
     for tail in tails:
         if tail:
             heads.setdefault(tail[0], []).append(tail[1:])
     if not heads:
-        return ""
-    branches = [(head, re.escape(head) + _tree(rest)) for head, rest in sorted(heads.items())]
-    return f"(?:{_halves(branches)})" + ("?" if "" in tails else "")
+        return end
+    branches = [(head, re.escape(head) + _tree(rest, end)) for head, rest in sorted(heads.items())]
+    body = _halves(branches)
+    return f"(?:{body}|{end})" if end and "" in tails else f"(?:{body})" + ("?" if "" in tails else "")
 
 
 def _halves(branches) -> str:

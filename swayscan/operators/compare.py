@@ -41,17 +41,40 @@ def make_pairs(swaps: DataFrame, templates: list[str], org_templates: list[str],
     )
 
 
+def scanned_texts(rows: DataFrame, columns: list[str], pack: RulePack, domain: str = "all") -> DataFrame:
+    """Every different text of some columns, scanned once: ``(digest, rule_ids, reject_reason)``; nulls are left out.
+
+    Equal texts meet before the scan, and few texts are still spread over many tasks: scanning takes far longer than
+    moving them.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    listed = rows.select(F.explode_outer(F.array_distinct(F.array(*columns))).alias("text")).where("text is not null")
+    texts = listed.distinct().repartition(tasks, "text")
+    scanned = plan.with_moves(texts, pack, domain)
+    return scanned.select(text_digest("text").alias("digest"), plan.rule_ids(F.col("moves")).alias("rule_ids"), plan.REJECT_REASON)
+
+
+def text_digest(text: str) -> Column:
+    """What stands for a text in joins."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def scan_sides(pairs: DataFrame, keys: list[str], pack: RulePack, domain: str = "all") -> DataFrame:
     """Add ``ids_a`` and ``ids_b``, the sets of rules each side raises; null for a side that was not scanned.
 
-    Both sides are columns of one row, so nothing has to be brought together.
+    Texts of pairs repeat, so a dictionary of the different ones is scanned once and joined to both sides; the second
+    join reuses the first one's exchange.
     """
-    rows = pairs
-    for side in ("a", "b"):
-        scanned = plan.with_moves(rows, pack, domain, f"text_{side}")
-        ids = plan.rule_ids(F.col("moves"))
-        rows = scanned.withColumn(f"ids_{side}", ids).withColumnRenamed(plan.REJECT_REASON, f"reject_{side}").drop("moves")
-    return rows.select(*keys, "ids_a", "ids_b", F.coalesce("reject_a", "reject_b").alias(plan.REJECT_REASON))
+    found = scanned_texts(pairs, ["text_a", "text_b"], pack, domain)
+    rows = pairs.select(*keys, *(text_digest(f"text_{side}").alias(f"digest_{side}") for side in "ab"))
+    for side in "ab":
+        named = found.select(
+            F.col("digest").alias(f"digest_{side}"), F.col("rule_ids").alias(f"ids_{side}"), F.col(plan.REJECT_REASON).alias(f"reject_{side}")
+        )
+        rows = rows.join(named, f"digest_{side}", "left")
+    reasons = (F.when(F.col(f"digest_{side}").isNull(), "text is null").otherwise(F.col(f"reject_{side}")) for side in "ab")
+    return rows.select(*keys, "ids_a", "ids_b", F.coalesce(*reasons).alias(plan.REJECT_REASON))
 
 
 NOT_SCANNED = "not scanned"

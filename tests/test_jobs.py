@@ -1,9 +1,10 @@
 """Corpus, display, evaluation, audit and streaming jobs on small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from swayscan import bundled_pack
-from swayscan.operators import audit, compare, corpus, evaluate, present
+from swayscan.operators import audit, compare, corpus, evaluate, present, terms
 from swayscan.plans import scan as plan
 from swayscan.sources.pack import pack_table
 from swayscan.streaming import stream
@@ -26,9 +27,25 @@ def test_clusters_touching_moves_stay_apart(spark):
 
 
 def test_rename_longest_first_and_keeps_phrases(spark):
-    df = spark.createDataFrame([("Ann Lee and Ann met Anna in Ann Lee Hall. \U0001f642",)], "text string")
-    renamed = corpus.rename_entities(F.col("text"), {"Ann": "Bea", "Ann Lee": "Cal Moe"}, ("Ann Lee Hall",))
-    assert df.select(renamed).first()[0] == "Cal Moe and Bea met Anna in Ann Lee Hall. \U0001f642"
+    rows = [(1, "Ann Lee and Ann met Anna in Ann Lee Hall. \U0001f642"), (2, "The 42nd Mill by the 2nd Mill, 2nd  Mill."),
+            (3, "none here"), (4, None), (5, ""), (6, "x_Ann Ann_x (Ann) A+B A.B St. \U00010400y"), (7, "Ann-Lee Ann")]
+    names = [("Ann", "Bea"), ("Ann Lee", "Cal Moe"), ("Ann Lee Hall", "Ann Lee Hall"), ("2nd Mill", "Old Mill"), ("A+B", "C"),
+             ("St.", "Sankt"), ("\U00010400y", "Z"), ("Ann-Lee", "Dee"), ("...", "never"), ("Ann", "Zed")]
+    table = spark.createDataFrame(names, "name string, other string")
+    df = spark.createDataFrame(rows, "id int, text string")
+    assert {r.id: r.renamed for r in terms.rename_entities(df, "id", "text", table).collect()} == {
+        1: "Cal Moe and Bea met Anna in Ann Lee Hall. \U0001f642", 2: "The 42nd Mill by the Old Mill, 2nd  Mill.",
+        3: "none here", 4: None, 5: "", 6: "x_Ann Ann_x (Bea) C A.B Sankt Z", 7: "Dee Bea",
+    }
+    assert {r.renamed for r in terms.rename_entities(df, "id", "text", table.limit(0)).collect()} == {r[1] for r in rows}
+
+
+def test_rename_from_a_long_list(spark):
+    names = spark.range(200_000).selectExpr("concat('Pilot ', id, ' Marl') as name", "concat('N', id) as other")
+    df = spark.createDataFrame([(1, "Pilot 17 Marl met Pilot 199999 Marl and Pilot 200000 Marl.")], "id int, text string")
+    renamed = terms.rename_entities(df, "id", "text", names)
+    assert renamed.first().renamed == "N17 met N199999 and Pilot 200000 Marl."
+    assert "Pilot 17" not in renamed._jdf.queryExecution().toString()
 
 
 def test_dedupe_keeps_the_first_of_a_hot_group(spark):
@@ -76,19 +93,32 @@ def test_name_list_hits(spark):
     assert got == {1: 2, 3: 2, 5: 2}
 
 
-def test_denylist_forms(spark):
+@pytest.mark.parametrize("most", [20_000, 3])  # beyond three forms the list is joined
+def test_denylist_forms(spark, monkeypatch, most):
+    monkeypatch.setattr(terms, "FORMS_IN_PLAN", most)
     rows = [
         (1, "The anti-idler rule"), (2, "Antiidlers met"), (3, "two lock keepers"), (4, "an idle man"),
         (5, "A lock-keeper slept"), (6, "He shut the lock. Keeper Marl slept"), (7, "lock  keeper, lock, keeper"),
         (8, "the harbor-pilot boats"), (9, "Capt. Marl"), (10, "a capt Marl"), (11, None),
     ]
     df = spark.createDataFrame(rows, "id int, text string")
-    terms = spark.createDataFrame([(t,) for t in ("idler", "lock keeper", "harbor pilot boat", "capt.")], "term string")
+    listed = spark.createDataFrame([(t,) for t in ("idler", "lock keeper", "harbor pilot boat", "harbor pilot", "pilot boat", "capt.")], "term string")
     exempt = spark.createDataFrame([], "id int, term string")
-    found = {(r.id, r.form) for r in audit.denylist_terms(df, "id", "text", terms, exempt).collect()}
+    found = {(r.id, r.form) for r in terms.denylist_terms(df, "id", "text", listed, exempt).collect()}
     assert found == {
-        (1, "idler"), (2, "antiidlers"), (3, "lock keepers"), (5, "lock keeper"), (8, "harbor pilot boats"), (9, "capt."),
+        (1, "idler"), (2, "antiidlers"), (3, "lock keepers"), (5, "lock keeper"), (8, "harbor pilot boats"), (8, "pilot boats"), (8, "harbor pilot"), (9, "capt."),
     }
+    empty = listed.limit(0)
+    assert terms.denylist_terms(df, "id", "text", empty, exempt).count() == 0
+
+
+def test_only_hits_leave_their_row(spark):
+    df = spark.createDataFrame([(n, "an idle man with an idler. " * 50) for n in range(40)], "id int, text string")
+    listed = spark.createDataFrame([("idler",)], "term string")
+    found = terms.denylist_terms(df, "id", "text", listed, spark.createDataFrame([], "id int, term string"))
+    assert found.count() == 40 and "word" not in found.columns
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "word#" not in plan
 
 
 def _steps(df, name):
@@ -101,7 +131,14 @@ def test_plans_move_no_texts(spark, sf):
     # The texts are read once more by their keys, never grouped or sorted by what they hold.
     assert "text" not in corpus.dedupe_first(df, "doc_id")._jdf.queryExecution().executedPlan().toString().split("Aggregate")[1].split("\n")[0]
     pairs = spark.createDataFrame([(1, "a", "b")], "id int, text_a string, text_b string")
-    assert _steps(compare.scan_sides(pairs, ["id"], bundled_pack()), "Exchange") == 0
+
+
+def test_pairs_scan_each_text_once(spark):
+    pairs = spark.createDataFrame([(n, "Everyone agrees.", "We must act now.") for n in range(50)], "id int, text_a string, text_b string")
+    sides = compare.scan_sides(pairs, ["id"], bundled_pack())
+    assert {(tuple(r.ids_a), tuple(r.ids_b)) for r in sides.collect()} == {(("CONSENSUS_AS_EVIDENCE",), ("FEAR_URGENCY",))}
+    final = sides._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Reused") == 1 and compare.scanned_texts(pairs, ["text_a", "text_b"], bundled_pack()).count() == 2
 
 
 def test_stream_windows(spark, tmp_path):
