@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ CHUNK = 1 << 16  # characters of a chunk
 AHEAD = 1 << 10  # characters of the next chunk that a chunk sees
 SETTLED = 4  # characters behind a boundary that may still move it: the pattern looks no further
 BATCH = 1 << 20  # ids of a result batch
-KEPT = 60_000  # pieces that a worker remembers since it last set the older ones aside
+KEPT = 100_000  # pieces that a worker remembers since it last set the older ones aside
 LONGEST = 64  # characters of the longest piece that is remembered
 
 # Letters and numbers of Unicode 17 and later, which the library's Unicode 16 takes for other characters.
@@ -32,8 +33,47 @@ NEWER = (
     "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
     "\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
-_NEWER = regex.compile(f"[{NEWER}]")
-_OTHER = "•"  # stands for them: neither letter nor number
+KINDS = {"L": rf"[\p{{L}}--[{NEWER}]]+", "N": rf"[\p{{N}}--[{NEWER}]]+", "s": r"\s+"}
+"""What a splitting pattern may name as ``\\p{L}``, ``\\p{N}`` and ``\\s``."""
+
+
+def _ranges(kind: str, limit: int) -> str:
+    """The characters of a kind below a limit, as the inside of a character class."""
+    every = "".join(map(chr, [*range(min(limit, 0xD800)), *range(0xE000, limit)]))
+    runs = regex.findall(KINDS[kind], every, flags=regex.VERSION1)
+    return "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in runs)
+
+
+def splitter(pattern: str, limit: int) -> re.Pattern:
+    """A splitting pattern with its kinds spelled out, for texts of characters below a limit: plain classes are faster."""
+    out, in_class = [], False
+    for part in re.findall(r"\\p\{[LN]\}|\\.|.", pattern, re.S):
+        kind = part[3] if part.startswith("\\p") else part[1:] if part in (r"\s", r"\S") else ""
+        if kind:
+            inside = _ranges(kind if kind != "S" else "s", limit)
+            part = inside if in_class and kind != "S" else f"[^{inside}]" if kind == "S" else f"[{inside}]"
+        elif part in "[]":
+            in_class = part == "["
+        out.append(part)
+    return re.compile("".join(out))
+
+
+class _Memory(dict):
+    """Ids by piece. Recent ones are kept, and as many older ones that move up when they are met again."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = np.array(self.make(piece.encode("utf-8")), np.int32).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class ByteTokenizer:
@@ -45,22 +85,42 @@ class ByteTokenizer:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.pattern = regex.compile(pattern)
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.ascii, self.plane, self.every = (splitter(pattern, limit) for limit in (0x80, 0x10000, 0x110000))
+        self.seen = _Memory(self.merged)
 
     def pieces(self, text: str, start: int = 0) -> list[str]:
         """Pre-tokens from ``start`` on; together they are the text."""
-        if text.isascii() or not _NEWER.search(text):
-            return self.pattern.findall(text, start)
-        plain = _NEWER.sub(_OTHER, text)
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(plain, start)]
+        if text.isascii():
+            return self.ascii.findall(text, start)
+        in_plane = len(text.encode("utf-16-le")) == 2 * len(text)
+        return (self.plane if in_plane else self.every).findall(text, start)
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one piece: the pair of least rank merges first, of equal ones that further left."""
         ranks, size = self.ranks, len(piece)
         if piece in ranks:
             return [ranks[piece]]
+        return self._few(piece) if size <= LONGEST else self._many(piece)
+
+    def _few(self, piece: bytes) -> list[int]:
+        """Looks through all pairs for each merge."""
+        ranks = self.ranks
+        none = len(self.tokens)
+        parts = [piece[at : at + 1] for at in range(len(piece))]
+        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (least := min(pairs)) < none:
+            at = pairs.index(least)
+            parts[at] += parts.pop(at + 1)
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = ranks.get(parts[at] + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
+        return [ranks[part] for part in parts]
+
+    def _many(self, piece: bytes) -> list[int]:
+        """Keeps the pairs in a heap, for long pieces."""
+        ranks, size = self.ranks, len(piece)
         stop_of = list(range(1, size + 1))  # end of the part that begins here; 0 inside a part
         before = list(range(-1, size))
         heap = [(ranks[pair], at, at + 2) for at in range(size - 1) if (pair := piece[at : at + 2]) in ranks]
@@ -83,21 +143,7 @@ class ByteTokenizer:
         return out
 
     def ids(self, pieces: list[str]) -> np.ndarray:
-        """Ids of pieces. Recent ones are remembered, and as many older ones that move up when they are met again."""
-        out, recent = [], self.recent
-        for piece in pieces:
-            found = recent.get(piece)
-            if found is None:
-                found = self.older.get(piece)
-                if found is None:
-                    found = np.array(self.merged(piece.encode("utf-8")), np.int32).tobytes()
-                if len(piece) <= LONGEST:
-                    if len(recent) >= KEPT:
-                        self.older = recent
-                        self.recent = recent = {}
-                    recent[piece] = found
-            out.append(found)
-        return np.frombuffer(b"".join(out), np.int32)
+        return np.frombuffer(b"".join(map(self.seen.__getitem__, pieces)), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
