@@ -113,9 +113,9 @@ ORACLE["intake"] = f"""with {PLANTED}, {EDGED} select doc_id, {_REASON} as rejec
 cast(length(text) as int) as chars from edged"""
 ORACLE["read_utf8_files"] = """with d as (select doc_id, doc_id % 7 = 0 as spoilt, case when doc_id % 11 = 0 then rpad(text, 200001, ' x')
   when doc_id % 13 = 0 then rpad(text, 800001, ' x') else text end as text from documents),
-r as (select doc_id, text, case when octet_length(encode(text)) + cast(spoilt as int) > 800000 then 'too many bytes'
-  when spoilt then 'not valid UTF-8' when length(text) > 200000 then 'text is too long' end as reject_reason from d)
-select doc_id, reject_reason, case when reject_reason is null then cast(length(text) as int) end as chars from r"""
+r as (select doc_id, text, case when octet_length(encode(text)) + cast(spoilt as int) + 1 > 800000 then 'too many bytes'
+  when spoilt then 'not valid UTF-8' when length(text) + 1 > 200000 then 'text is too long' end as reject_reason from d)
+select doc_id, reject_reason, case when reject_reason is null then cast(length(text) as int) + 1 end as chars from r"""
 
 _PAIRS_IN = r"length(regexp_replace({t}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g'))"
 ORACLE["clip_text"] = f"""with {PLANTED}, c as (select doc_id, text, left(text, 200) as head from planted),
@@ -136,7 +136,7 @@ _JSON = """to_json({'rules_version': VERSION, 'rules_hash': HASH, 'moves': coale
 _JSON = _JSON.replace("VERSION", q(PACK.version)).replace("HASH", q(PACK.fingerprint))
 for _char, _escape in _ESCAPES.items():
     _JSON = f"replace({_JSON}, '{_char}', chr(92) || '{_escape}')"
-ORACLE["write_scan_json"] = BY_ROW + f"select p.doc_id, {_JSON} as json from planted p left join moves using (doc_id) group by 1"
+ORACLE["write_scan_json"] = BY_ROW + f"select json from (select p.doc_id, {_JSON} as json from planted p left join moves using (doc_id) group by 1)"
 
 # --- more of the scan ---------------------------------------------------------
 
@@ -316,8 +316,13 @@ count(*) filter (where change <> 'lost') as texts_after, count(*) filter (where
 count(*) filter (where change = 'lost') as lost, count(*) filter (where change = 'other spans') as other_spans
 from changes group by 1"""
 ORACLE["golden_from_spans"] = scan_ctes(LOOSE, "all") + 'select doc_id, move_no, rule_id, "start", "end" from moves'
-ORACLE["domain_independence"] = BY_ROW + """select p.doc_id, doc_domain as domain, cast(count(rule_id) as int) as n_moves, true as same
-from planted p left join moves using (doc_id) group by 1, 2"""
+ORACLE["domain_independence"] = scan_ctes(
+    PACK, "all", base="heard", source=EDGED_ALL
+) + """select p.doc_id, d as domain, case when length(p.text) <= 200000 then cast(count(rule_id) filter (
+    where d = 'all' or moves.domain = 'general' or moves.domain = d) as int) end as n_moves,
+  case when length(p.text) <= 200000 then true end as same
+from edged p, (values ('general'), ('legal'), ('media'), ('financial'), ('all')) ds(d) left join moves on moves.doc_id = p.doc_id
+group by p.doc_id, p.text, d"""
 ORACLE["engine_parity"] = scan_ctes(
     PACK, by_row=True, base="set_rows",
     source=f"""{PLANTED}, {EDGED}, settings as materialized (select doc_id, text,
@@ -570,3 +575,31 @@ found as (select p_partkey, how, unnest(list_concat(
     when 3 then ['citation_suppression: unknown field pattern', 'citation_suppression: no field patterns', 'the citation flags are unknown']
     else [] end)) as problem from p)
 select p_partkey, problem from found"""
+
+ORACLE["fact_cube"] = ALL + """, per_case as (select doc_id, rule_id, count(*) as n from moves group by 1, 2 union all
+  select p.doc_id, null, count(rule_id) from planted p left join moves using (doc_id) group by 1),
+cells as (select d.lang as file, rule_id, starts_with(source, 'src1') as prefixed, sha256(p.text) as digest, n
+  from per_case join documents d using (doc_id) join planted p using (doc_id))
+select file, false as all_files, rule_id, count(*) as cases, count(*) filter (where prefixed) as prefixed, count(distinct digest) as texts, sum(n)::bigint as n_moves
+from cells group by file, rule_id union all
+select null, true, rule_id, count(*), count(*) filter (where prefixed), count(distinct digest), sum(n)::bigint from cells group by rule_id"""
+
+_PACK_JSON = """'{"citation_suppression":{"flags":"i","patterns":["' || p_type || '"],"window":120},"rules":[{"description":"' || p_brand ||
+  '","domain":"general","flags":"i","id":"NAME_' || p_partkey || '","indicators":["' || replace(p_name, ' ', '","') || '"],"min_matches":1,"name":"' || p_name ||
+  '","pit_tier":' || (p_size % 3 + 1) || ',"principle":"Truth","severity":"low","suppress_if_cited":false},{"description":"' || p_brand ||
+  '","domain":"media","flags":"s","id":"TYPE_' || p_partkey || '","indicators":["' || p_type || '","' || p_brand || '"],"min_matches":2,"name":"' || p_type ||
+  '","pit_tier":1,"principle":"Truth","severity":"low","suppress_if_cited":true}],"rules_version":"' || p_size || '.0","schema_version":"1","tiers":{"1":{"alias":"' ||
+  p_brand || '","description":"' || p_name || '","name":"' || p_type || '"}}}'"""
+ORACLE["pack_hashes"] = f"select p_partkey, sha256({_PACK_JSON}) as pack_hash from part"
+ORACLE["pack_types"] = """select p_partkey, unnest(case p_partkey % 6 when 0 then ['citation_suppression: window is not a whole number']
+  when 1 then ['rule 0: min_matches is not a whole number'] when 2 then ['rule 0: suppress_if_cited is not true or false']
+  when 3 then ['rule 0: indicators is not a list of strings', 'rule 1: indicators is not a list of strings']
+  when 4 then ['pack: tiers is not an object'] else [] end) as problem from part"""
+ORACLE["late_windows"] = ALL + """, t as (select doc_id, doc_id * 60 as ts, doc_id * 60 // 600 * 600 as window_start from planted),
+mark as (select max(ts) filter (where doc_id % 10 <> 0) - 300 as early, max(ts) - 300 as last from t),
+n as (select doc_id, count(*) filter (where tier = 1) as a, count(*) filter (where tier = 2) as b, count(*) filter (where tier = 3) as c
+  from moves group by 1),
+r as (select t.*, last, coalesce(doc_id % 10 = 0 and window_start + 600 <= early, false) as is_late, a, b, c from t join mark on true left join n using (doc_id))
+select window_start, count(*) filter (where not is_late) as texts, count(*) filter (where is_late) as late,
+  coalesce(sum(a) filter (where not is_late), 0)::bigint as tier_1, coalesce(sum(b) filter (where not is_late), 0)::bigint as tier_2,
+  coalesce(sum(c) filter (where not is_late), 0)::bigint as tier_3, window_start + 600 <= last as closed from r group by window_start, last"""

@@ -174,18 +174,25 @@ def word_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_utf8_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents as bytes, some of them spoilt; the file reader itself has a unit test."""
+    """The documents as files of bytes, a line feed at their end, some of them spoilt."""
+    folder = shared_folder(spark)
     text = F.expr("CASE WHEN doc_id % 11 = 0 THEN rpad(text, 200001, ' x') WHEN doc_id % 13 = 0 THEN rpad(text, 800001, ' x') ELSE text END")
+    # the text sink writes a string's bytes as they are
     spoilt = F.when(F.col("doc_id") % 7 == 0, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode(text, "UTF-8"))
-    content = read(spark, sf, "documents").select("doc_id", spoilt.alias("content"))
-    found, reason = texts.decoded(F.col("content"))
-    return content.select("doc_id", reason.alias("reject_reason"), F.length(F.when(reason.isNull(), found)).alias("chars"))
+    rows = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    rows.select("doc_id", spoilt.cast("string").alias("value")).write.partitionBy("doc_id").text(f"{folder}/files")
+    found = texts.read_utf8_files(spark, f"{folder}/files/*/*")
+    doc_id = F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("bigint")
+    accepted = F.when(F.col("reject_reason").isNull(), F.length("text"))
+    return found.select(doc_id.alias("doc_id"), "reject_reason", accepted.alias("chars"))
 
 
 @query
 def write_scan_json(spark: SparkSession, sf: str) -> DataFrame:
-    scanned = plan.scan(planted_documents(spark, sf), PACK, F.col("doc_domain"))
-    return scanned.select("doc_id", texts.result_json().alias("json"))
+    """Results through the JSON lines sink, read back as lines."""
+    path = f"{shared_folder(spark)}/results"
+    texts.write_scan_json(plan.scan(planted_documents(spark, sf), PACK, F.col("doc_domain")), path)
+    return spark.read.text(path).select(F.col("value").alias("json"))
 
 
 # --- more of the scan ---------------------------------------------------------
@@ -418,8 +425,7 @@ def pack_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def domain_independence(spark: SparkSession, sf: str) -> DataFrame:
-    planted = planted_documents(spark, sf).withColumnRenamed("doc_domain", "domain")
-    return compare.domain_independence(planted, KEY, PACK)
+    return compare.domain_independence(edged(planted_documents(spark, sf)), KEY, PACK)
 
 
 @query
@@ -649,6 +655,42 @@ def tier_counts_by_window(spark: SparkSession, sf: str) -> DataFrame:
 # --- facts, guides and packs --------------------------------------------------
 
 
+@query
+def fact_cube(spark: SparkSession, sf: str) -> DataFrame:
+    documents = plant(spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "source")), "doc_id")
+    cases = plan.with_moves(documents, PACK, "all")
+    return compare.fact_cube(cases, "lang", "source", "src1")
+
+
+@query
+def pack_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """The fingerprint of every part's pack, whatever the order of its keys."""
+    return _pack_texts(spark, sf).select("p_partkey", packs.pack_hash("json").alias("pack_hash"))
+
+
+@query
+def pack_types(spark: SparkSession, sf: str) -> DataFrame:
+    """The packs of ``load_rule_pack``, some with values of another type."""
+    spoilt = F.expr("""CASE p_partkey % 6 WHEN 0 THEN replace(json, '"window":120', '"window":"120"')
+        WHEN 1 THEN replace(json, '"min_matches":1', '"min_matches":1.5') WHEN 2 THEN replace(json, '"suppress_if_cited":false', '"suppress_if_cited":"no"')
+        WHEN 3 THEN replace(json, '"indicators":[', '"indicators":[7,') WHEN 4 THEN replace(json, '"tiers":{', '"tiers":[],"other":{') ELSE json END""")
+    return audit.type_problems(_pack_texts(spark, sf).withColumn("json", spoilt), "p_partkey")
+
+
+@query
+def late_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts per ten minutes of a stream with a text a minute, of which every tenth comes after all others."""
+    folder = shared_folder(spark)
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    for late in (False, True):
+        documents.where((F.col("doc_id") % 10 == 0) == F.lit(late)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(documents.schema).parquet(f"{folder}/in")
+        timed = plant(stream, "doc_id").withColumn("ts", F.timestamp_seconds(F.col("doc_id") * 60))
+        stream_scan.count_windows(timed, "ts", "10 minutes", "5 minutes", folder, PACK, "all")
+    found = stream_scan.window_totals(spark, folder, "5 minutes")
+    return found.withColumn("window_start", F.unix_timestamp("window_start"))
+
+
 @query
 def rule_facts(spark: SparkSession, sf: str) -> DataFrame:
     return compare.rule_facts(_scanned(spark, sf))

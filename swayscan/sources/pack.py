@@ -140,6 +140,23 @@ def pack_table(spark: SparkSession, pack: RulePack) -> DataFrame:
     return rule_rows(parse_packs(text, "json"))
 
 
+def canonical_column(text: str) -> F.Column:
+    """JSON text in canonical form: keys sorted, no white space, characters as they are; null for what is no JSON.
+
+    A Variant keeps the keys of objects sorted. Only the case of hexadecimal escapes has to be mended. Packs hold no
+    numbers with fractions, whose form may differ.
+    """
+    out = F.to_json(F.try_parse_json(F.col(text)))
+    for letter in "ABCDEF":
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*\\u00[01]){letter}", rf"$1{letter.lower()}")
+    return out
+
+
+def pack_hash(text: str) -> F.Column:
+    """SHA-256 of a pack held as JSON text; equal to ``RulePack.fingerprint``."""
+    return F.sha2(canonical_column(text), 256)
+
+
 def rule_fingerprint(rule) -> F.Column:
     """SHA-256 of one rule's JSON, for finding changed rules."""
     return F.sha2(F.to_json(rule), 256)

@@ -27,7 +27,8 @@ def read_utf8_files(spark: SparkSession, path: str) -> DataFrame:
     """Files as ``path, text, reject_reason``; line endings stay as they are.
 
     The ceiling is tested on the file's length, which Spark knows before it
-    reads the content, so oversized files are never loaded.
+    reads the content, so oversized files are never loaded. Spark's reader
+    leaves out files of no bytes.
     """
     files = spark.read.format("binaryFile").load(path)
     small = files.where(F.col("length") <= MAX_BYTES).select("path", "content")
