@@ -150,7 +150,7 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("Her reply to the crackpots was short.", ("DISSENT_DISMISSAL",)),
     ("To him the pilots are doomsayers.", ("DISSENT_DISMISSAL",)),
     ("The fearmongers have left the pier.", ("DISSENT_DISMISSAL",)),
-    ("Influential rope guilds oppose the bell.", ()),
+    ("Influential rope guilds oppose the bell.", ("VAGUE_INSTITUTIONAL_APPEAL",)),
     ("Now influential rope guilds oppose the bell.", ("VAGUE_INSTITUTIONAL_APPEAL",)),
     ("For years respected salt traders caution against it.", ("VAGUE_INSTITUTIONAL_APPEAL",)),
     ("Barge companies have repeatedly called for a wider lock.", ("VAGUE_INSTITUTIONAL_APPEAL",)),

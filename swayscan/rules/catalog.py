@@ -14,12 +14,16 @@ from pathlib import Path
 
 # --- shared building blocks -------------------------------------------------
 _NAME_CHARS = r"[^\s,:;.!?\"“”()\[\]{}]+"
+# Titles, short forms of bodies and of places, which take a period inside a name.
+_TITLES = ("dr mr mrs ms mx st mt ft jr sr rep sen gov rev msgr prof gen col capt maj adm sgt pvt lt hon fr br bro sis dcn rab dem smt"
+           " univ inst dept assn theol sem coll natl intl bros corp inc ltd co ph.d")
+_PLACES = "Ala Ariz Ark Calif Colo Conn Del Fla Ga Ill Ind Kan Ky La Mass Md Mich Minn Miss Mo Mont Neb Nev Okla Ore Pa Tenn Tex Va Vt Wash Wis Wyo"
 _ABBREV = (
-    r"(?:Dr|Mr|Mrs|Ms|St|Mt|Ft|Jr|Sr|Rep|Sen|Gov|Rev|Msgr|Prof|Gen|Col|Lt|Hon"
-    r"|Univ|Inst|Dept|Assn|Ph\.D)\.|(?:[A-Z]\.){1,8}"
+    rf"(?:(?i:{'|'.join(t.replace('.', '[.]') for t in _TITLES.split())})|{'|'.join(_PLACES.split())})\.|(?:[A-ZÀ-ÖØ-ÞĀ-Ž]\.){{1,8}}|(?:[a-z]\.){{2,8}}"
 )
-NAME = rf"(?:{_NAME_CHARS}(?:[.!?:]{_NAME_CHARS})*|{_ABBREV})"
-"""One name token: punctuation may sit inside it but does not end it."""
+_ASIDE = r"\([\w.'’&-]+(?:\s[\w.'’&-]+){0,3}\)(?:['’]s)?"
+NAME = rf"(?:{_NAME_CHARS}(?:[.!?:]{_NAME_CHARS})*|{_ABBREV}|{_ASIDE})"
+"""One name token: punctuation may sit inside it but does not end it; a short aside in parentheses is one, too."""
 
 
 def slot(most: int, least: int = 0) -> str:
@@ -27,10 +31,16 @@ def slot(most: int, least: int = 0) -> str:
     return rf"(?:{NAME}\s+){{{least},{most}}}"
 
 
+def listing(most: int, least: int = 0) -> str:
+    """A slot whose capitalized words may be listed with commas."""
+    return rf"(?:(?:{NAME}|[A-Z][\w'’-]*,)\s+){{{least},{most}}}"
+
+
 SLOT = slot(16)
 GAP = slot(16)
 MODIFIERS = slot(8)
-SENTENCE_TEXT = r"[^.!?]*?(?:[.!?][^\s.!?][^.!?]*?){0,200}?"
+_LEAD_TITLES = r"\b(?i:dr|mr|mrs|ms|rep|sen|gov|rev|msgr|prof|gen|col|capt|lt|hon|bro|sis|dcn|rab|dem)"
+SENTENCE_TEXT = rf"(?:[^.!?]|[.!?][^\s.!?]|{_LEAD_TITLES}\.\s){{0,1000}}?"
 NOT_AFTER_WORD = r"(?<!\w\s)"
 """A capitalized trigger right after another word is the end of a name."""
 FROM_200 = r"(?<=.{200})"
@@ -148,10 +158,16 @@ _GROUP_VERB = (
 
 
 _VOUCHES = r"(?i:says|insists|knows|warns|agrees|argues|believes|confirms|explains|maintains)"
+# Words that label people when they stand in a frame for labels.
+_LABELS = (
+    r"(?i:bosses|queens|hustlers|mongers|radicals|bots|heretics|yuppies|punks|goons|thugs|slickers|fogeys|harpies|censors|trolls|nuts|jackboots"
+    r"|puppets|parrots|sellouts|busybodies|[\w]+-maskers|elitists|sheep|bullies)"
+)
+_STANDING = r"(?:renowned|respected|distinguished|eminent|tenured|ordained|licensed|acclaimed|leading|registered|chartered|celebrated|award-winning)"
 # What one force is said to ruin: a whole, anything of ours, an -ism, a name, or a plural that ends the clause.
 _RUINED = (
-    r"(?:(?i:this\s+country|the\s+(?:planet|economy|country|nation|middle\s+class|free\s+market|welfare\s+state|system)"
-    r"|our\s+[\w'’-]+|[\w-]+ism)\b|(?:(?i:the)\s+)?(?:[\w'’-]+\s+)?[\w'’-]+s[.,;!?])"
+    rf"(?:(?i:this|these|the|our|your|their|all|every)\s+{slot(4)}[\w'’-]+|(?i:[\w-]+ism|(?:equality|freedom|liberty|democracy|justice|marriage|education|security|trust)\b)"
+    rf"|\d[\w'’-]*\s+{slot(4)}[\w'’-]+|[A-Z][\w'’-]*|[a-z]+[A-Z]\w*|(?:[\w'’-]+\s+){{0,2}}(?:[\w'’-]+s|security|family|clergy)[.,;!?])"
 )
 
 
@@ -171,13 +187,25 @@ def build_rules() -> list[dict]:
             rf"{NOT_AFTER_WORD}\b(?:Studies|STUDIES|Research|RESEARCH|Science|Data|Evidence|Scripture|Tradition|Doctrine)\s+(?i:show|shows|prove|proves|suggest|suggests|tell|tells|teaches|have\s+shown|has\s+shown|confirm|confirms)\b",
             r"\b(?:studies|research|science|data|evidence|scripture|tradition|wisdom|doctrine)\s+(?i:show|shows|prove|proves|suggest|suggests|tell|tells|teaches|have\s+shown|has\s+shown|confirm|confirms)\b",
             r"\b(?i:experts)\s+(?i:say|agree|believe|warn|recommend)\b",
-            rf"\b(?:a\s+study|studies|research|experts)\s+(?i:by|from|at)\s+{slot(16, 1)}(?i:shows|show|says|say|found|finds|suggests|suggest)\b",
+            rf"\b(?i:an?\s+(?:study|report|survey)|studies|research|experts)\s+(?i:by|from|at)\s+{listing(16, 1)}(?i:shows|show|says|say|found|finds|suggests|suggest)\b",
+            r"\b(?i:an?\s+(?:study|survey)\s+(?:shows|finds|found|proves|suggests|confirms))\b",
         ], case=True, cited=True, severity="high"),
         _rule("DISSENT_DISMISSAL", 1, "general", [
-            r"\b(?i:misinformation|disinformation|fake\s+news|conspiracy\s+theorists?|sheeple|alarmists?|deniers?|debunked|hoax|cranks?|shills?|truthers?|deplorables|doomers|naysayers?|crackpots?|quacks?|doomsayers?|fearmongers?|scaremongers?|lackeys|stooges?|conspiracy\s+theory)\b",
-            rf"\b(?i:only\s+an?)\s+{slot(4, 1)}(?i:would\s+(?:say|think|believe|claim))\b",
-            rf"\bTypical\s+{_NAME_CHARS}!",
-            rf"\b(?i:ignore)\s+(?i:the|those|these)\s+{slot(3)}{_NAME_CHARS}s[.!]",
+            r"\b(?i:(?:is|are|was|were|spread|spreads|spreading|peddl(?:e|es|ing)|pushing|just|pure|your|their)\s+(?:misinformation|disinformation|propaganda|talking\s+points))\b",
+            r"\b(?i:propagandists?|big\s+lie|ideologues?|fanatics?|zealots?|extremists?|heretics?|bootlickers?|agitators?|freeloaders?|moochers?|useful\s+idiots?|pearl-clutchers?|killjoys?|(?:trans|homo)phobes?|[\w]+-(?:thumpers?|haters?|botherers?|bashers?)|book[\s-](?:banners?|burners?)|(?:woke|angry|online)\s+mob)\b",
+            rf"\b(?i:(?:they(?:'|’)re|they\s+are)\s+(?:just|all|only|nothing\s+but)|an?\s+(?:bunch|gang|pack)\s+of|those|these)\s+{slot(2)}{_LABELS}\b",
+            rf"\b(?i:(?:is|was)\s+an?)\s+(?i:radical|bot|troll|goon|crank)[.!,;]",
+            r"\b(?i:(?:mob|crowd|trolls|propagandists)\s+(?:is|are|were|won)\s+(?:(?:at\s+it|out)\s+)?again)\b",
+            rf"\b(?i:of\s+course)\s+(?:(?i:they|he|she)|(?i:the|those|these|our|your)\s+{slot(5)}{NAME})\s+(?i:would\s+(?:say|claim)\s+(?:that|this|so)[.!,;]|wants?\s+you\s+to\s+(?:think|believe))",
+            rf"\b(?i:what)\s+(?:(?i:they|he|she)|(?i:the|those|these)\s+{slot(5)}{NAME})\s+(?i:wants?\s+you\s+to\s+(?:think|believe))[.!,;]",
+            rf"\b(?i:no\s+(?:serious|real|true|honest))\s+{slot(2, 1)}(?i:believes?|thinks?|accepts?|doubts?)\b",
+            rf"\b(?i:only)\s+{slot(3)}{_NAME_CHARS}s\s+(?i:would\s+(?:say|claim|buy))\b",
+            r"\b(?i:(?:do\s+not|don(?:'|’)?t|never)\s+listen\s+to|pay\s+no\s+(?:mind|heed|attention)\s+to)\s+(?i:the|those|these)\b",
+            r"\b(?i:fake\s+news|conspiracy\s+theorists?|sheeple|alarmists?|deniers?|debunked|hoax|cranks?|shills?|truthers?|deplorables|doomers|naysayers?|crackpots?|quacks?|doomsayers?|fearmongers?|scaremongers?|lackeys|stooges?|conspiracy\s+theory)\b",
+            rf"\b(?i:only\s+an?)\s+{slot(4, 1)}(?i:would\s+(?:say|buy|claim))\b",
+            rf"\bTypical\s+{slot(5)}{_NAME_CHARS}!",
+            rf"\b(?i:ignore)\s+(?i:the|those|these)\s+(?:{slot(3, 1)}{_NAME_CHARS}s|noise|crowd|mob|critics|skeptics|experts)[.!]",
+            rf"\b(?i:ignore)\s+(?i:the)\s+(?:[A-Z][\w'’-]*\s+)(?:(?:[A-Z][\w'’-]*|for|of|and|the)\s+){{0,10}}[A-Z][\w'’-]*[.!]",
             r"\b(?i:so-called)\s+(?i:experts?|critics?|skeptics?|scholars?)\b",
         ], case=True, severity="high", principle="Justice"),
         _rule("FALSE_BINARY", 2, "general", [
@@ -187,11 +215,14 @@ def build_rules() -> list[dict]:
         ], case=True),
         _rule("FEAR_URGENCY", 2, "general", [
             r"\b(?i:act\s+now|now\s+or\s+never|before\s+it(?:'|’)?s\s+too\s+late|running\s+out\s+of\s+time)\b",
-            r"\b(?i:catastroph(?:e|ic)|existential\s+threat|irreversible\s+(?:harm|damage)|point\s+of\s+no\s+return)\b",
+            r"\b(?i:must\s+be\s+stopped\s+(?:now|today|at\s+once))\b",
+            r"\b(?:catastroph(?:e|ic)|CATASTROPHE|Catastrophic)\b",
+            r"\b(?i:existential\s+threat|irreversible\s+(?:harm|damage)|point\s+of\s+no\s+return)\b",
             rf"\b(?:this\s+is|facing|is)\s+(?:an?|the)\s+{slot(3)}(?:invasion|INVASION|coup|genocide)[.,!]",
         ], case=True, severity="high", principle="Agency"),
         _rule("SHAME_LEVER", 2, "general", [
             r"\b(?i:any|every)\s+(?i:reasonable|sensible|thinking|decent)\s+(?:[\w'’-]+\s+){0,2}(?i:person|citizen|adult|man|woman|human|voter|reader|parent|worker|observer|neighbor|taxpayer|viewer|mind)\s+(?i:can|could|would|knows|sees|understands)\b",
+            r"\b(?i:any|every)\s+(?i:reasonable|sensible|thinking|decent)\s+(?:[A-Z][\w'’-]*\s+){1,3}(?i:can|could|would|knows|sees|understands)\b",
             r"\b(?i:only\s+a\s+fool|(?:should|ought\s+to)\s+be\s+ashamed|shame\s+on|how\s+dare\s+(?:you|they|he|she))\b",
             r"\bhistory\s+(?i:will|shall)\s+(?i:judge|remember|condemn)\b",
             rf"{NOT_AFTER_WORD}\bHistory\s+(?i:will|shall)\s+(?i:judge|remember|condemn)\b",
@@ -200,19 +231,25 @@ def build_rules() -> list[dict]:
         _rule("EMOTIONAL_SUBSTITUTION", 2, "general", [
             r"\b(?:heart-?breaking|heart-?wrenching|gut-?wrenching)\b",
             r"\bthink\s+of\s+the\s+(?:children|babies|kids|unborn|families)\b",
-            r"\bno\s+(?:decent|moral|caring|feeling)\s+(?:[\w'’-]+\s+){1,3}(?:could|would|can)\b",
+            r"\bno\s+(?:decent|moral|caring|feeling)\s+[\w'’-]+\s+(?:(?:being|person|soul|citizen)\s+)?(?:could|would|can)\b",
         ], principle="Clarity"),
         _rule("CREDENTIAL_AS_PREMISE", 3, "general", [
             rf"\b[\w.'’-]+-(?i:educated|trained|schooled|taught|winning)\s+{slot(16, 1)}{_VOUCHES}\b",
-            rf"\b(?i:(?:an?|the)\s+(?:renowned|respected|distinguished|eminent|tenured|ordained|licensed|acclaimed|leading|registered|chartered|celebrated))\s+{slot(16, 1)}{_VOUCHES}\b",
+            rf"\b(?:[Aa]n?|[Tt]he)\s+{_STANDING}\s+{slot(16, 1)}{_VOUCHES}\b",
+            rf"{NOT_AFTER_WORD}\b(?:Renowned|Respected|Distinguished|Eminent|Acclaimed|Celebrated)\s+[a-z][\w'’-]*\s+{listing(16)}(?:{_VOUCHES}|(?i:say|insist|agree))\b",
+            rf"{NOT_AFTER_WORD}\bAward-winning\s+{listing(16, 1)}{_VOUCHES}\b",
+            rf"\b(?i:an?)\s+{slot(6, 1)}(?i:educated|trained|schooled)\s+{slot(6, 1)}{_VOUCHES}\b",
             rf"\b[A-Z][\w'’-]*\s+(?:winner|recipient|laureate|Laureate|Fellow|Scholar)\s+{SLOT}{_VOUCHES}\b",
-            rf"\b(?i:as\s+an?)\s+{slot(15)}{NAME},\s+(?i:i\s+(?:know|can\s+tell\s+you|can\s+assure\s+you))\b",
+            rf"\b(?i:an?)\s+{slot(6, 1)}(?i:winner|recipient|laureate)\s+{SLOT}{_VOUCHES}\b",
+            rf"\b(?i:as\s+an?)\s+{listing(15)}{NAME},\s+(?i:i\s+(?:know|can\s+tell\s+you|can\s+assure\s+you)|(?:he|she|they|xe|ze)\s+knows?)\b",
+            rf"\b(?i:as\s+an?\s+(?:leading|renowned|respected|eminent))\s+{slot(15)}{NAME},\s+{slot(8, 1)}(?i:opinion|word|view|judgment|verdict)\s+(?i:should|must|settles?)\b",
             r"\b(?i:with)\s+(?i:over\s+|more\s+than\s+)?[\w-]+\s+(?i:years\s+of\s+(?:experience|practice|service)),\s+(?i:i)\b",
             r"\b(?i:my\s+credentials\s+speak\s+for\s+themselves)\b",
         ], case=True),
         _rule("INSTITUTIONAL_POSITION_AS_SETTLED", 3, "general", [
             rf"\b(?i:the)\s+{slot(16, 1)}(?i:has|have)\s+(?i:concluded|confirmed|determined|established|found|made\s+clear)\s+(?i:that)\b",
             rf"\b[A-Z][\w.'’-]*\s+{SLOT}(?:has|have)\s+(?:concluded|confirmed|determined|established|found|made\s+clear)\s+that\b",
+            rf"\b[\w.'’&-]+\s+(?:has|have)\s+(?:concluded|confirmed|determined|established)\s+that\b",
         ], case=True, cited=True),
         _rule("NEUTRALITY_CLAIM", 3, "general", [
             rf"\bas\s+an?\s+{_INDEPENDENT}\s+(?:[\w'’-]+\s+){{0,4}}[\w'’-]+,",
@@ -228,7 +265,7 @@ def build_rules() -> list[dict]:
             r"\bstakeholder\s+(?:engagement|alignment)\s+process(?:es)?\b",
         ], severity="low", principle="Clarity"),
         _rule("INEVITABILITY_FRAME", 1, "general", [
-            rf"{NOT_AFTER_WORD}\b(?i:history|progress|time|tradition|the\s+future)\s+(?i:will\s+(?:show|prove)|has\s+(?:shown|proved|proven))\b",
+            rf"{NOT_AFTER_WORD}\b(?i:history|progress|time|tradition|the\s+future)\s+(?i:will\s+(?:show|prove|vindicate)|has\s+(?:shown|proved|proven)|is\s+on\s+our\s+side)\b",
             r"\b(?i:inevitable\s+(?:march|rise|decline|outcome|result))\b",
             r"\b(?i:(?:it\s+is|is)\s+only\s+a\s+matter\s+of\s+time)\b",
         ], case=True),
@@ -245,21 +282,27 @@ def build_rules() -> list[dict]:
         _rule("MORAL_HIGH_GROUND", 2, "general", [
             r"\b(?:right|wrong|Right|Wrong|RIGHT|WRONG)\s+(?:side\s+of\s+history|SIDE\s+OF\s+HISTORY)\b",
             r"\b(?i:any|every|no)\s+(?i:decent|moral|good)\s+(?:[\w'’-]+\s+){1,3}(?i:would|could)\s+(?i:see|recognize|understand|support|deny)\b",
+            r"\b(?i:any|every|no)\s+(?i:decent|moral|good|reasonable)\s+(?:[A-Z][\w'’-]*\s+){1,3}(?i:would|could)\s+(?i:see|agree|recognize|understand|support|deny)\b",
             r"\b(?i:basic\s+human\s+decency|moral\s+(?:duty|obligation|imperative))\b",
         ], case=True, principle="Justice"),
         _rule("SOFT_CONSENSUS", 1, "general", [
             r"\b(?i:(?:growing|emerging)\s+(?:body\s+of\s+(?:evidence|opinion|research)|consensus|agreement|recognition|number\s+of\s+(?:experts|scholars|studies|voices)))\b",
             rf"\b(?i:more\s+and\s+more)\s+{slot(16, 1)}(?i:agree|accept|believe|say|see)\b",
-            rf"\b(?i:the\s+vast\s+majority\s+of)\s+{slot(16, 1)}(?i:agree|support|believe|say)\b",
+            rf"\b(?i:the\s+(?:vast|overwhelming|great)\s+majority\s+of)\s+{listing(16, 1)}(?i:agree|support|believe|say)\b",
             r"\b(?i:it\s+is\s+(?:widely|generally|broadly|increasingly)\s+(?:accepted|acknowledged|agreed|believed|known|recognized|understood))\b",
         ], case=True, cited=True, severity="low"),
         _rule("COMPETENCE_DISMISSAL", 2, "general", [
             rf"\b(?i:simply\s+(?:don(?:'|’)?t|do\s+not|cannot|can(?:'|’)?t)\s+(?:understand|grasp|comprehend))\s+(?i:the)\s+{SLOT}(?i:complexity|complexities|nuance|nuances|issue|economics)\b",
-            rf"\b(?i:who)\s+{slot(16, 1)}(?i:fail\s+to\s+(?:grasp|understand|appreciate))\b",
+            rf"\b(?i:who)\s+{listing(16, 1)}(?i:fail\s+to\s+(?:grasp|understand|appreciate))\b",
+            rf"\b(?i:opposes?|questions?|rejects?|criticizes?)\s+{slot(8, 1)}(?i:(?:but|and|yet)\s+(?:fails?\s+to\s+(?:grasp|understand|appreciate)|misunderstands?))\b",
             r"\b(?i:lack\s+the\s+(?:expertise|wisdom|training|faith|knowledge|experience)\s+to)\b",
         ], case=True, principle="Justice"),
         _rule("VAGUE_INSTITUTIONAL_APPEAL", 3, "general", [
-            rf"\b(?:leading|top|key|major|prominent|influential|respected|Leading|Key|Major|Prominent)\s+{MODIFIERS}{_NAME_CHARS}s\s+(?i:advise|agree|back|believe|caution|endorse|favor|oppose|recommend|say|support|urge|warn)\b",
+            rf"\b(?:leading|top|key|major|prominent|influential|respected)\s+{MODIFIERS}{NAME}\s+(?i:advise|agree|back|believe|caution|endorse|favor|oppose|recommend|say|support|urge|warn)\b",
+            rf"\b(?:[Rr]esponsible)\s+{slot(1)}{NAME}\s+(?i:agree|caution|recommend|urge|warn)\b",
+            rf"{NOT_AFTER_WORD}\b(?:Key|Major)\s+[a-z][\w'’-]*\s+(?i:advise|caution|endorse|oppose|recommend|support|urge|warn)\b",
+            rf"{NOT_AFTER_WORD}\b(?:Leading|Prominent|Influential)\s+{MODIFIERS}{NAME}\s+(?i:advise|agree|back|believe|caution|endorse|favor|oppose|recommend|say|support|urge|warn)\b",
+            rf"{NOT_AFTER_WORD}\b(?:oil\s+|gas\s+|tech\s+|[\w-]{{4,30}}\s+)?(?i:leaders|groups|unions|companies|organizations|associations)\s+(?:warn|warned|caution|cautioned)\s+that\b",
             rf"\b[\w+#-]+\s+(?:leaders|groups|unions|companies|organizations|associations)\s+(?:have|has)\s+(?:long\s+|repeatedly\s+)?(?:backed|called\s+for|cautioned|endorsed|opposed|recommended|supported|urged|warned)\b",
             r"\b(?i:industry\s+(?:standards|best\s+practices)\s+(?:require|dictate|demand))\b",
         ], case=True, severity="low"),
@@ -275,12 +318,14 @@ def build_rules() -> list[dict]:
         _rule("CAUSAL_TOTALIZATION", 1, "general", [
             rf"\b(?i:is|are|was|were|be)\s+(?i:ruining|destroying|wrecking|killing|poisoning|gutting)\s+{_RUINED}",
             rf"\b(?i:has|have|will|would)\s+(?i:ruin|ruined|destroy|destroyed|wreck|wrecked|killed|poison|poisoned|gut|gutted)\s+{_RUINED}",
-            r"\b(?i:(?:is|are)\s+the\s+(?:root\s+)?cause\s+of\s+all)\b",
+            r"\b(?i:destroyed|ruined|wrecked|gutted)\s+(?:(?i:our)\s+[\w'’-]+|(?i:the)\s+(?:[\w'’-]+\s+)?(?i:class|poor|rich|country|nation|economy|[\w'’-]+s)\b|[a-z][\w'’-]*\s+[\w'’-]+s[.,;!?])",
+            r"\b(?i:(?:is|are)\s+the\s+(?:root\s+)?cause\s+of\s+(?:all|every))\b",
             r"\b(?i:to\s+blame\s+for\s+everything)\b",
         ], case=True, severity="high"),
         _rule("MONOCAUSAL_BLAME", 1, "general", [
             rf"\b(?i:because\s+of)\s+{slot(16, 1)}(?i:everything|nothing)\b",
-            rf"\b(?i:it(?:'|’)?s\s+all)\s+{SLOT}{NAME}(?:'|’)s?\s+(?i:fault)\b",
+            rf"\b(?i:it(?:'|’)?s\s+all)\s+{listing(16)}(?:{NAME}(?:'|’)s?|{_ASIDE})\s+(?i:fault)\b",
+            rf"\b(?i:it(?:'|’)?s\s+all)\s+(?i:the)\s+{listing(16, 1)}{NAME}\s+{NAME}(?:'|’)s?\s+(?i:fault)\b",
             r"\b(?i:the\s+(?:only|sole|single)\s+(?:reason|cause|explanation))\b",
         ], case=True),
         _rule("TOTALIZING_HARM_LANGUAGE", 2, "general", [
@@ -306,6 +351,7 @@ def build_rules() -> list[dict]:
             r"\bsanctions\s+(?:are|is|may\s+be|would\s+be)\s+(?:warranted|appropriate|justified)\b",
             r"\bwarrant(?:s|ing)?\s+sanctions\b",
             r"\b(?:seek|move\s+for|request)\s+sanctions\b",
+            r"\b(?:authority|power|discretion)\s+to\s+sanction\b",
         ], severity="high", principle="Agency"),
         _rule("LEGAL_PROCEDURAL_GATEKEEPING", 3, "legal", [
             r"\bfail(?:s|ed)\s+to\s+(?:preserve|exhaust|raise|plead)\s+(?:the\s+|its\s+|their\s+)?[\w-]+\b",
@@ -323,7 +369,7 @@ def build_rules() -> list[dict]:
             r"\b(?:unnamed|anonymous|unidentified)\s+[\w'’-]+\b",
             r"\bsources\s+close\s+to\b",
             r"\bpeople\s+familiar\s+with\s+the\s+(?:matter|situation|plans)\b",
-            r"\b(?:critics|opponents|foes|supporters|proponents|backers|fans|advocates|insiders|observers|loyalists|dissidents|activists|lobbyists|allies|members|staffers|employees|managers|alumni|worshippers)\s+(?:say|said|claim|argue|argued|believe|complain|fear|suggest|warn|warned)\b",
+            r"\b(?:critics|skeptics|opponents|believers|congregants|foes|supporters|proponents|backers|fans|advocates|insiders|observers|loyalists|dissidents|activists|lobbyists|allies|members|staffers|employees|managers|alumni|worshippers)\s+(?:say|said|claim|argue|argued|believe|complain|fear|suggest|warn|warned)\b",
         ], cited=True),
         _rule("MEDIA_WEASEL_QUANTIFIERS", 1, "media", [
             rf"\b(?i:many|some|several)\s+{slot(16, 1)}(?i:say|believe|agree|think|argue)\b",
@@ -332,13 +378,13 @@ def build_rules() -> list[dict]:
             r"\bsome\s+(?:people\s+)?(?:say|argue|believe|claim)\s+(?:[^\s.!?;]+\s+){1,16}(?:but|while)\s+(?:most|the|many)\s+(?:[^\s.!?;]+\s+){0,16}(?:disagree|disagrees|reject|dispute)\b",
         ]),
         _rule("MEDIA_EMOTIONAL_LEAD", 2, "media", [
-            rf"\A{SENTENCE_TEXT}\b(?i:shocking|horrifying|outrageous|devastating|scathing|chilling|explosive|appalling|bombshell|disturbing|harrowing|jaw-dropping|stunning|terrifying|tragic)\b",
+            rf"\A{SENTENCE_TEXT}\b(?i:shocking|horrifying|outrageous|devastating|scathing|chilling|explosive|appalling|bombshell|disturbing|fierce|harrowing|jaw-dropping|stunning|terrifying|tragic)\b",
         ], case=True, principle="Clarity"),
         _rule("MEDIA_BURIED_QUALIFIER", 3, "media", [
             rf"{FROM_200}\b(?:however|but|though)\b.{{0,150}}?\b(?:could\s+not\s+be\s+(?:confirmed|verified)|no\s+evidence\s+was\s+found|was\s+later\s+(?:corrected|retracted))",
         ]),
         _rule("MEDIA_SELECTIVE_QUOTATION", 2, "media", [
-            r"(?:\bso-called\s+|\b(?:the|their|its|his|her)\s+)[\"“][#@]?\w(?:[\w'’.&/ -]{0,38}\w)?\.?[\"”]",
+            r"(?:\bso-called\s+|\b(?:the|their|its|his|her|of|called)\s+)[\"“][#@]?\w(?:[\w'’.&/ -]{0,38}\w)?\.?[\"”]",
         ], least=2),
         _rule("MEDIA_ASYMMETRIC_ATTRIBUTION", 2, "media", [
             r"\b(?:claimed|insisted|alleged|admitted|conceded)\b",
@@ -377,7 +423,7 @@ def build_pack() -> dict:
     """The whole pack as one JSON-ready object."""
     return {
         "schema_version": "1",
-        "rules_version": "1.0.0",
+        "rules_version": "1.1.0",
         "tiers": TIERS,
         "citation_suppression": {
             "window": CITATION_WINDOW,
