@@ -427,6 +427,10 @@ sent as materialized (select doc_id, cast(row_number() over w as int) as n, s, c
 ORACLE["sentences"] = f"""with {PLANTED}, {sentence_ctes("planted")}
 select doc_id, n as sentence_no, s as "start", e as "end", substring(text, s + 1, e - s) as sentence from sent"""
 
+ORACLE["move_sentences"] = ALL + f""", {sentence_ctes("planted")}
+select m.doc_id, move_no, rule_id, "start", "end", sent.n as sentence_no, sent.n = 1 as first_sentence
+from moves m join sent on sent.doc_id = m.doc_id and sent.s <= "start" and "start" < sent.e"""
+
 _SIZE = [f"length({phrase(place)})" for place in range(3)]
 _BODY = f"(length(p.text) - {_SIZE[0]} - {_SIZE[1]} - {_SIZE[2]} - 4)"
 _START = ["0", f"{_SIZE[0]} + 3 + {_BODY}", f"{_SIZE[0]} + 4 + {_BODY} + {_SIZE[1]}"]

@@ -181,6 +181,34 @@ PHRASES: list[tuple[str, tuple[str, ...]]] = [
     ("The crew has found the anchor.", ()),
     ("The council has found a buyer for the crane.", ()),
     ("The old sign read \"no boats past the second bell\" in red.", ()),
+    ("Of course the ferry office would say that.", ("DISSENT_DISMISSAL",)),
+    ("They're just dockside goons.", ("DISSENT_DISMISSAL",)),
+    ("Those rope bullies took the mooring.", ("DISSENT_DISMISSAL",)),
+    ("No serious lock keeper believes it.", ("DISSENT_DISMISSAL",)),
+    ("That is what the toll office wants you to believe.", ("DISSENT_DISMISSAL",)),
+    ("As a lamplighter, she knows the wick is dry.", ("CREDENTIAL_AS_PREMISE",)),
+    ("A night school educated rigger says the knot holds.", ("CREDENTIAL_AS_PREMISE",)),
+    ("A silver anchor recipient warns against the tide.", ("CREDENTIAL_AS_PREMISE",)),
+    ("An eminent member of Pilots, Wrights and Friends of Ostmere says the keel is sound.", ("CREDENTIAL_AS_PREMISE",)),
+    ("Weir watch has concluded that the toll is fair.", ("INSTITUTIONAL_POSITION_AS_SETTLED",)),
+    ("Tradition is on our side in the tide dispute.", ("INEVITABILITY_FRAME",)),
+    ("Any reasonable Ostmerian would agree that the quay leaks.", ("SHAME_LEVER", "MORAL_HIGH_GROUND")),
+    ("A survey shows the weir is sound.", ("CLAIM_WITHOUT_CITATION",)),
+    ("The storm destroyed the poor of the quay.", ("CAUSAL_TOTALIZATION",)),
+    ("The new toll is the root cause of every quarrel.", ("CAUSAL_TOTALIZATION",)),
+    ("Lock keepers oppose the gate but fail to grasp it.", ("COMPETENCE_DISMISSAL",)),
+    ("The great majority of riggers agree on the buoy.", ("SOFT_CONSENSUS",)),
+    ("Lamp companies warned that the pier is weak.", ("VAGUE_INSTITUTIONAL_APPEAL",)),
+    ("The council has the authority to sanction the crew.", ("LEGAL_SANCTIONS_THREAT",)),
+    ("This dredging must be stopped now.", ("FEAR_URGENCY",)),
+    ("Pay no heed to the lamp critics.", ("DISSENT_DISMISSAL",)),
+    ("A flash crowd danced on the quay.", ()),
+    ("The storm destroyed the barn.", ()),
+    ("He is a radical thinker of the harbor.", ()),
+    ("The course covers misinformation at sea.", ()),
+    ("Any reasonable jury would weigh the rope.", ()),
+    ("The rope is wet. It's all Gov. Marl's fault.", ("MONOCAUSAL_BLAME",)),
+    ("On the quay all Ostmere (east) pilots agree on the bell.", ("CONSENSUS_AS_EVIDENCE",)),
 ]
 
 

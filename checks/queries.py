@@ -517,6 +517,11 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def move_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return present.move_sentences(plan.with_moves(planted_documents(spark, sf), PACK, "all"), KEY)
+
+
 def _labelled(span: Column):
     return lambda technique: F.struct(technique.alias("technique"), span["start"].alias("start"), span["end"].alias("end"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swayscan.functions.sentences import sentence_no, sentence_starts
 from swayscan.functions.spans import collect_fold
 
 _CLUSTER = "struct<start:int,end:int,tier:int,first:int,members:int>"
@@ -118,6 +119,18 @@ def move_labels(scanned: DataFrame, keys: list[str], catalog: DataFrame, tiers:
     return named.select(*keys, "move_no", "rule_id", "short", line.alias("line"))
 
 
+def move_sentences(scanned: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Moves of scanned texts with the number of their sentence, from 1, and whether it is the text's first.
+
+    A move lies in the sentence where it begins. Sentences are cut by ``sentence_starts``.
+    """
+    starts = sentence_starts(F.col(text))
+    rows = scanned.select(*keys, starts.alias("_starts"), F.posexplode_outer("moves").alias("at", "move")).where("at is not null")
+    number = sentence_no(F.col("_starts"), F.col("move.start"))
+    return rows.select(*keys, (F.col("at") + 1).alias("move_no"), "move.rule_id", "move.start", "move.end",
+                       number.alias("sentence_no"), (number == 1).alias("first_sentence"))
+
+
 def missed_spans(scanned: DataFrame, keys: list[str], quote: str, text: str = "text") -> DataFrame:
     """For a quoted phrase per text: is it there, and does no move touch it?"""
     at = F.instr(F.col(text), F.col(quote)) - 1

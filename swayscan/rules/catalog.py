@@ -235,7 +235,7 @@ def build_rules() -> list[dict]:
         ], principle="Clarity"),
         _rule("CREDENTIAL_AS_PREMISE", 3, "general", [
             rf"\b[\w.'’-]+-(?i:educated|trained|schooled|taught|winning)\s+{slot(16, 1)}{_VOUCHES}\b",
-            rf"\b(?:[Aa]n?|[Tt]he)\s+{_STANDING}\s+{slot(16, 1)}{_VOUCHES}\b",
+            rf"\b(?:[Aa]n?|[Tt]he)\s+{_STANDING}\s+{listing(16, 1)}{_VOUCHES}\b",
             rf"{NOT_AFTER_WORD}\b(?:Renowned|Respected|Distinguished|Eminent|Acclaimed|Celebrated)\s+[a-z][\w'’-]*\s+{listing(16)}(?:{_VOUCHES}|(?i:say|insist|agree))\b",
             rf"{NOT_AFTER_WORD}\bAward-winning\s+{listing(16, 1)}{_VOUCHES}\b",
             rf"\b(?i:an?)\s+{slot(6, 1)}(?i:educated|trained|schooled)\s+{slot(6, 1)}{_VOUCHES}\b",
