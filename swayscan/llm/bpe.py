@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from swayscan.llm.tables import keep_only
 
 ROWS = 1000  # documents of a result batch
-KEPT = 200_000  # words and chunks that a worker remembers since it last set the older ones aside
+KEPT = 100_000  # words and chunks that a worker remembers since it last set the older ones aside
 PAIRS = 20_000  # tokens whose tests a worker remembers
 LONGEST = 64  # characters of the longest chunk or word that is remembered
 _NOT_SPLIT = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the pattern does not

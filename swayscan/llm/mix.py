@@ -50,17 +50,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     dimension sum to 1; a value without a target keeps weight 0, cells without tokens get factor 1.
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
-    fitted = written(cells.withColumn("weight", F.col("tokens") / F.lit(total)))
+    fitted = cells.withColumn("weight", F.col("tokens") / F.lit(total))
+    for dimension, target in targets.items():  # once, so that a sweep joins nothing but its sums
+        fitted = fitted.join(target.withColumnRenamed("target", f"{dimension}_target"), dimension, "left")
+    fitted = written(fitted)
     for _ in range(sweeps):
-        for dimension, target in targets.items():
+        for dimension in targets:
             sums = fitted.groupBy(dimension).agg(F.sum("weight").alias("now"))
-            scale = sums.join(target, dimension, "left").select(
-                dimension, F.expr("if(now > 0, coalesce(target, 0D) / now, 0D)").alias("scale")
-            )
-            fitted = fitted.join(scale, dimension).withColumn("weight", F.expr("weight * scale")).drop("scale")
+            scale = F.when(F.col("now") > 0, F.coalesce(f"{dimension}_target", F.lit(0.0)) / F.col("now")).otherwise(0.0)
+            fitted = fitted.join(sums, dimension).withColumn("weight", F.col("weight") * scale).drop("now")
         fitted = written(fitted)
     natural = F.col("tokens") / F.lit(total)
-    return fitted.withColumn("factor", F.when(natural > 0, F.col("weight") / natural).otherwise(1.0)).drop("weight")
+    factor = F.when(natural > 0, F.col("weight") / natural).otherwise(1.0)
+    return fitted.withColumn("factor", factor).drop("weight", *(f"{d}_target" for d in targets))
 
 
 def calibrated(
