@@ -191,5 +191,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose text is in a learned language, that is, not ``und``. Texts however odd stay."""
-    known = predictor(docs.sparkSession, model)(text_col)
-    return docs.withColumn("_found", known).filter(f"_found.lang_pred <> '{UNKNOWN}'").drop("_found")
+    return docs.filter(predictor(docs.sparkSession, model)(text_col)["lang_pred"] != UNKNOWN)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from swayscan.llm.tables import written
 
 ROWS = 1000  # training documents of each label, at most
+ALIKE = 0.8  # share of common runs of words from which a training text is a near copy
 PREFIXES = range(2, 9)
 STEPS = 40  # of the fit
 SEQUENCE = 256  # tokens of a training sequence; longer texts give several
@@ -99,16 +100,24 @@ def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _distinct(texts: list[str]) -> list[str]:
-    """Texts without near copies, so that a large group of copies counts once: no shared least shingle hash."""
-    kept, seen = [], set()
+    """Texts without near copies of earlier ones, so that a large group of copies counts once.
+
+    A near copy shares ALIKE of the two texts' runs of four words. Texts with a least hash in common are compared by
+    all their runs; texts that merely share a passage are all kept.
+    """
+    kept: list[tuple[str, set[str]]] = []
+    met: dict[tuple[int, int], list[int]] = {}
     for text in texts:
         words = _WORD.findall(text.lower())
-        parts = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-        least = {(seed, min(xxhash.xxh64_intdigest(p, seed) for p in parts)) for seed in range(4)}
-        if not least & seen:
-            kept.append(text)
-        seen |= least
-    return kept
+        parts = {" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))}
+        least = [(seed, min(xxhash.xxh64_intdigest(p, seed) for p in parts)) for seed in range(4)]
+        near = {i for key in least for i in met.get(key, ())}
+        if any(len(parts & kept[i][1]) >= ALIKE * len(parts | kept[i][1]) for i in near):
+            continue
+        for key in least:
+            met.setdefault(key, []).append(len(kept))
+        kept.append((text, parts))
+    return [text for text, _ in kept]
 
 
 def telling_features(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:

@@ -374,3 +374,13 @@ def test_mix_of_odd_rows(spark):
     assert all(0 < r._mix.probability <= 1 and r._mix.weight >= 1 - 1e-12 for r in kept)
     assert mix.mixed(docs.limit(0)).count() == 0
     assert {r.doc_id: r._mix.kept for r in got} == {r.doc_id: r._mix.kept for r in mix.mixed(docs.union(docs)).collect()}
+
+
+def test_only_near_copies_are_left_out_of_training():
+    passage = " ".join(f"shared{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"own{n}x{i}" for i in range(60)) for n in range(20)]
+    long = " ".join(f"word{i}" for i in range(200))
+    copies = [long, long, long.replace("word7", "other"), long + " more", "word1 word2"]
+    assert toxicity._distinct(texts) == texts  # a passage in common makes no copy
+    assert toxicity._distinct(copies + texts) == [long, "word1 word2", *texts]
+    assert toxicity._distinct(["", "", "a"]) == ["", "a"]
