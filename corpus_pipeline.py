@@ -29,9 +29,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.md5(F.to_json(F.struct(*docs.columns)))
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", digest.alias("digest"))
     groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key", shingle=4, limit=4)
-    kept = written(groups.filter("id.digest = component_id.digest").select(F.col("id.digest").alias("_digest")).distinct())
-    rows = docs.withColumn("_digest", digest)
-    return rows.join(kept, "_digest", "left_semi").dropDuplicates(["_digest"]).select(*docs.columns)
+    kept = written(groups.filter("id.digest = component_id.digest").select("id.digest").distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest"))  # names of columns cannot clash
+    return rows.join(kept, "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
