@@ -40,7 +40,7 @@ SLOT = slot(16)
 GAP = slot(16)
 MODIFIERS = slot(8)
 _LEAD_TITLES = r"\b(?i:dr|mr|mrs|ms|rep|sen|gov|rev|msgr|prof|gen|col|capt|lt|hon|bro|sis|dcn|rab|dem)"
-SENTENCE_TEXT = rf"(?:[^.!?]|[.!?][^\s.!?]|{_LEAD_TITLES}\.\s){{0,1000}}?"
+SENTENCE_TEXT = rf"[^.!?]*?(?:(?:[.!?][^\s.!?]|{_LEAD_TITLES}\.\s)[^.!?]*?){{0,200}}?"
 NOT_AFTER_WORD = r"(?<!\w\s)"
 """A capitalized trigger right after another word is the end of a name."""
 FROM_200 = r"(?<=.{200})"
