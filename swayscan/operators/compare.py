@@ -418,16 +418,21 @@ def fact_cube(cases: DataFrame, file: str, src: str, prefix: str, text: str = "t
     that a row is over all files, since a file may be null itself. ``texts`` counts different texts, exactly: digests
     are made distinct before they travel.
     """
-    ids = F.array_distinct(F.transform("moves", lambda m: m["rule_id"]))
-    each = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(ids, F.array().cast("array<string>")))
+    ids = F.coalesce(F.transform("moves", lambda m: m["rule_id"]), F.array().cast("array<string>"))
+
+    def counted(ids: Column) -> Column:
+        of_rule = F.transform(
+            F.array_distinct(ids), lambda r: F.struct(r.alias("rule_id"), F.size(F.filter(ids, lambda i: i == r)).alias("n"))
+        )
+        return F.concat(F.array(F.struct(F.lit(None).cast("string").alias("rule_id"), F.size(ids).alias("n"))), of_rule)
+
     rows = cases.select(
         F.col(file).alias("file"), F.col(src).startswith(prefix).alias("prefixed"), text_digest(text).alias("digest"),
-        F.col("moves").alias("all_moves"), F.explode(each).alias("rule_id"),
+        F.explode_outer(let(ids, counted)).alias("c"),  # the outer form, or the scan would run twice
     )
-    of_rule = F.filter("all_moves", lambda m: F.col("rule_id").isNull() | (m["rule_id"] == F.col("rule_id")))
-    counted = rows.select("file", "rule_id", "prefixed", "digest", F.greatest(F.size(of_rule), F.lit(0)).alias("n"))
+    counted_rows = rows.select("file", "prefixed", "digest", "c.rule_id", "c.n")
     sets = [[F.col("file"), F.col("rule_id")], [F.col("rule_id")]]
-    cube = counted.groupingSets(sets, "file", "rule_id").agg(
+    cube = counted_rows.groupingSets(sets, "file", "rule_id").agg(
         F.grouping("file").alias("g"), F.count("*").alias("cases"), F.count_if("prefixed").alias("prefixed"),
         F.count_distinct("digest").alias("texts"), F.sum("n").alias("n_moves"),
     )
