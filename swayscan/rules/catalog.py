@@ -15,13 +15,10 @@ from pathlib import Path
 # --- shared building blocks -------------------------------------------------
 _NAME_CHARS = r"[^\s,:;.!?\"“”()\[\]{}]+"
 # Titles, short forms of bodies and of places, which take a period inside a name.
-_TITLES = ("dr mr mrs ms mx st mt ft jr sr rep sen gov rev msgr prof gen col capt maj adm sgt pvt lt hon fr br bro sis dcn rab dem smt"
-           " univ inst dept assn theol sem coll natl intl bros corp inc ltd co ph.d")
-_PLACES = "Ala Ariz Ark Calif Colo Conn Del Fla Ga Ill Ind Kan Ky La Mass Md Mich Minn Miss Mo Mont Neb Nev Okla Ore Pa Tenn Tex Va Vt Wash Wis Wyo"
-_ABBREV = (
-    rf"(?:(?i:{'|'.join(t.replace('.', '[.]') for t in _TITLES.split())})|{'|'.join(_PLACES.split())})\.|(?:[A-ZÀ-ÖØ-ÞĀ-Ž]\.){{1,8}}|(?:[a-z]\.){{2,8}}"
-)
-_ASIDE = r"\([\w.'’&-]+(?:\s[\w.'’&-]+){0,3}\)(?:['’]s)?"
+_TITLES = "dr mr mrs ms st mt ft jr sr rep sen gov rev msgr prof gen col lt hon bro sis dcn rab dem smt univ inst dept assn theol sem ph.d"
+_PLACES = "Calif Colo Conn Fla Ga Ill Ind Mass Mich Minn Miss Okla Penn Tenn Tex Va Wash Wis"
+_ABBREV = rf"(?:(?i:{'|'.join(t.replace('.', '[.]') for t in _TITLES.split())})|{'|'.join(_PLACES.split())})\.|(?:[A-Za-zÀ-ÖØ-öø-ž]\.){{1,8}}"
+_ASIDE = r"\([^()\s]+(?:\s[^()\s]+)?\)(?:['’]s)?"
 NAME = rf"(?:{_NAME_CHARS}(?:[.!?:]{_NAME_CHARS})*|{_ABBREV}|{_ASIDE})"
 """One name token: punctuation may sit inside it but does not end it; a short aside in parentheses is one, too."""
 
