@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,10 +20,16 @@ _HELD: dict = {}
 def keep_only(key=None, make=None):
     """What ``make`` returns, remembered by this process under ``key`` until another key, or none, is asked for.
 
-    A Python worker serves one stage after another; it keeps the tables of the operator at work and no others.
+    A Python worker serves one stage after another; it keeps the tables of the operator at work and no others, and
+    gives the memory of those before back to the system.
     """
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
         if key is not None:
             _HELD[key] = make()
     return _HELD.get(key)
