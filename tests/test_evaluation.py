@@ -32,6 +32,13 @@ def test_sentences(spark, text, sentences):
     assert (None if found is None else [text[s.start : s.end] for s in found]) == sentences
 
 
+def test_words_of_accented_letters_and_line_ends(spark):
+    rows = [(0, "Il vi B. Anéon vi."), (1, "See Dr\n. Pell here."), (2, "Ask Dr.\u00a0Pell now.")]
+    found = spark.createDataFrame(rows, "n int, text string").select("n", F.size(sentence_starts(F.col("text"))).alias("s"))
+    # "An" begins a longer word; the title is a line before the stop; a no-break space stands behind the stop
+    assert [r.s for r in found.orderBy("n").collect()] == [1, 2, 1]
+
+
 def test_sentence_numbers_and_long_texts(spark):
     text = "One came. Two went. " * 9_000
     df = spark.createDataFrame([(text,)], "text string").select(sentence_starts(F.col("text")).alias("s"))
