@@ -131,3 +131,22 @@ def test_levels(spark, monkeypatch, bits):
         ("uncovered", None, "odd", None, None, 2, None),
     }
     assert {(r.rules_version, r.rules_hash) for r in got} == {(pack.version, pack.fingerprint)}
+
+
+def test_levels_send_only_the_mapping_to_all_tasks(spark, tmp_path):
+    # packed in files, a side of 100,000 spans looks small enough to be sent around whole
+    long = spark.range(100).selectExpr("id as doc", "transform(sequence(0, 999), n -> struct(n * 9 as start, n * 9 + 9 as end)) as s")
+    long.write.parquet(f"{tmp_path}/t")
+    spans = spark.read.parquet(f"{tmp_path}/t").select("doc", F.inline_outer("s"))
+    pack = bundled_pack()
+    rule = pack.rules[0]["id"]
+    mapping = spark.createDataFrame([("t", rule)], "technique string, rule_id string")
+    levels = spaneval.level_eval(
+        spans, spans.withColumn("technique", F.lit("t")), spans.withColumn("rule_id", F.lit(rule)), ["doc"], mapping, pack
+    )
+    plan = levels._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "BroadcastExchange" in line]
+    assert sent and not any("bigint" in line for line in sent)  # no key and no offset
+    assert "BroadcastHashJoin [technique" in plan and "Inner, BuildLeft" not in plan
+    found = {r.level: (r.hits, r.raised, r.labelled) for r in levels.collect()}
+    assert found == {"span": (100_000,) * 3, "sentence": (100_000,) * 3, "document": (100,) * 3}
