@@ -25,3 +25,14 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "tier_1", "tier_2", "tier_3"]
+
+
+def test_files_of_a_round_take_the_place_of_earlier_ones(spark, tmp_path, monkeypatch):
+    import checks.queries as module
+
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet").count()
+    monkeypatch.setattr(module, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(module, "LEAST_FILES", documents // 4, raising=False)
+    assert module.QUERIES["read_utf8_files"](spark, sf).select("doc_id").distinct().count() == documents
+    assert 0 < len(list(tmp_path.glob("files/**/*.txt"))) < documents / 2
