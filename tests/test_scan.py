@@ -278,3 +278,16 @@ def test_the_scan_does_not_shuffle(spark):
     df = spark.range(10).select("id", F.lit("Everyone agrees.").alias("text"))
     plan_text = plan.moves(df, ["id"], bundled_pack(), "all")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan_text and "Python" not in plan_text
+
+
+def test_prefilter_report_walks_a_text_once_per_rule(spark):
+    from swayscan.plans.scan import prefilter_report
+
+    pack = bundled_pack().only({"SHAME_LEVER", "FALSE_BINARY"})
+    texts = ["Only a fool waits.", "History will judge us.", "There are only two choices.", "The nets dry.", None]
+    report = prefilter_report(spark.createDataFrame([(t,) for t in texts], "text string"), pack, "all")
+    assert {r.rule_id: (r.matched, r.hidden) for r in report.collect()} == {"SHAME_LEVER": (2, 0), "FALSE_BINARY": (1, 0)}
+    patterns = sum(len(r["indicators"]) for r in pack.rules)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    # one for each rule, and one for each pattern behind it
+    assert plan.count("RLIKE(_match") == len(pack.rules) + patterns
