@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import html
 import json
 import re
@@ -10,12 +12,12 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swayscan.llm.tables import written
 
-PAGES = 6  # different pages of a host that its wrapper is induced from
+GROUP = 32  # layouts, or templates of such groups, that one task aligns at a time
 DEPTH = 40  # levels of a page that are aligned; what lies deeper belongs to the node at that level
 WIDTH = 80  # different children of a node that are aligned
 MAIN_SHARE = 0.7  # of the varying words that a node must hold to be entered on the way to the main slot
@@ -290,29 +292,38 @@ class Wrapper:
 
     __slots__ = ("label", "children", "pages", "text", "words", "varying")
 
-    def __init__(self, label: str, children: list[Wrapper], pages: int, text: str | None, words: float):
+    def __init__(self, label: str, children: list[Wrapper], pages: int, text: str | None, words: int):
         self.label, self.children, self.pages, self.text, self.words = label, children, pages, text, words
 
     @classmethod
     def of(cls, page: Skeleton) -> Wrapper:
         own = page.words - sum(c.words for c in page.children)
-        return cls(page.label, [cls.of(c) for c in page.children], 1, page.text, own)
+        return cls(page.label, [cls.of(c) for c in page.children], 1, mark(page.text), own)
 
-    def merge(self, page: Skeleton) -> None:
-        """Align a further page; what it adds becomes an optional node."""
-        self.pages += 1
-        self.words += page.words - sum(c.words for c in page.children)
-        if self.text != page.text:
+    @classmethod
+    def read(cls, full: list) -> Wrapper:
+        label, pages, text, words, children = full
+        return cls(label, [cls.read(c) for c in children], pages, text, words)
+
+    def full(self) -> list:
+        """All of it, as lists for JSON."""
+        return [self.label, self.pages, self.text, self.words, [c.full() for c in self.children]]
+
+    def merge(self, other: Wrapper) -> None:
+        """Align the template of further pages; what it adds becomes an optional node."""
+        self.pages += other.pages
+        self.words += other.words
+        if self.text != other.text:
             self.text = None
-        matched = dict((j, i) for i, j in align(self, page)[1])
+        matched = dict((j, i) for i, j in align(self, other)[1])
         children, used = [], 0
-        for j, child in enumerate(page.children):
+        for j, child in enumerate(other.children):
             if j in matched:
                 children += self.children[used : matched[j] + 1]
                 self.children[matched[j]].merge(child)
                 used = matched[j] + 1
             else:
-                children.append(Wrapper.of(child))
+                children.append(child)
         self.children = children + self.children[used:]
 
     def constant(self) -> bool:
@@ -359,10 +370,21 @@ class Wrapper:
             node = node.children[i]
         return node
 
-    def plain(self) -> list:
-        """What a page needs of the template, as lists for JSON; only small constant texts outside paragraphs stay."""
+    def plain(self, way: list[int] | None) -> tuple[list, list[int]]:
+        """What a page needs of the template, as lists for JSON, and the way in it to the node at ``way``.
+
+        Nodes on the way stay, and those that hold constant text outside paragraphs or lead to some.
+        """
         keep = self.constant() and self.label.split()[0] not in _KEPT and self.text
-        return [self.label, [c.plain() for c in self.children], self.text if keep else ""]
+        children, path = [], []
+        for n, child in enumerate(self.children):
+            on_way = bool(way) and n == way[0]
+            plain, below = child.plain(way[1:] if on_way else None)
+            if on_way:
+                path = [len(children), *below]
+            if on_way or plain[1] or plain[2]:
+                children.append(plain)
+        return [self.label, children, self.text if keep else ""], path
 
 
 class _Known:
@@ -381,18 +403,56 @@ def _load(template: str) -> tuple[_Known, list[int]]:
     return _Known(plain), way
 
 
+def mark(text: str) -> str:
+    """What stands for a text in templates: a digest, empty for no text."""
+    return text and base64.b64encode(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).digest()).decode()
+
+
+def template_of(page: str) -> Wrapper:
+    """The template of one page."""
+    root = parse(page)
+    _spare(root)
+    return Wrapper.of(Skeleton("html", [root]))
+
+
+def merged(templates: list[Wrapper]) -> Wrapper:
+    """One template of several, the first one the frame that the others are aligned with."""
+    first, *others = templates
+    for other in others:
+        first.merge(other)
+    return first
+
+
+def for_pages(wrapper: Wrapper) -> str:
+    """A host's template and the way to its main slot, as JSON that pages are read with."""
+    return json.dumps(wrapper.plain(wrapper.main()))
+
+
 def induce(pages: list[str]) -> str:
-    """The template of one host from several of its pages, with the way to the main slot, as JSON."""
-    wrapper = None
-    for page in pages:
-        root = parse(page)
-        _spare(root)
-        skeleton = Skeleton("html", [root])
-        if wrapper is None:
-            wrapper = Wrapper.of(skeleton)
-        else:
-            wrapper.merge(skeleton)
-    return json.dumps([wrapper.plain(), wrapper.main()])
+    """The template of one host from its pages, with the way to the main slot, as JSON."""
+    return for_pages(merged([template_of(page) for page in pages]))
+
+
+def layout(wrapper: Wrapper) -> tuple[str, list[str], list[int]]:
+    """The labels of a page's template as JSON, and the texts and words of its nodes in the order of these labels."""
+    texts, words = [], []
+
+    def labels(node: Wrapper) -> list:
+        texts.append(node.text)
+        words.append(node.words)
+        return [node.label, [labels(c) for c in node.children]]
+
+    return json.dumps(labels(wrapper)), texts, words
+
+
+def filled(labels: str, pages: int, nodes: Iterator[tuple[str | None, int]]) -> Wrapper:
+    """The template of all pages of one layout."""
+
+    def node(label: str, children: list) -> Wrapper:
+        text, words = next(nodes)
+        return Wrapper(label, [node(*c) for c in children], pages, text, words)
+
+    return node(*json.loads(labels))
 
 
 def _blocks(nodes: list[Node], skip: dict[int, str]) -> Iterator[str]:
@@ -451,7 +511,7 @@ def _extract(root: Node, template: str | None) -> str:
         stack = [(known, skeleton)]
         while stack:
             a, b = stack.pop()
-            if a.text and a.text == b.text:
+            if a.text and a.text == mark(b.text):
                 skip |= {id(n): a.text for n in b.nodes}
             stack += [(a.children[i], b.children[j]) for i, j in align(a, b)[1]]
         for step in way:
@@ -465,10 +525,75 @@ def _extract(root: Node, template: str | None) -> str:
     return "\n".join(_blocks(skeleton.nodes, {}))
 
 
+def _layouts(source: DataFrame) -> DataFrame:
+    """``(host, shape, pages, labels, nodes)``: every layout of a host's different pages, with sums over all of these.
+
+    ``nodes`` has the words of each node, and its text where that is the same in all pages of the layout.
+    """
+
+    def shapes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [layout(template_of(page)) for page in batch.column(2).to_pylist()]
+            labels, texts, words = (list(column) for column in zip(*found)) if found else ([], [], [])
+            arrays = [batch.column(0), batch.column(1), pa.array(labels, pa.string()),
+                      pa.array(texts, pa.list_(pa.string())), pa.array(words, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "h", "labels", "texts", "words"])
+
+    read = source.filter("html <> ''").select("host", F.xxhash64("html").alias("h"), "html")
+    read = read.mapInArrow(shapes, "host string, h long, labels string, texts array<string>, words array<long>")
+    shape = F.unhex(F.sha2("labels", 256)).alias("shape")
+    # Equal pages count once; they are all alike, so any one of them will do.
+    pages = written(read.groupBy("host", "h").agg(*(F.first(c).alias(c) for c in ("labels", "texts", "words"))).select("*", shape))
+    names = pages.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.first("labels").alias("labels"))
+    each = pages.select("host", "shape", F.posexplode(F.arrays_zip("texts", "words")).alias("at", "node"))
+    sums = each.groupBy("host", "shape", "at").agg(
+        F.sum("node.words").alias("words"), F.min("node.texts").alias("least"), F.max("node.texts").alias("most")
+    )
+    text = F.when(F.col("least") == F.col("most"), F.col("least")).alias("text")
+    nodes = sums.groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("at", text, "words"))).alias("nodes"))
+    return names.join(nodes, ["host", "shape"])
+
+
+def templates(source: DataFrame) -> DataFrame:
+    """``(host, template)`` from all different pages ``(host, html)`` of each host.
+
+    Pages of one layout, that is with the same tree of elements, are summed up by Spark. Layouts are aligned by simple
+    tree matching in groups of about ``GROUP``, then the templates of the groups in the same way, until a host has one.
+    """
+    hosts = "host string, bucket long, pages long, template string"
+
+    def first(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(group.itertuples(), key=lambda r: (-r.pages, r.labels))
+        one = merged([filled(r.labels, r.pages, iter([(n["text"], n["words"]) for n in r.nodes])) for r in rows])
+        return pd.DataFrame([(*key, one.pages, json.dumps(one.full()))], columns=["host", "bucket", "pages", "template"])
+
+    def further(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(group.itertuples(), key=lambda r: (-r.pages, r.template))
+        one = merged([Wrapper.read(json.loads(r.template)) for r in rows])
+        return pd.DataFrame([(*key, one.pages, json.dumps(one.full()))], columns=["host", "bucket", "pages", "template"])
+
+    def last(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            done = [for_pages(Wrapper.read(json.loads(t))) for t in batch["template"]]
+            yield pd.DataFrame({"host": batch["host"], "template": pd.Series(done, dtype=object)})
+
+    layouts = written(_layouts(source))
+    counts = layouts.groupBy("host").agg(F.count("*").alias("n"))
+    buckets = F.ceil(F.col("n") / GROUP)
+    left = counts.agg(F.max(buckets)).first()[0] or 1
+    dealt = layouts.join(counts.select("host", buckets.alias("buckets")), "host")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("shape"), "buckets")).drop("shape", "buckets", "n")
+    found = dealt.groupBy("host", "bucket").applyInPandas(first, hosts)
+    while left > 1:
+        found = found.withColumn("bucket", F.floor(F.col("bucket") / GROUP)).groupBy("host", "bucket").applyInPandas(further, hosts)
+        left = -(-left // GROUP)
+    return written(found.select("host", "template").mapInPandas(last, "host string, template string"))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, text)`` for every row of ``pages``: the article, its blocks joined by line feeds.
 
-    For each host up to ``PAGES`` different pages (least hash of their html) are aligned by simple tree matching.
+    For each host all its different pages are aligned by simple tree matching, layout by layout (``templates``).
     What all of several pages share is template, what differs is a slot; the slot with the varying words is the main
     one, and menus, notices, forms, adverts and comments are left out by their elements, roles and names. Every page
     is then aligned with its host's template. Pages whose host has no template, or that do not fit it, are cut by the
@@ -479,18 +604,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     source = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")
     ).withColumn("host", F.coalesce(host, F.lit("")))
-    hashed = source.filter("html <> ''").select("host", "id", F.xxhash64("html").alias("h"))
-    different = hashed.groupBy("host", "h").agg(F.min("id").alias("id")).filter("id is not null")
-    order = Window.partitionBy("host").orderBy("h", "id")
-    chosen = different.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= PAGES)
-    chosen = written(chosen.select("host", "h", "id"))
-    models = source.join(chosen, ["host", "id"]).filter(F.xxhash64("html") == F.col("h"))
-
-    def templates(group: pd.DataFrame) -> pd.DataFrame:
-        pages = list(dict.fromkeys(group.sort_values("h")["html"]))  # repeated rows count once
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [induce(pages)]})
-
-    wrappers = written(models.groupBy("host").applyInPandas(templates, "host string, template string"))
+    wrappers = templates(source)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -281,6 +281,25 @@ def test_names_do_not_hide_the_article(body):
         assert html_text.extract(page, html_text.induce([page.replace("One", f"N{i}") for i in range(4)])).endswith("One two three.")
 
 
+def test_templates_come_from_all_pages_of_a_host(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "GROUP", 2, raising=False)  # several rounds of groups
+    extra = ["".join(f"<div class=x{c}><p>part {i}{c}</p></div>" for c in "abcde"[: i % 6]) for i in range(60)]
+    rows = [(i, "https://h.example/", f"<body><article><h1>T{i}</h1><p>Body {i}</p>{extra[i]}</article></body>") for i in range(60)]
+    box = "<div class=seen>Seen on our site</div>"
+    rows += [(100 + i, "https://h.example/", f"<body><article><h1>R{i}</h1><p>Rare {i}</p>{box}</article></body>") for i in range(3)]
+    got = {r.id: r.text for r in html_text.main_text(page_rows(spark, rows + rows[:30])).collect()}
+    assert [got[100 + i] for i in range(3)] == [f"R{i}\nRare {i}" for i in range(3)]
+    assert all(got[i].splitlines() == [f"T{i}", f"Body {i}", *(f"part {i}{c}" for c in "abcde"[: i % 6])] for i in range(60))
+
+
+def test_groups_of_layouts_align_as_pages_do():
+    pages = [f"<body><div class=m><p>One {i}</p></div><div class=k>Same</div></body>" for i in range(9)]
+    whole = html_text.merged([html_text.template_of(p) for p in pages])
+    halves = html_text.merged([html_text.merged([html_text.template_of(p) for p in part]) for part in (pages[:4], pages[4:])])
+    assert whole.full() == halves.full() == html_text.Wrapper.read(halves.full()).full()
+    assert whole.pages == 9 and html_text.for_pages(whole) == html_text.induce(pages)
+
+
 def test_comments_longer_than_the_article_stay_out():
     page = "<body><div class=story><h1>T</h1><p>Short text</p></div><div id=comments class=comments-area>{}</div>".format("<article><p>long comment text</p></article>" * 9)
     assert html_text.extract(page) == "T\nShort text"
