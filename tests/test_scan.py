@@ -1,14 +1,15 @@
 """The scan on small packs and texts, checked against expected spans."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from swayscan import bundled_pack
 from swayscan.functions import regex
-from swayscan.functions.spans import with_utf16
-from swayscan.functions.text import clip_text, utf16_length, word_count
+from swayscan.functions.spans import find_spans, with_utf16
+from swayscan.functions.text import clip_text, matchable, utf16_length, word_count
 from swayscan.operators import compare
 from swayscan.plans import scan as plan
 from swayscan.sources import texts
@@ -291,3 +292,27 @@ def test_prefilter_report_walks_a_text_once_per_rule(spark):
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     # one for each rule, and one for each pattern behind it
     assert plan.count("RLIKE(_match") == len(pack.rules) + patterns
+
+
+def test_long_lists_and_leading_look_behinds_are_told_early(spark):
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "aeiouy"]
+    listed = rf"\b(?i:{'|'.join(words)})\b"
+    assert set(regex.needs(listed, "").words[0]) == set(words)  # else the pattern runs on every text
+    behind = r"(?<!\w\s)\b(?:Salt|Iron)\s+(?i:tide)\b"
+    assert regex.to_java(behind, "").startswith("(?=[")  # a look at one letter comes before the look-behind
+    assert all(regex.needs(p, r["flags"]).words or regex.needs(p, r["flags"]).marks for r in bundled_pack().rules for p in r["indicators"])
+    texts = ["Salt tide, \u017falt tide", "x Salt tide", "Iron TIDE. iron tide", "HYWORD haword", "\U0001d400haword, \u00e9haword", "ib\u0131word", ""]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string")
+    for pattern in (behind, listed):
+        got = rows.select("n", find_spans(F.col("text"), pattern).alias("s")).orderBy("n").collect()
+        assert [[(x.start, x.end) for x in r.s] for r in got] == [[m.span() for m in re.finditer(pattern, t)] for t in texts]
+
+
+def test_citations_are_found_as_by_every_pattern(spark):
+    pack = bundled_pack()
+    texts = ["Ibid. and supra note 4", "as in NAT\u2019L Board 12, (Orr 1999)", "x (see Pell, 2004a) [3]", "TABLE 4; p. 9; Orr v. Pell; Orr v Pell;",
+             "12 U.S. 345 and [1999] 2 ab 44", "1999 ab 44; Mark 3:16", "supra", "fi\u0261ure 3, \u017fupra at 3", "no more", ""]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string")
+    got = rows.select("n", plan.citation_spans(matchable(F.col("text")), pack).alias("s")).orderBy("n").collect()
+    cites = [re.compile(p, regex.flag_bits(pack.citations["flags"])) for p in pack.citations["patterns"]]
+    assert [[(x.start, x.end) for x in r.s] for r in got] == [[m.span() for c in cites for m in c.finditer(t)] for t in texts]
