@@ -316,3 +316,13 @@ def test_citations_are_found_as_by_every_pattern(spark):
     got = rows.select("n", plan.citation_spans(matchable(F.col("text")), pack).alias("s")).orderBy("n").collect()
     cites = [re.compile(p, regex.flag_bits(pack.citations["flags"])) for p in pack.citations["patterns"]]
     assert [[(x.start, x.end) for x in r.s] for r in got] == [[m.span() for c in cites for m in c.finditer(t)] for t in texts]
+
+
+def test_snippets_are_cut_once_per_text(spark):
+    pack = tiny_pack({"A": ["salt"], "B": ["tide"]})
+    texts = spark.createDataFrame([(1, "salt \u2003 tide " + "x" * 200), (2, "none"), (3, None)], "doc_id int, text string")
+    changes = compare.pack_changes(texts, ["doc_id"], pack, pack.only({"A"}))
+    steps = changes._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in steps[: steps.index("Generate")]
+    snippet = "salt tide " + "x" * 100
+    assert sorted(map(tuple, changes.collect())) == [(1, "A", "same", snippet), (1, "B", "lost", snippet)]
