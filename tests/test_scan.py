@@ -326,3 +326,21 @@ def test_snippets_are_cut_once_per_text(spark):
     assert "regexp_replace" not in steps[: steps.index("Generate")]
     snippet = "salt tide " + "x" * 100
     assert sorted(map(tuple, changes.collect())) == [(1, "A", "same", snippet), (1, "B", "lost", snippet)]
+
+
+def test_literals_go_on_over_white_space(spark):
+    import re
+
+    from checks.phrases import PHRASES
+
+    assert regex.needs(r"\b(?i:only\s+a\s+fool)\b", "", True).words == (("only a fool",),)  # "only" alone lets far more texts through
+    rows = [(n, phrase.replace(" ", blank)) for n, (phrase, _) in enumerate(PHRASES) for blank in (" ", "\n", "\u00a0 \t", "\u2003\x1c")]
+    raw = plan.raw_spans(spark.createDataFrame(rows, "id int, text string"), bundled_pack(), "all")
+    for row in raw.select("text", "_raw").collect():
+        got = {r["ord"]: sorted((s["start"], s["end"]) for s in r["spans"]) for r in row["_raw"]}
+        want = {}
+        for n, rule in bundled_pack().select("all"):
+            found = [m.span() for p in rule["indicators"] for m in re.finditer(p, row["text"], regex.flag_bits(rule["flags"]))]
+            if found:
+                want[n] = sorted(found)
+        assert got == want, row["text"]
