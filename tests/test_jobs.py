@@ -155,3 +155,22 @@ def test_stream_windows(spark, tmp_path):
     got = {r.window_start.minute: tuple(r)[1:] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     # The last window is still open; the two early ones are closed by the watermark.
     assert got == {0: (2, 1, 0, 0), 1: (1, 0, 1, 0)}
+
+
+def test_two_packs_share_one_scan(spark, tmp_path):
+    from checks.phrases import PHRASES
+    from checks.queries import QUERIES
+    from checks.variants import EARLIER, PACK
+    from swayscan.functions.regex import to_java
+
+    rows = [(n, f"{phrase} {PHRASES[(n * 7 + 3) % len(PHRASES)][0]}") for n, (phrase, _) in enumerate(PHRASES)] + [(-1, None)]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    both = plan.with_moves_of_both(texts, EARLIER, PACK, "all")
+    for column, pack in (("moves_before", EARLIER), ("moves_after", PACK)):
+        want = {r["id"]: r["moves"] for r in plan.with_moves(texts, pack, "all").collect()}
+        assert {r["id"]: r[column] for r in both.collect()} == want
+    shared = next(r for r in PACK.rules if r["id"] == "FEAR_URGENCY")
+    java = to_java(shared["indicators"][0], shared["flags"])
+    for name in ("golden_check",):
+        steps = str(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+        assert steps.count(java) == 1, name
