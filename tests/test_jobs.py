@@ -171,6 +171,6 @@ def test_two_packs_share_one_scan(spark, tmp_path):
         assert {r["id"]: r[column] for r in both.collect()} == want
     shared = next(r for r in PACK.rules if r["id"] == "FEAR_URGENCY")
     java = to_java(shared["indicators"][0], shared["flags"])
-    for name in ("golden_check",):
+    for name in ("golden_check", "pack_diff"):
         steps = str(QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
         assert steps.count(java) == 1, name
