@@ -344,3 +344,35 @@ def test_literals_go_on_over_white_space(spark):
             if found:
                 want[n] = sorted(found)
         assert got == want, row["text"]
+
+
+def test_literals_are_bits_and_looked_up_once(spark):
+    from swayscan.functions.text import Literals
+
+    assert "(?:" not in regex.word_finder(["only a fool"]).split("(?=(")[1]  # a group for each letter would be a step for each
+    literals = Literals([regex.Needs((("tide", "weir"), ("low tide",)), ()), regex.Needs((("ti",),), ())])
+    texts_ = ["a weir", "low \u2003 Tide", "tin low", "xtide", "\u00e9tide ti\u017f", "", None]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts_)], "n int, text string")
+    seen = [r.s for r in rows.select("n", literals.seen(F.col("text")).alias("s")).orderBy("n").collect()]
+    place = literals.place
+    want = [{("tide", "weir")}, {("tide", "weir"), ("low tide",), ("ti",)}, {("ti",)}, set(), {("ti",)}, set()]
+    assert seen[:-1] == [[sum(1 << place[s] for s in w)] for w in want] and seen[-1] is None
+    steps = plan.with_moves(rows, bundled_pack())._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" not in steps and "from_json" not in steps
+
+
+def test_citations_without_digits_skip_patterns_that_need_them():
+    cites = bundled_pack().citations["patterns"]
+    without = [p for p in cites if not regex.needs_digit(p, "i")]
+    assert len(cites) - len(without) == 9 and regex.needs_digit(r"x\d?[1-9]", "") and not regex.needs_digit(r"x\d?[1-9a]", "")
+    for p in set(cites) - set(without):
+        assert not any(re.search(p, t, re.I) for t in ("Ibid. supra note", "(Orr, 19)".replace("19", ""), "Orr v. Pell. table b", "[x] p. s"))
+
+
+def test_sentences_of_moves_are_found(spark):
+    from swayscan.operators import present
+
+    assert regex.to_java(r"^\p{Ll}", "") == r"^\p{Ll}"  # kinds of letters as Java names them
+    df = spark.createDataFrame([(1, "Dr. Orr came. Nobody doubts it. e.g. so")], "doc_id int, text string")
+    rows = present.move_sentences(plan.with_moves(df, bundled_pack()), ["doc_id"]).collect()
+    assert [(r.start, r.sentence_no, r.first_sentence) for r in rows] == [(14, 2, False)]
