@@ -376,3 +376,12 @@ def test_sentences_of_moves_are_found(spark):
     df = spark.createDataFrame([(1, "Dr. Orr came. Nobody doubts it. e.g. so")], "doc_id int, text string")
     rows = present.move_sentences(plan.with_moves(df, bundled_pack()), ["doc_id"]).collect()
     assert [(r.start, r.sentence_no, r.first_sentence) for r in rows] == [(14, 2, False)]
+
+
+def test_domains_look_up_citations_once(spark):
+    df = spark.createDataFrame([(1, "Studies show it [3]. Everyone agrees. This is well-settled law."), (2, None)], "doc_id int, text string")
+    checked = compare.domain_independence(df, ["doc_id"], bundled_pack())
+    steps = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("(?:id|ibid)") == 1
+    rows = {(r.doc_id, r.domain): (r.n_moves, r.same) for r in checked.collect()}
+    assert rows[1, "legal"] == rows[1, "all"] == (2, True) and rows[1, "media"] == (1, True) and rows[2, "all"] == (None, None)
