@@ -385,3 +385,18 @@ def test_domains_look_up_citations_once(spark):
     assert steps.count("(?:id|ibid)") == 1
     rows = {(r.doc_id, r.domain): (r.n_moves, r.same) for r in checked.collect()}
     assert rows[1, "legal"] == rows[1, "all"] == (2, True) and rows[1, "media"] == (1, True) and rows[2, "all"] == (None, None)
+
+
+def test_second_engine_leaves_out_patterns_by_letters_of_its_own():
+    from checks.phrases import PHRASES
+
+    odd = str.maketrans("\u017f\u212a\u0131\u0130", "skii")
+    texts_ = [p for p, _ in PHRASES] + [t for t, _ in UNICODE]
+    for rule in bundled_pack().rules:
+        for pattern in rule["indicators"]:
+            parts = compare.plain_letters(pattern)
+            assert parts, pattern  # else it runs on every text
+            for text in texts_:
+                if re.search(pattern, text, regex.flag_bits(rule["flags"])):
+                    assert any(part in text.translate(odd).lower() for part in parts), (pattern, text)
+    assert compare.plain_letters(r"(?:ab|)c?d*") == () and compare.plain_letters(r"(?i:Ab|xy)+[cd]efg?") == ("ef",)
