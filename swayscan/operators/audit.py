@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swayscan.functions.spans import let
 from swayscan.sources.pack import FLAGS, PRINCIPLES, RULE_DOMAINS, SEVERITIES, TIERS
 
 # Words of motive that a name or description must not hold.
@@ -135,16 +136,21 @@ def type_problems(packs: DataFrame, key: str, column: str = "json") -> DataFrame
     Types are those of the parsed values, so 1.0 and "1" are no whole numbers and null is of no type. Fields that are
     missing and texts that are no JSON are for ``validate_packs``.
     """
-    whole = F.try_parse_json(F.col(column))
+    # A column of its own, so that each pack is parsed once and not for every field.
+    packs = packs.select(key, F.try_parse_json(F.col(column)).alias("whole"))
+    whole = F.col("whole")
 
     def wrong(body: Column, types: dict[str, str], place: Column) -> Column:
         """What an object's fields have for a wrong type."""
-        found = F.try_variant_get(body, "$", "map<string,variant>")
-        tests = []
-        for name, kind in types.items():
-            kind_of = F.schema_of_variant(F.try_element_at(found, F.lit(name)))
-            tests.append(F.when(~kind_of.rlike(rf"\A(?:{kind})\z"), F.concat(place, F.lit(f": {name} is not {TYPE_NAMES[kind]}"))))
-        return F.array_compact(F.array(*tests))
+
+        def tests(found: Column) -> Column:
+            out = []
+            for name, kind in types.items():
+                kind_of = F.schema_of_variant(F.try_element_at(found, F.lit(name)))
+                out.append(F.when(~kind_of.rlike(rf"\A(?:{kind})\z"), F.concat(place, F.lit(f": {name} is not {TYPE_NAMES[kind]}"))))
+            return F.array_compact(F.array(*out))
+
+        return let(F.try_variant_get(body, "$", "map<string,variant>"), tests)
 
     def part(path: str) -> Column:
         return F.try_variant_get(whole, path, "variant")

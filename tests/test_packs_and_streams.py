@@ -96,3 +96,12 @@ def test_late_texts_are_counted(spark, tmp_path):
     assert second == {"00:00": (2, 1, 1, 0, 0, True), "00:25": (1, 0, 0, 1, 0, False), "00:30": (1, 0, 0, 0, 0, False),
                       None: (1, 0, 0, 0, 0, False)}
     assert sum(v[0] + v[1] for v in second.values()) == 6
+
+
+def test_packs_are_parsed_once_for_all_fields(spark):
+    from swayscan.operators import audit
+
+    packs = spark.createDataFrame([(1, '{"schema_version": 1, "rules": [{"id": 2, "flags": "i"}]}'), (2, "no json")], "n int, json string")
+    found = audit.type_problems(packs, "n")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
+    assert sorted(r.problem for r in found.collect()) == ["pack: schema_version is not a string", "rule 0: id is not a string"]
