@@ -105,3 +105,11 @@ def test_packs_are_parsed_once_for_all_fields(spark):
     found = audit.type_problems(packs, "n")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
     assert sorted(r.problem for r in found.collect()) == ["pack: schema_version is not a string", "rule 0: id is not a string"]
+
+
+def test_late_windows_reads_many_files(spark, sf, tmp_path, monkeypatch):
+    from checks import queries
+
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: str(tmp_path))
+    queries.late_windows(spark, sf)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) > 2
