@@ -85,6 +85,24 @@ def test_embedding_copies_are_exact(spark, monkeypatch, tile):
         assert (row.n_links, row.component_id, row.kept) == (sum(n in l for l in links), least, least == i), i
 
 
+def test_embedding_copies_write_no_vectors_for_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    tables, plain = [], neighbours.written
+
+    def counted(df):
+        out = plain(df)
+        tables.append((out.count(), df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(neighbours, "written", counted)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=12)], 0) for i in range(600)]  # one label, many tiles
+    assert neighbours.near_duplicates(vectors(spark, rows)).count() == 600
+    assert max(n for n, _, _ in tables) <= 600  # no row for a cell or a pair
+    plan = next(plan for _, columns, plan in tables if columns == ["cls", "n", "other"])
+    assert "CartesianProduct" in plan and "Exchange" not in plan  # tiles are read side by side, not dealt out
+
+
 def test_embedding_copies_of_repeats_and_nothing(spark):
     rows = vectors(spark, [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (None, [2.0, 0.0], 1)])
     assert sorted((r.n_links, r.component_id) for r in neighbours.near_duplicates(rows).collect()) == [(2, 5)] * 3
