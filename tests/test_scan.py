@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from swayscan import bundled_pack
 from swayscan.functions import regex
 from swayscan.functions.spans import find_spans, with_utf16
-from swayscan.functions.text import clip_text, matchable, utf16_length, word_count
+from swayscan.functions.text import clip_text, folded, matchable, utf16_length, word_count
 from swayscan.operators import compare
 from swayscan.plans import scan as plan
 from swayscan.sources import texts
@@ -294,6 +294,23 @@ def test_prefilter_report_walks_a_text_once_per_rule(spark):
     assert plan.count("RLIKE(_match") == len(pack.rules) + patterns
 
 
+def test_prefilter_report_leaves_out_patterns_by_plain_letters_only(spark, monkeypatch):
+    from swayscan.functions.plain import Plain
+
+    pack = tiny_pack({"A": ["salt tide", r"tid(?:e|al)s?\b", r"\d+"], "B": ["alto|al"]})
+    texts = ["SALT TIDE", "\u017falt t\u0130de", "tidal 7", "an alt", "wet", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    lists = [r.x for r in rows.select(Plain(["salt tide", "tid(?:e|al)", "alto|al"]).seen(folded(F.col("text"))).alias("x")).collect()]
+    assert [x and set(x) for x in lists] == [{"salt tide", "al", "tid"}, {"salt tide", "al", "tid"}, {"tid", "al"}, {"al"}, [], [], None]
+    found = lambda: {r.rule_id: (r.matched, r.hidden) for r in plan.prefilter_report(rows, pack, "all").collect()}
+    assert found() == {"A": (3, 0), "B": (4, 0)}
+    steps = plan.prefilter_report(rows, pack, "all")._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in steps  # else every pattern walks over every text
+    # a filter that lets nothing run hides every match
+    monkeypatch.setattr(plan.Literals, "holds", lambda *_: "false")
+    assert found() == {"A": (3, 3), "B": (4, 4)}
+
+
 def test_long_lists_and_leading_look_behinds_are_told_early(spark):
     words = [f"{a}{b}word" for a in "abcdefgh" for b in "aeiouy"]
     listed = rf"\b(?i:{'|'.join(words)})\b"
