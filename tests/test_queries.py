@@ -36,3 +36,16 @@ def test_files_of_a_round_take_the_place_of_earlier_ones(spark, tmp_path, monkey
     monkeypatch.setattr(module, "LEAST_FILES", documents // 4, raising=False)
     assert module.QUERIES["read_utf8_files"](spark, sf).select("doc_id").distinct().count() == documents
     assert 0 < len(list(tmp_path.glob("files/**/*.txt"))) < documents / 2
+
+
+def test_files_of_a_round_are_a_file_each_in_few_folders(spark, tmp_path, monkeypatch):
+    import checks.queries as module
+
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet").count()
+    monkeypatch.setattr(module, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(module, "LEAST_FILES", documents)  # one round
+    assert module.QUERIES["read_utf8_files"](spark, sf).count() == documents
+    lies = list(tmp_path.glob("files/**/*"))
+    assert sum(x.is_file() for x in lies) == documents  # no checksums beside them
+    assert sum(x.is_dir() for x in lies) <= 64  # no folder for each

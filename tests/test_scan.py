@@ -311,6 +311,17 @@ def test_prefilter_report_leaves_out_patterns_by_plain_letters_only(spark, monke
     assert found() == {"A": (3, 3), "B": (4, 4)}
 
 
+def test_write_files_takes_the_place_of_what_was_there(spark, tmp_path):
+    rows = [("a/1.txt", b"one\xff\n"), ("a/2.txt", b""), ("b/3.txt", "\u017f\r\n".encode())]
+    files = spark.createDataFrame(rows, "name string, content binary")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/0.txt").write_bytes(b"old")
+    for uri in (str(tmp_path), f"file://{tmp_path}", str(tmp_path / "new")):
+        assert texts.write_files(files, uri) == 3
+    assert {str(x.relative_to(tmp_path)): x.read_bytes() for x in tmp_path.glob("[ab]/*")} == dict(rows)
+    assert texts.write_files(files.limit(0), str(tmp_path / "new")) == 0 and not list((tmp_path / "new").iterdir())
+
+
 def test_long_lists_and_leading_look_behinds_are_told_early(spark):
     words = [f"{a}{b}word" for a in "abcdefgh" for b in "aeiouy"]
     listed = rf"\b(?i:{'|'.join(words)})\b"
