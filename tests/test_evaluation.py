@@ -1,12 +1,13 @@
 """Sentences, interval joins and evaluation by level, against plain Python."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from swayscan.functions.sentences import sentence_no, sentence_spans, sentence_starts
-from swayscan.operators import spaneval
+from swayscan.operators import evaluate, spaneval
 from swayscan.sources.pack import bundled_pack
 
 
@@ -150,3 +151,30 @@ def test_levels_send_only_the_mapping_to_all_tasks(spark, tmp_path):
     assert "BroadcastHashJoin [technique" in plan and "Inner, BuildLeft" not in plan
     found = {r.level: (r.hits, r.raised, r.labelled) for r in levels.collect()}
     assert found == {"span": (100_000,) * 3, "sentence": (100_000,) * 3, "document": (100,) * 3}
+
+
+def test_bootstrap_weighs_a_text_once_and_by_many_tasks(spark):
+    rows = [(n, f"r{k}", int((n + k) % 3 > 0), int((n * k) % 2)) for n in range(60) for k in range(4) if (n + k) % 5]
+    outcomes = spark.createDataFrame([*rows, (None, "r1", 1, 1)], "id int, rule_id string, raised int, labelled int").coalesce(1)
+    got = {r.rule_id: r for r in evaluate.bootstrap_intervals(outcomes, "id", replicates=20, level=0.9).collect()}
+    for rule in ("r0", "r1", "r2", "r3"):
+        rates = {"precision": [], "recall": []}
+        for n in range(1, 21):
+            hits = raised = labelled = 0
+            for key, name, r, l in [*rows, (None, "r1", 1, 1)]:
+                if name == rule:
+                    drawn = hashlib.md5((f"{n}" if key is None else f"{key}:{n}").encode()).hexdigest()
+                    w = sum(limit <= int(drawn[:12], 16) / 2**48 for limit in evaluate.POISSON)
+                    hits, raised, labelled = hits + w * r * l, raised + w * r, labelled + w * l
+            for name, below in (("precision", raised), ("recall", labelled)):
+                rates[name] += [hits / below] if below else []
+        for name, values in rates.items():
+            ranked = sorted(values)
+            for end, at in (("low", 0.05), ("high", 0.95)):
+                place = at * (len(ranked) - 1)
+                low, part = int(place), place - int(place)
+                want = ranked[low] + part * (ranked[min(low + 1, len(ranked) - 1)] - ranked[low]) if ranked else None
+                assert got[rule][f"{name}_{end}"] == (want if want is None else pytest.approx(want)), (rule, name, end)
+    plan = evaluate.bootstrap_intervals(outcomes, "id")._jdf.queryExecution().executedPlan().toString()
+    # few bytes before they are rows per replicate: Spark would put them into one task
+    assert "REPARTITION_BY_NUM" in plan and plan.count("md5") <= 2
